@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact, packing
+from . import exact, packing, simhash
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op6_simhash": simhash.op6_simhash,
     "op9_exact_dedup": exact.op9_exact_dedup,
 }
 SQL = {
