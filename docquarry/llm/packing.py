@@ -20,33 +20,84 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, table, text_bytes
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; beyond it forgets all and starts again.
-CACHE_WORDS = 200_000
+#: Words whose ids a worker remembers (about 120 MB); beyond it forgets all and starts again.
+CACHE_WORDS = 500_000
+#: Words encoded as one text.
+TOGETHER = 1000
 
 
 class WordEncoder:
     """Ids of whole texts as little-endian bytes, by encoding white-space-separated words once.
 
-    The tokenizer's own splitting never joins characters across white space, so a text's ids are
-    its words' ids in sequence.
+    The tokenizer's own splitting never joins characters across white space, nor letters with the
+    signs after them, so a text's ids are its words' ids in sequence.  Words of letters only are
+    encoded many at a time and parted at the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        ends = [i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.ends_word[ends] = True
+
+    def _each(self, words: list[bytes]) -> None:
+        for word, found in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
+            self.known[word] = np.array(found.ids, "<u4").tobytes()
+
+    def _letters(self, words: list[bytes]) -> None:
+        parts = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # not a tokenizer that marks the ends of words
+                self._each(part)
+                continue
+            data, at = ids.tobytes(), 0
+            for word, end in zip(part, (ends * 4).tolist(), strict=True):
+                self.known[word], at = data[at:end], end
+
+    def learn(self, words: list[bytes]) -> None:
+        letters, other, joined = set(), set(), []
+        for w in words:
+            bare = w.rstrip(b".,;:!?")
+            if bare and (bare.isalpha() or (s := bare.decode("utf-8", "replace")).isalpha() and s.lower().isalpha() and "\ufffd" not in s):
+                if bare not in self.known:
+                    letters.add(bare)
+                if bare != w:
+                    joined.append((w, bare, w[len(bare) :]))
+                    if w[len(bare) :] not in self.known:
+                        other.add(w[len(bare) :])
+            else:
+                other.add(w)
+        self._letters(list(letters))
+        self._each(list(other))
+        for w, bare, signs in joined:
+            self.known[w] = self.known[bare] + self.known[signs]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        split = [t.lower().split() for t in texts]
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = [w for w in set().union(*split) if w not in known] if split else []
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            known[word] = np.array(found.ids, "<u4").tobytes()
+        self.learn([w for w in set().union(*split) if w not in known])
         return [b"".join([known[w] for w in words]) for words in split]
 
 
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker, which keeps what it knows for its next tasks."""
+    import os
+
+    import tokenizers
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    kept = tokenizers.__dict__.setdefault("_docquarry_encoders", {})
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` and the piece's rank within its task and length.
 
@@ -56,10 +107,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = np.array([end_id], "<u4").tobytes()
 
     def work(batches):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, task, ranks = WordEncoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
+        encoder, task, ranks = worker_encoder(tokenizer), TaskContext.get().partitionId(), defaultdict(int)
         for batch in batches:
             out = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
