@@ -65,3 +65,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
 
 
 ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
+
+#: What stands between words of licence and benchmark texts: ASCII that is no letter or digit.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def with_words(df: DataFrame, text: str = "text", words: str = "words", norm: str = "norm") -> DataFrame:
+    """Adds the text's words in lower case as an array, and joined by single spaces as ``norm``.
+
+    Lower-casing other letters than A-Z too makes no difference to where words begin and end.
+    """
+    df = df.withColumn(norm, F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), BETWEEN_WORDS, " ")))
+    return df.withColumn(words, F.when(F.col(norm) == "", F.array().cast("array<string>")).otherwise(F.split(norm, " ")))

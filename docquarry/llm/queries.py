@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact, lines, packing, quality, simhash, toxicity
+from . import decontaminate, exact, lines, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_simhash": simhash.op6_simhash,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_exact_dedup": exact.op9_exact_dedup,
     "op10_quality": quality.op10_quality,
 }
 SQL = {
+    "op7_decontamination": decontaminate.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
     "op9_exact_dedup": exact.OP9_SQL,
 }
