@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, lines, packing, quality, simhash, toxicity
+from . import decontaminate, exact, licenses, lines, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,
