@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, licenses, lines, packing, quality, simhash, toxicity
+from . import decontaminate, exact, licenses, lines, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_pii": pii.op5_pii,
     "op6_simhash": simhash.op6_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_line_dedup": lines.op8_line_dedup,
