@@ -17,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, table, text_bytes
+from .common import map_batches, stored, table, text_bytes
 
 #: Lines of fewer words say too little to be called copies, and stay.
 MIN_WORDS = 5
 #: Lines of at least so many words may differ in one of them (similarity 0.9 or more).
 NEAR_WORDS = 10
-BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+#: Bits of the broadcast set of documents that are looked at again (16 MB, whatever the corpus; where
+#: it fills up, more documents are looked at).
+SET_BITS = 1 << 27
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def line_words(line: bytes) -> list[bytes]:
@@ -64,19 +67,16 @@ def line_keys(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text"))), work, "doc_id long, line int, words int, k1 long, k2 long, halves array<long>")
 
 
-def variants(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of the line without its i-th word, for every i, and of the line itself."""
+def variants(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of the line without its i-th word, for every i, and of the line itself."""
     import xxhash
 
     h = np.fromiter((xxhash.xxh64_intdigest(w, 17) for w in words), np.uint64, len(words))
-    found = []
-    for base in BASES:
-        inverse = np.uint64(pow(int(base), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h) - 1, base)]), dtype=np.uint64)
-            before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
-            found.append(np.append(before[:-1] + (before[-1] - before[1:]) * inverse, before[-1]))
-    return found[0], found[1]
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(h) - 1, BASE)]), dtype=np.uint64)
+        before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * powers, dtype=np.uint64)])
+        return np.append(before[:-1] + (before[-1] - before[1:]) * inverse, before[-1])
 
 
 def within_one(a: list[bytes], b: list[bytes]) -> bool:
@@ -89,22 +89,28 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i + 1 :]
 
 
-def near_earlier(lines: DataFrame, docs: DataFrame) -> DataFrame:
-    """``k1, k2, near``: an earlier line (``doc_id, line``) within one edit of the distinct line.
+def id_set(ids: DataFrame) -> np.ndarray:
+    """Bits for the hashes of ``doc_id``: never false for one of them.  At most ``SET_BITS``."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SET_BITS)) + 1  # the bitmap functions count from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    size = 4096
+    out = np.zeros(SET_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
 
-    ``lines`` are the distinct lines ``k1, k2, first, halves``, where ``first`` is the earliest
-    place of a line.
-    """
-    sides = lines.where("halves IS NOT NULL").select("k1", "k2", F.explode("halves").alias("half")).repartition("half")
-    shared = sides.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    alive = cut(sides.join(shared, "half", "left_semi").select("k1", "k2").distinct().join(lines.select("k1", "k2", "first"), ["k1", "k2"]))
-    wanted = alive.groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("first.line", "k1", "k2")).alias("wanted"))  # a document's own lines
+
+def line_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``k1, k2, doc_id, line, content`` for lines ``k1, k2, doc_id, line``; texts travel compressed."""
+    kept = docs.sparkSession.sparkContext.broadcast(id_set(wanted.select("doc_id")))
 
     def shrink(batches):
         import zstandard
 
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            bit = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(kept.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
 
     def pick(batches):
@@ -113,42 +119,62 @@ def near_earlier(lines: DataFrame, docs: DataFrame) -> DataFrame:
         opener = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for text, picked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text, picked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = opener.decompress(text).split(b"\n")
-                out += [(w["k1"], w["k2"], b" ".join(line_words(parts[w["line"]]))) for w in picked if w["line"] < len(parts)]
+                out += [(w["k1"], w["k2"], doc_id, w["line"], b" ".join(line_words(parts[w["line"]]))) for w in picked if w["line"] < len(parts)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["k1", "k2", "content"])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k1", "k2", "doc_id", "line", "content"])
+
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))
+    texts = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text")), bit.alias("bit")), shrink, "doc_id long, text binary")
+    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "k1", "k2")).alias("wanted"))  # a document's own lines
+    return map_batches(texts.join(by_doc, "doc_id").select("doc_id", "text", "wanted"), pick, "k1 long, k2 long, doc_id long, line int, content binary").dropDuplicates(["k1", "k2"])
 
-    texts = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text"))), shrink, "doc_id long, text binary")
-    contents = map_batches(texts.join(wanted, "doc_id").select("text", "wanted"), pick, "k1 long, k2 long, content binary")
-    contents = cut(contents.dropDuplicates(["k1", "k2"]).join(alive, ["k1", "k2"]))
+
+def near_earlier(places: DataFrame, lines: DataFrame, docs: DataFrame, near_words: int) -> DataFrame:
+    """``k1, k2, near``: an earlier line (``doc_id, line``) within one edit of the distinct line.
+
+    ``places`` are all lines with their hashes, ``lines`` the distinct ones with the earliest place
+    of each, ``first``.
+    """
+    sides = places.where(F.col("words") >= near_words).select("k1", F.explode("halves").alias("half")).repartition("half")
+    # both uses read one exchange, as they need the same columns of it
+    shared = sides.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
+    alive = sides.join(shared, "half", "left_semi").select("k1").distinct()
+    wanted = stored(lines.join(alive, "k1", "left_semi").select("k1", "k2", "first.doc_id", "first.line"))
+    contents = stored(line_contents(docs, wanted))
 
     def emit(batches):
         for batch in batches:
             for i, content in enumerate(batch.column(0).to_pylist()):
-                a, b = variants(content.split(b" "))
-                n = len(a)
-                same = lambda column: pa.array(np.full(n, column[i].as_py()), column.type)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.append(np.arange(n - 1), -1).astype(np.int32)), *(same(batch.column(k)) for k in (1, 2, 3, 4))], names=["v1", "v2", "place", "k1", "k2", "doc_id", "line"])
-
-    rows = map_batches(contents.select("content", "k1", "k2", "first.doc_id", "first.line"), emit, "v1 long, v2 long, place int, k1 long, k2 long, doc_id long, line int")
-    rows = rows.select("v1", "v2", "place", "k1", "k2", F.struct("doc_id", "line").alias("first"))
-    by_place = rows.groupBy("v1", "v2", "place").agg(F.min("first").alias("least"), F.count("*").alias("n"))
-    by_variant = by_place.groupBy("v1", "v2").agg(
-        F.min(F.when(F.col("place") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("least"))).alias("lacking"), F.sum("n").alias("n")
-    ).where("n > 1")
-    found = by_place.drop("n").join(by_variant, ["v1", "v2"]).select(
-        "v1", "v2", "place", F.when(F.col("place") < 0, F.col("lacking")).otherwise(F.least("least", "whole")).alias("near")
+                found = variants(content.split(b" "))
+                n = len(found)
+                place = np.append(np.arange(n - 1), -1).astype(np.int32)
+                size = np.full(n, n - 2, np.int32)
+                size[-1] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(size), pa.array(place), pa.array(np.full(n, batch.column(1)[i].as_py()))], names=["variant", "size", "place", "k1"])
+
+    rows = map_batches(contents.select("content", "k1"), emit, "variant long, size int, place int, k1 long").repartition("variant", "size")
+    met = rows.groupBy("variant", "size").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("place").alias("c")).where("a <> b").select("variant", "size")
+    rows = stored(rows.join(met, ["variant", "size"], "left_semi").join(wanted.select("k1", F.struct("doc_id", "line").alias("first")), "k1"))
+    by_place = rows.groupBy("variant", "size", "place").agg(F.min("first").alias("least"))
+    by_variant = by_place.groupBy("variant", "size").agg(
+        F.min(F.when(F.col("place") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("least"))).alias("lacking")
+    )
+    found = by_place.join(by_variant, ["variant", "size"]).select(
+        "variant", "size", "place", F.when(F.col("place") < 0, F.col("lacking")).otherwise(F.least("least", "whole")).alias("near")
     )
-    pairs = rows.join(found, ["v1", "v2", "place"]).where(F.col("near") < F.col("first")).groupBy("k1", "k2").agg(F.min("near").alias("near"))
-    other = contents.select(F.col("first").alias("near"), F.col("content").alias("other"))
+    pairs = rows.join(found, ["variant", "size", "place"]).where(F.col("near") < F.col("first")).groupBy("first").agg(F.min("near").alias("near"))
+    mine = contents.select("k1", "k2", F.struct("doc_id", "line").alias("first"), "content")
+    other = contents.select(F.struct("doc_id", "line").alias("near"), F.col("content").alias("other"))
 
     def verify(batches):
         for batch in batches:
             good = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["k1", "k2", "near"]).filter(pa.array(good, pa.bool_()))
 
-    checked = pairs.join(other, "near").join(contents.select("k1", "k2", "content"), ["k1", "k2"]).select("k1", "k2", "near", "content", "other")
+    checked = pairs.join(other, "near").join(mine, "first").select("k1", "k2", "near", "content", "other")
     return map_batches(checked, verify, "k1 long, k2 long, near struct<doc_id: long, line: int>")
 
 
@@ -162,13 +188,11 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     ``min_words`` words, empty ones among them, always stay.  Null texts have no such lines; rows
     without an id are left alone.  Rows that repeat an id must be copies, and are treated alike.
     """
-    places = line_keys(docs.where("doc_id IS NOT NULL"), min_words, near_words)
+    places = stored(line_keys(docs.where("doc_id IS NOT NULL"), min_words, near_words))
     place = F.struct("doc_id", "line").alias("place")
-    lines = cut(places.select("k1", "k2", "words", "halves", place).groupBy("k1", "k2").agg(
-        F.min("place").alias("first"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("halves").alias("halves")
-    ))
-    near = near_earlier(lines, docs)
-    repeated = lines.drop("halves").join(near, ["k1", "k2"], "left").where(F.col("near").isNotNull() | (F.col("n") > 1)).drop("words")
+    lines = stored(places.select("k1", "k2", place).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    near = stored(near_earlier(places, lines, docs, near_words))
+    repeated = lines.join(near, ["k1", "k2"], "left").where(F.col("near").isNotNull() | (F.col("n") > 1))
     found = places.select("k1", "k2", "doc_id", "line", "words").join(repeated, ["k1", "k2"])
     exact = F.col("near").isNull()
     keep = F.when(exact, F.col("first")).otherwise(F.col("near"))
