@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, licenses, lines, packing, pii, quality, simhash, toxicity
+from . import decontaminate, exact, licenses, lines, lm, packing, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_lm_score": lm.op2_lm_score,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_pii": pii.op5_pii,
