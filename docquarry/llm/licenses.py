@@ -36,9 +36,10 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under CC BY-NC 4.0", ("cc by nc",)),
     ("cc0", "dedicated to the public domain under CC0 1.0 Universal", ("cc0", "universal")),
 )
-#: Words of a template that the index holds; share of their weight that must agree on a place; words
+#: Words of a template that the index holds at most, and how rare (as a share of its rarest word's
+#: inverse document frequency) they must be, which keeps everyday words out of it; share of their weight that must agree on a place; words
 #: by which a place may be off (what an edited notice inserts or lacks).
-RARE_WORDS, COVERAGE, DRIFT = 6, 0.7, 4
+RARE_WORDS, RARITY, COVERAGE, DRIFT = 6, 0.5, 0.7, 4
 
 
 def tokens(text: str) -> list[str]:
@@ -85,6 +86,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     postings = []
     for k, (_, t, _) in enumerate(templates):
         rare = sorted(set(t), key=lambda w: (-idf(w), t.index(w)))[:RARE_WORDS]
+        rare = [w for w in rare if idf(w) >= RARITY * idf(rare[0])]
         weight = sum(idf(w) for w in rare)
         postings += [(w, k, at, idf(w) / weight) for w in rare for at, x in enumerate(t) if x == w]
     spark = docs.sparkSession
