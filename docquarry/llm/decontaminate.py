@@ -100,6 +100,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     return best.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start_word"), (-F.col("best.s")).alias("similarity"))
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows, with all their columns, of documents that hold no item.
+
+    A row without an id goes if any of these holds one, as they can't be told apart.
+    """
+    bad = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -205,11 +205,16 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 def without_duplicate_lines(docs: DataFrame, **how) -> DataFrame:
     """The same rows and columns without the lines that ``duplicate_lines`` names.
 
-    A text that loses all its lines becomes empty; ``n_chars``, where there is one, follows the text.
+    A text that loses all its lines of at least ``min_words`` words was a copy, and becomes empty:
+    its short lines only held these together.  ``n_chars``, where there is one, follows the text.
     """
+    min_words = how.get("min_words", MIN_WORDS)
     gone = duplicate_lines(docs, **how).groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_set("line_no").alias("__gone"))  # a document's own lines
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    out = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__gone", i.cast("long")))
+    long_line = lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words
+    out = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
+    kept = F.when(F.exists("__rest", long_line), F.array_join("__rest", "\n")).otherwise("")
+    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -186,5 +186,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, shard: int
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
+    """The rows, with all their columns, of one document of each component, the smallest id's.
+
+    Fingerprints are of five-word shingles here.  Rows without an id all stay.
+    """
+    gone = near_duplicates(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

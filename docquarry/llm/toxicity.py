@@ -175,5 +175,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
     return map_batches(docs.select(F.col("doc_id").cast("long"), (fold(F.col("doc_id")) == 0).alias("held_out"), text_bytes(F.col("text"))), work, "doc_id long, held_out boolean, score double, predicted int, matches long")
 
 
+def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that ``toxicity_scores`` gives less than ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))  # at most SEEDS and LEARNED_WORDS phrases
+    at = docs.columns.index("text")
+
+    def work(batches):
+        weights, t = model.value
+        lexicon = Lexicon(weights)
+        for batch in batches:
+            x = np.array([lexicon.features(s or "") for s in batch.column(at).to_pylist()], np.float64).reshape(-1, 3)
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ t[:3] + t[3], -30, 30))) < threshold))
+
+    return map_batches(docs, work, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
