@@ -1,0 +1 @@
+"""Text functions, word forms and snippets."""

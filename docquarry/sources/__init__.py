@@ -1,0 +1 @@
+"""Where documents, changes and queries come from."""

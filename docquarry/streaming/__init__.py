@@ -1,0 +1 @@
+"""Change streams."""
