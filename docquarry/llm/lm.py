@@ -27,6 +27,8 @@ WORD_CLASSES, ENDING_CLASSES = 128, 127
 CLASSES = WORD_CLASSES + ENDING_CLASSES + 1
 CONTEXT, SIZE = 4, 16
 NOISE, BATCH, RATE = 24, 4096, 0.15
+#: Samples of noise that a batch shares; each stands for a part of a token's NOISE.
+DRAWN = 48
 #: Documents that the driver's first fit looks at, before the fit on all of them.
 WARM_ROWS = 2000
 #: Words a task counts before it hands on what it has.
@@ -126,12 +128,12 @@ class Trainer:
 
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         p, n = self.p, len(target)
-        drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(NOISE * 4)), CLASSES - 1)
+        drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(DRAWN)), CLASSES - 1)
         vector = predicted(p, ctx)
         own = np.einsum("td,td->t", vector, p["q"][target]) + p["b"][target] - self.log_noise[target]
         others = vector @ p["q"][drawn].T + p["b"][drawn] - self.log_noise[drawn]
         d_own = (1 / (1 + np.exp(-np.clip(own, -20, 20))) - 1).astype(np.float32)
-        d_others = (1 / (1 + np.exp(-np.clip(others, -20, 20)))).astype(np.float32) / np.float32(4)  # each drawn one stands for a quarter
+        d_others = (1 / (1 + np.exp(-np.clip(others, -20, 20)))).astype(np.float32) * np.float32(NOISE / DRAWN)
         d_vector = d_own[:, None] * p["q"][target] + d_others @ p["q"][drawn]
         g = {"q": added(target, d_own[:, None] * vector), "b": np.bincount(target, d_own, CLASSES).astype(np.float32)}
         np.add.at(g["q"], drawn, d_others.T @ vector)
@@ -159,15 +161,20 @@ class Trainer:
 
 def log10_classes(p: dict[str, np.ndarray], cls: np.ndarray) -> float:
     """log10 probability of a text's classes, each normalised over all classes."""
-    ctx, total, out = contexts(cls), 0.0, p["q"].T.copy()
+    ctx, total, out, ones = contexts(cls), 0.0, p["q"].T.copy(), np.ones(CLASSES, np.float32)
+    reach, lift = np.sqrt((p["q"] ** 2).sum(1).max()), p["b"].max()
     for at in range(0, len(cls), 2048):
-        score = predicted(p, ctx[:, at : at + 2048]) @ out
+        vector, target = predicted(p, ctx[:, at : at + 2048]), cls[at : at + 2048]
+        own = np.einsum("td,td->t", vector, p["q"][target]) + p["b"][target]
+        # no score exceeds this; it is near enough for float32 unless vectors are very long
+        top = np.sqrt(np.einsum("td,td->t", vector, vector)) * reach + lift
+        score = vector @ out
         score += p["b"]
-        own = score[np.arange(len(score)), cls[at : at + 2048]].astype(np.float64)
-        top = score.max(1)
+        if top.max() > 60:
+            top = score.max(1)
         score -= top[:, None]
         np.exp(score, out=score)
-        total += float((own - top - np.log(score.sum(1, dtype=np.float32))).sum())
+        total += float((own - top - np.log(score @ ones)).sum(dtype=np.float64))
     return total / np.log(10)
 
 
@@ -182,8 +189,9 @@ def train(texts: DataFrame, classes: tuple, noise: np.ndarray) -> dict[str, np.n
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([own.of(tokens(t))[1].tobytes() for t in batch.column(0).to_pylist()], pa.binary())], names=["cls"])
 
-    sample = texts.orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(WARM_ROWS).select("text")
-    first = [np.frombuffer(x, np.uint8) for x in map_batches(sample, classify, "cls binary").toArrow().column(0).to_pylist()]
+    n = texts.count()
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, WARM_ROWS / max(1, n)))).select("text")
+    first = [np.frombuffer(x, np.uint8) for x in sorted(map_batches(sample, classify, "cls binary").toArrow().column(0).to_pylist())]
     p = start_parameters()
     p["b"] = np.log(noise).astype(np.float32)
     warm = Trainer(p, noise, 11)
@@ -209,6 +217,23 @@ def train(texts: DataFrame, classes: tuple, noise: np.ndarray) -> dict[str, np.n
     return out
 
 
+def frequent_words(counts: DataFrame) -> list[tuple[bytes, int]]:
+    """At most HEAD_WORDS words and counts, the end of a text first, then by count.
+
+    They are those above a threshold, found on a coarse histogram of counts; no task sorts them all.
+    """
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes = {r["s"]: r["n"] for r in counts.groupBy(step.alias("s")).agg(F.count("*").alias("n")).collect()}  # at most 16 * 64 rows
+    least, taken = max(sizes, default=0) + 1, 1
+    for s in sorted(sizes, reverse=True):
+        taken += sizes[s]
+        if taken > HEAD_WORDS:
+            break
+        least = s
+    found = counts.where((step >= least) | (F.col("word") == END)).collect()
+    return sorted(((bytes(r["word"]), r["c"]) for r in found), key=lambda x: (x[0] != END, -x[1], x[0]))
+
+
 def language_model_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
@@ -221,7 +246,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     training = texts.where(~F.col("held_out"))
     counts = stored(count_words(training.select("text")))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r["word"]), r["c"]) for r in counts.orderBy(F.desc(F.col("word") == END), F.desc("c"), "word").limit(HEAD_WORDS).collect()]
+    top = frequent_words(counts)
     own = {w for w, _ in top[:WORD_CLASSES]}
     rest = counts.where(~F.col("word").isin([bytearray(w) for w in own])) if own else counts
     ending = F.substring("word", -2, 2)
