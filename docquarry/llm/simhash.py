@@ -20,7 +20,7 @@ from .common import cut, map_batches, table, text_bytes
 
 #: Fingerprints that live in one shard, on average; one of over OVERFULL times as many is split on.
 SHARD, OVERFULL = 4096, 4
-#: Fingerprints looked at to choose vantage points and radii.  It shapes the tree, not the result.
+#: Fingerprints looked at (about) to choose vantage points and radii.  It shapes the tree, not the result.
 TREE_SAMPLE = 2048
 LANES = np.uint64(0x0101010101010101)
 
@@ -126,9 +126,10 @@ def near_edges(points: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     split by vantage points of their own, and visitors are dealt to copies of a shard.
     """
     n = points.count()
-    sample = np.array([r["fp"] for r in points.orderBy(F.xxhash64("fp", F.lit(1))).limit(TREE_SAMPLE).collect()], np.int64).view(np.uint64)
+    share = int((1 << 40) * min(1.0, TREE_SAMPLE / max(1, n)))
+    sample = np.array(sorted(r["fp"] for r in points.where(F.pmod(F.xxhash64("fp", F.lit(1)), F.lit(1 << 40)) < share).collect()), np.int64).view(np.uint64)
     levels = []
-    for v in sample[: max(0, math.ceil(math.log2(max(1, n / shard))))]:
+    for v in np.random.default_rng(1).permutation(sample)[: max(0, math.ceil(math.log2(max(1, n / shard))))]:
         levels.append((int(v), max(1, int(np.median(np.bitwise_count(sample ^ v))))))
     dealt = cut(deal(points, levels, radius))
     while (deeper := split_on(dealt, OVERFULL * shard, radius)) is not None:
