@@ -13,6 +13,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 # --- fixed values: tags of content words (nouns, verbs, modifiers, roots, foreign words, numbers)
 CONTENT_TAGS = ("NNG", "NNP", "NNB", "NR", "NP", "VV", "VA", "VX", "MM", "MAG", "MAJ", "IC", "XR", "XPN", "SL", "SH", "SN")
@@ -83,7 +84,7 @@ def with_morph_field(bodies: DataFrame, make: Callable[[], Morphology] | None, c
 
     if make is None:
         return bodies.withColumn(column, F.lit(""))
-    schema = bodies.schema.add(column, "string")
+    schema = StructType([*bodies.schema.fields, StructField(column, StringType())])
     at = bodies.columns.index("body")
 
     def work(batches):

@@ -10,6 +10,7 @@ from xml.parsers import expat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..errors import ExtractError
 
@@ -196,7 +197,7 @@ def extract(extension: str, content: bytes | None, extractors: dict[str, Extract
 def with_bodies(files: DataFrame, extractors: dict[str, Extractor] | None = None) -> DataFrame:
     """``body`` and ``error`` in place of ``content``, for files with ``extension``; problems are data."""
     chosen = extractors or EXTRACTORS
-    schema = files.drop("content").schema.add("body", "string").add("error", "string")
+    schema = StructType([*(f for f in files.schema.fields if f.name != "content"), StructField("body", StringType()), StructField("error", StringType())])
     at, ext = files.columns.index("content"), files.columns.index("extension")
 
     def work(batches: Iterable[pa.RecordBatch]):
