@@ -23,12 +23,12 @@ from .common import fold, map_batches, stored, table, text_bytes
 #: Words whose counts are broadcast (about 15 MB in a worker).
 HEAD_WORDS = 100_000
 #: Classes: words of their own (the end of a text among them), endings, and one for the rest.
-WORD_CLASSES, ENDING_CLASSES = 128, 127
+WORD_CLASSES, ENDING_CLASSES = 96, 95
 CLASSES = WORD_CLASSES + ENDING_CLASSES + 1
-CONTEXT, SIZE = 4, 16
+CONTEXT, SIZE = 3, 16
 NOISE, BATCH, RATE = 24, 4096, 0.15
 #: Samples of noise that a batch shares; each stands for a part of a token's NOISE.
-DRAWN = 48
+DRAWN = 32
 #: Documents that the driver's first fit looks at, before the fit on all of them.
 WARM_ROWS = 2000
 #: Words a task counts before it hands on what it has.
