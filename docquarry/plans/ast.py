@@ -9,7 +9,7 @@ from dataclasses import dataclass
 class Phrase:
     """Index tokens that stand one after the other in one field; the last may be a prefix.
 
-    No tokens (``"%"``) match nothing, and are ignored next to something else.
+    No tokens (``"%"``) match nothing; the parser leaves them out beside other words.
     """
 
     tokens: tuple[str, ...]
@@ -41,15 +41,17 @@ Node = Phrase | And | Or | Not
 
 
 def simplified(node: Node) -> Node | None:
-    """Without the phrases that have no tokens; None where nothing is left."""
+    """Without the phrases that have no tokens, which match nothing; None where nothing can match."""
     if isinstance(node, Phrase):
         return node if node.tokens else None
     left, right = simplified(node.left), simplified(node.right)
+    if isinstance(node, And):
+        return None if left is None or right is None else And(left, right)
     if isinstance(node, Not):
         return left if left is None or right is None else Not(left, right)
     if left is None or right is None:
         return right if left is None else left
-    return type(node)(left, right)
+    return Or(left, right)
 
 
 def phrases(node: Node | None) -> list[Phrase]:

@@ -342,7 +342,7 @@ SQL = {
         FROM (SELECT *, greatest(ps - 41, 0) AS s, least(ps + 42, length(body)) AS e FROM (SELECT document_id, body, strpos(lower(body), 'the') AS ps FROM docs WHERE index_tier = 'FULL') WHERE ps > 0)"""),
     "session_debounce": """SELECT min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(DISTINCT user_id) AS n_paths FROM (
         SELECT ts, user_id, sum(begins) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
-          SELECT ts, user_id, CASE WHEN ts >= lag(ts) OVER (ORDER BY ts) + INTERVAL 10 MINUTE OR lag(ts) OVER (ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS begins FROM events WHERE ts IS NOT NULL)) GROUP BY session""",
+          SELECT ts, user_id, CASE WHEN ts > lag(ts) OVER (ORDER BY ts) + INTERVAL 10 MINUTE OR lag(ts) OVER (ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS begins FROM events WHERE ts IS NOT NULL)) GROUP BY session""",
     "remove_path_effect": _with(FILES, tail="SELECT document_id, index_tier FROM docs WHERE document_id NOT IN (SELECT document_id FROM paths WHERE NOT starts_with(path, '/corpus/src1/'))"),
     "upsert_paths": _with(FILES, tail="SELECT CASE WHEN starts_with(path, '/corpus/src2/') THEN sha256('') ELSE document_id END AS document_id, count(*) AS n_paths FROM paths GROUP BY 1"),
     "latest_per_document": _with(FILES, tail="SELECT document_id, path, modified_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY modified_at DESC, path) AS k FROM paths) WHERE k = 1"),

@@ -29,7 +29,7 @@ def relevant(changes: DataFrame) -> DataFrame:
 
 
 def debounced(changes: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
-    """``session_start, session_end, paths``: one global session that any path prolongs.
+    """``session_start, session_end, paths``: one global session that any path prolongs, the gap itself included.
 
     On a stream the watermark only lets append mode close sessions.
     """

@@ -97,7 +97,7 @@ def test_word_forms(made):
     assert found["창고.txt"][0] == "MORPHOLOGICAL" and ">>지었고,<<" in found["창고.txt"][1] and found.keys() == {"공사.txt", "창고.txt"}
     assert [k for _, k, _ in hits("채권 발행", morphology)] == ["EXACT"] and [k for _, k, _ in hits("위원회", morphology)] == ["EXACT"]
     assert {n: k for n, k, _ in hits("이사회", morphology)}["이사.txt"] == "MORPHOLOGICAL"
-    assert ">>수행<<한다" in hits("수행함", morphology)[0][2] and ">>레이아웃<<과" in hits("레이아웃*")[0][2]
+    assert ">>수행<<한다" in hits("수행함", morphology)[0][2] and ">>레이아웃<<과" in hits("레이아웃", morphology)[0][2]
     assert ("이사.txt" in {n for n, *_ in hits("이사")})  # by bigrams
 
 

@@ -27,7 +27,7 @@ def corpus(spark):
     return built, sizes, db
 
 
-QUERIES = ["ab", "ab cd", "ab AND cd", "ab OR x", "ab NOT x", "ab OR cd x", "x NOT ab y", '"ab cd"', '"ab cd x" OR y', "ab*", '"x ab"*', "ab ab", "ete", "nothing", 'x AND "%"', '"b b" OR "x y" NOT cd', "y OR b AND ab NOT x"]
+QUERIES = ["ab", "ab cd", "ab AND cd", "ab OR x", "ab NOT x", "ab OR cd x", "x NOT ab y", '"ab cd"', '"ab cd x" OR y', "ab*", '"x ab"*', "ab ab", "ete", "nothing", 'x AND "%"', 'x "%"', '"%" OR x', 'x NOT "%"', '"%" NOT x', '"b b" OR "x y" NOT cd', "y OR b AND ab NOT x"]
 
 
 @pytest.mark.parametrize("query", QUERIES)

@@ -12,7 +12,7 @@ def test_difference():
 
 
 def test_sessions(spark):
-    rows = spark.createDataFrame([(f"2026-01-01 00:00:{s:02}", p) for s, p in ((0, "a"), (2, "b"), (4, "a"), (7, "c"), (20, "a"))], "t string, path string").selectExpr("timestamp(t) AS ts", "path")
+    rows = spark.createDataFrame([(f"2026-01-01 00:00:{s:02}", p) for s, p in ((0, "a"), (2, "b"), (5, "a"), (9, "c"), (20, "a"))], "t string, path string").selectExpr("timestamp(t) AS ts", "path")
     found = debounced(rows, "3 seconds").orderBy("session_start").collect()
     assert [sorted(r["paths"]) for r in found] == [["a", "b"], ["c"], ["a"]]
 
