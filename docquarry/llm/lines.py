@@ -26,6 +26,8 @@ NEAR_WORDS = 10
 #: Bits of the broadcast set of documents that are looked at again (16 MB, whatever the corpus; where
 #: it fills up, more documents are looked at).
 SET_BITS = 1 << 27
+#: A line with more than this part of all lines' places is joined by broadcast.
+HOT_SHARE = 1000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -192,8 +194,12 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     place = F.struct("doc_id", "line").alias("place")
     lines = stored(places.select("k1", "k2", place).groupBy("k1", "k2").agg(F.min("place").alias("first"), F.count("*").alias("n")))
     near = stored(near_earlier(places, lines, docs, near_words))
-    repeated = lines.join(near, ["k1", "k2"], "left").where(F.col("near").isNotNull() | (F.col("n") > 1))
-    found = places.select("k1", "k2", "doc_id", "line", "words").join(repeated, ["k1", "k2"])
+    repeated = stored(lines.join(near, ["k1", "k2"], "left").where(F.col("near").isNotNull() | (F.col("n") > 1)))
+    every = places.select("k1", "k2", "doc_id", "line", "words")
+    # at most HOT_SHARE lines can have over a HOT_SHARE-th of all places: these go to the places
+    hot = F.broadcast(repeated.where(F.col("n") > places.count() // HOT_SHARE))
+    rest = every.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(repeated, ["k1", "k2"])
+    found = every.join(hot, ["k1", "k2"]).unionByName(rest)
     exact = F.col("near").isNull()
     keep = F.when(exact, F.col("first")).otherwise(F.col("near"))
     return found.where(~exact | (F.struct("doc_id", "line") > F.col("first"))).select(

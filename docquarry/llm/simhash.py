@@ -102,6 +102,8 @@ def split_on(dealt: DataFrame, most: int, radius: int) -> DataFrame | None:
 
 def links(lives: np.ndarray, visits: np.ndarray, radius: int, among: bool) -> list[tuple[int, int]]:
     """A spanning forest of the pairs within ``radius``: indexes, visitors after those that live here."""
+    if not len(lives):
+        return []
     every = np.concatenate([lives, visits])
     label, out = np.arange(len(every)), []
     for at in range(0 if among else len(lives), len(every), 256):
