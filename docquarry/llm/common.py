@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -92,6 +93,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -
 
 ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
 
+#: Bits of a broadcast set of documents that are looked at again (16 MB, whatever the corpus; where it
+#: fills up, more documents are looked at).
+SET_BITS = 1 << 27
+
+
+def id_set(ids: DataFrame) -> np.ndarray:
+    """Bits for the hashes of ``doc_id``: never false for one of them.  At most ``SET_BITS``."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SET_BITS)) + 1  # the bitmap functions count from 1
+    parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    size = 4096
+    out = np.zeros(SET_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return out
+
+
 #: What stands between words of licence and benchmark texts: ASCII that is no letter or digit.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

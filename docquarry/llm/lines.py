@@ -17,15 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, table, text_bytes
+from .common import SET_BITS, id_set, map_batches, stored, table, text_bytes
 
 #: Lines of fewer words say too little to be called copies, and stay.
 MIN_WORDS = 5
 #: Lines of at least so many words may differ in one of them (similarity 0.9 or more).
 NEAR_WORDS = 10
-#: Bits of the broadcast set of documents that are looked at again (16 MB, whatever the corpus; where
-#: it fills up, more documents are looked at).
-SET_BITS = 1 << 27
 #: A line with more than this part of all lines' places is joined by broadcast.
 HOT_SHARE = 1000
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -91,17 +88,6 @@ def within_one(a: list[bytes], b: list[bytes]) -> bool:
     return a[i:] == b[i + 1 :] if len(a) < len(b) else a[i + 1 :] == b[i + 1 :]
 
 
-def id_set(ids: DataFrame) -> np.ndarray:
-    """Bits for the hashes of ``doc_id``: never false for one of them.  At most ``SET_BITS``."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SET_BITS)) + 1  # the bitmap functions count from 1
-    parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
-    size = 4096
-    out = np.zeros(SET_BITS // 8, np.uint8)
-    for r in parts:
-        out[(r["bucket"] - 1) * size : r["bucket"] * size] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    return out
-
-
 def line_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``k1, k2, doc_id, line, content`` for lines ``k1, k2, doc_id, line``; texts travel compressed."""
     kept = docs.sparkSession.sparkContext.broadcast(id_set(wanted.select("doc_id")))

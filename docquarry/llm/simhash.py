@@ -16,12 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, table, text_bytes
+from .common import SET_BITS, cut, id_set, map_batches, stored, table, text_bytes
 
 #: Fingerprints that live in one shard, on average; one of over OVERFULL times as many is split on.
 SHARD, OVERFULL = 4096, 4
 #: Fingerprints looked at (about) to choose vantage points and radii.  It shapes the tree, not the result.
 TREE_SAMPLE = 2048
+#: For texts that are to be similar by their shingles: sampled shingles by which they meet, the bits by
+#: which they may differ then and in the tree.
+KEYS, MEETING_RADIUS, TREE_RADIUS = 6, 19, 3
+#: Larger groups are dealt into such, so many times, and their texts paired with so many.
+GROUP, DEALS, NEAREST = 64, 3, 4
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -35,20 +40,26 @@ def bit_majority(hashes: np.ndarray) -> int:
     return int(np.packbits((counts.ravel() * 2 > len(hashes)), bitorder="little").view("<u8")[0])
 
 
-def simhash(text: bytes, words: int) -> int:
-    """Fingerprint of a text's word shingles (XXH64, seed 42), repeats included; 0 without words."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles, repeats included; of all its words if these are few."""
     import xxhash
 
     tokens = text.lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     if len(tokens) < words:
-        return xxhash.xxh64_intdigest(b" ".join(tokens), 42)
+        return np.array([xxhash.xxh64_intdigest(b" ".join(tokens), 42)], np.uint64)
     joined, digest = b" ".join(tokens), xxhash.xxh64_intdigest
     lengths = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: len(tokens) - words + 1].tolist()
-    return bit_majority(np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64))
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def simhash(text: bytes, words: int) -> int:
+    """Fingerprint of a text's word shingles; 0 without words."""
+    hashes = shingle_hashes(text, words)
+    return bit_majority(hashes) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -189,12 +200,114 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, shard: int
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 3) -> DataFrame:
-    """The rows, with all their columns, of one document of each component, the smallest id's.
+def described(docs: DataFrame, words: int) -> DataFrame:
+    """``doc_id, c1, c2, fp, keys``: what a text is, its fingerprint, and its KEYS smallest shingle hashes."""
+
+    def work(batches):
+        import xxhash
+
+        for batch in batches:
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                hashes, content = shingle_hashes(text, words), xxhash.xxh3_128_intdigest(b" ".join(text.lower().split()))
+                fp = bit_majority(hashes) if len(hashes) else 0
+                rows.append((doc_id, (content >> 64) - (1 << 63), (content & (1 << 64) - 1) - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, np.unique(hashes)[:KEYS].view(np.int64).tolist()))
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "c1", "c2", "fp", "keys"])
+
+    return map_batches(docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text"))), work, "doc_id long, c1 long, c2 long, fp long, keys array<long>")
+
+
+def meeting_edges(texts: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: texts ``id, fp, keys`` that share a key and differ in at most ``radius`` bits.
+
+    All such pairs in groups of up to GROUP texts.  Larger groups are dealt into parts of about that
+    size, DEALS times in different ways, and each text is paired with its NEAREST in every part; and
+    with the group's centre, the text nearest to its bits' majority, as copies may be similar to
+    nothing but their original.
+    """
+    rows = texts.select("id", "fp", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    count = F.ceil(F.col("n") / GROUP)
+    deals = F.transform(F.sequence(F.lit(0), F.lit(DEALS - 1)), lambda d: d * count + F.pmod(F.xxhash64("id", "key", d), count))
+    parts = rows.join(sizes, "key").withColumn("part", F.explode(F.when(F.col("n") <= GROUP, F.array(F.lit(0).cast("long"))).otherwise(deals)))
+
+    def work(key, group):
+        ids, fp, whole = group.column("id").to_numpy(), group.column("fp").to_numpy().view(np.uint64), group.column("n")[0].as_py() <= GROUP
+        apart = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(np.int64)
+        apart[np.arange(len(ids)), np.arange(len(ids))] = 99
+        if whole:
+            a, b = np.nonzero(np.triu(apart <= radius, 1))
+        else:
+            b = np.argsort(apart, axis=1, kind="stable")[:, :NEAREST].ravel()
+            a = np.repeat(np.arange(len(ids)), min(NEAREST, len(ids)))
+            near = apart[a, b] <= radius
+            a, b = a[near], b[near]
+        return pa.table({"a": pa.array(np.maximum(ids[a], ids[b])), "b": pa.array(np.minimum(ids[a], ids[b]))})
+
+    large = rows.join(sizes.where(F.col("n") > GROUP), "key")
+    bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))
+    most = sum((F.when(F.sum(bit(k)) * 2 > F.count("*"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(0) for k in range(1, 64)), F.when(F.sum(bit(0)) * 2 > F.count("*"), F.lit(1).cast("long")).otherwise(0))
+    majority = large.groupBy("key").agg(most.alias("most"))
+    apart = lambda other: F.bit_count(F.col("fp").bitwiseXOR(F.col(other)))
+    centre = large.join(majority, "key").groupBy("key").agg(F.min(F.struct(apart("most").alias("d"), F.col("id").alias("centre"), F.col("fp").alias("cfp"))).alias("c")).select("key", "c.centre", "c.cfp")
+    star = large.join(centre, "key").where((F.col("id") != F.col("centre")) & (apart("cfp") <= radius)).select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
+    return parts.groupBy("key", "part").applyInArrow(work, "a long, b long").unionByName(star)
+
+
+def similar(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges whose texts' sets of shingles are at least so similar (Jaccard)."""
+    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    kept = docs.sparkSession.sparkContext.broadcast(id_set(ids))
+    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))
+
+    def work(batches):
+        for batch in batches:
+            bits = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array(kept.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "own"])
+
+    rows = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text")), bit.alias("bit")), work, "doc_id long, own binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rows = stored(rows)
+    both = edges.join(rows.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
+
+    def verify(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(shared >= similarity * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return map_batches(both, verify, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id``: groups of texts that are linked by shingle similarity.
 
-    Fingerprints are of five-word shingles here.  Rows without an id all stay.
+    At this similarity fingerprints are too far apart for a tree to prune (10 of 64 bits on average),
+    so texts meet in two ways: in the tree at TREE_RADIUS bits, and by any of their KEYS smallest
+    shingle hashes, where all within MEETING_RADIUS bits count.  A pair of similarity 0.8 misses both
+    with a probability of about 0.0005.  Either way the exact similarity of their sets of shingles
+    decides.  Equal texts (words in lower case) are one from the start.  Rows without an id are
+    left out; rows that repeat one must be copies.
     """
-    gone = near_duplicates(docs, words, radius).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    prints = stored(described(docs.where("doc_id IS NOT NULL"), words))
+    texts = stored(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    tree = near_edges(cut(texts.groupBy("fp").agg(F.min("id").alias("id"))), TREE_RADIUS)
+    pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = stored(pair(tree).unionByName(meeting_edges(texts, MEETING_RADIUS)).distinct())
+    named = components(similar(edges, docs, words, similarity))
+    groups = texts.join(named, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component_id"))
+    return prints.join(groups, ["c1", "c2"]).select("doc_id", "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows, with all their columns, of one document of each group of ``similar_groups``: that of
+    the smallest id.  Rows without an id all stay."""
+    gone = similar_groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

@@ -76,8 +76,49 @@ def test_forest_is_small():
     assert len(found) == 8
 
 
+def similar_groups(rows, least=0.8):
+    sets = {}
+    for i, text in rows:
+        w = (text or "").encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and (a == b or len(a & b) >= least * len(a | b)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return {i: find(i) for i in sets}
+
+
+def test_similar_like_all_pairs(spark, documents, empty):
+    """Edited copies, a group larger than is looked at whole, and odd rows."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = [(r["doc_id"], r["text"]) for r in documents.where("doc_id IS NOT NULL").select("doc_id", "text").distinct().collect()]
+    at = 1000
+    for copies in [2] * 30 + [120]:
+        base = [word() for _ in range(rng.randrange(40, 200))]
+        for _ in range(copies):
+            words = list(base)
+            for _ in range(rng.randrange(0, len(base) // 45 + 1)):
+                words[rng.randrange(len(words))] = word()
+            rows.append((at, " ".join(words)))
+            at += 1
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert got == similar_groups(sorted(rows))
+    assert simhash.similar_groups(empty).count() == 0
+
+
 def test_stage_keeps_one_of_each(documents):
     kept = simhash.without_near_duplicates(documents)
     assert kept.columns == documents.columns
-    names = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(documents, 5, 3).collect()}
+    names = similar_groups(sorted({(r["doc_id"], r["text"]) for r in documents.where("doc_id IS NOT NULL").collect()}, key=lambda x: x[0]))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in names.items() if i == c} | {None}
