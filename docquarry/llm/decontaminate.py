@@ -20,8 +20,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: in at most ``RADIUS`` bits differ in at most ``FLIPS`` bits of some block.
 BLOCKS, FLIPS = (13, 13, 13, 13, 12), 3
 RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
-#: Shingles of all items up to which they are broadcast; beyond, documents' shingles are shuffled.
-BROADCAST_SHINGLES = 500_000
+#: Shingles of all items, and keys of their index, up to which these are broadcast (under 100 MB);
+#: beyond, documents' shingles and windows are shuffled to them.
+BROADCAST_SHINGLES, BROADCAST_KEYS = 500_000, 1_000_000
 
 
 def with_shingles(df: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -72,30 +73,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     items = cut(with_shingles(benchmark.where("item_id IS NOT NULL").select("item_id", "text")).select("item_id", "shingles").distinct()).where(F.size("shingles") > 0)
     items = cut(items.select("item_id", F.size("shingles").alias("n"), "shingles", simhash(F.col("shingles")).alias("item_fp"), counted(F.col("shingles")).alias("item")))
     seeds = items.select("n", F.posexplode("shingles").alias("at", "shingle")).distinct()
-    if seeds.count() <= BROADCAST_SHINGLES:
-        seeds = F.broadcast(seeds)
     texts = with_shingles(docs.select("doc_id", "text")).select("doc_id", "shingles")
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.size("shingles") - F.col("n")), F.lit(0))
+    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")), F.lit(0)).alias("start")
+    # outer, as the filter that Spark would else infer repeats the whole expression in its own lambda
+    spots = F.posexplode_outer("shingles").alias("pos", "shingle")
+    window = F.slice("shingles", F.col("start") + 1, F.col("n")).alias("window")
+    if seeds.count() <= BROADCAST_SHINGLES:
+        # the join follows in one stage, so that only rows that hit are given the array
+        hits = texts.select("doc_id", "shingles", F.size("shingles").alias("size"), spots).join(F.broadcast(seeds), "shingle").select("doc_id", "shingles", "n", start)
+        windows = hits.select("doc_id", "n", "start", window)
+    else:
+        hits = texts.select("doc_id", F.size("shingles").alias("size"), spots).where("shingle IS NOT NULL").join(seeds.hint("merge"), "shingle").select(F.col("doc_id").alias("id"), "n", start).distinct()
+        windows = hits.join(texts, hits["id"].eqNullSafe(texts["doc_id"])).select("doc_id", "n", "start", window)
     # cut, so that no fingerprint is computed before equal windows of a document are one
-    windows = cut(
-        # outer, as the filter that Spark would else infer repeats the whole expression in its own lambda
-        texts.select("doc_id", "shingles", F.posexplode_outer("shingles").alias("pos", "shingle"))
-        .join(seeds, "shingle")
-        .select("doc_id", "n", start.alias("start"), F.slice("shingles", start + 1, F.col("n")).alias("window"))
-        .distinct()
-    ).withColumn("fp", simhash(F.col("window")))
+    windows = cut(windows.distinct()).withColumn("fp", simhash(F.col("window")))
     masks = {w: [sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(w), k)] for w in set(BLOCKS)}
     near = lambda block, width: F.transform(F.array(*map(F.lit, masks[width])), lambda m: block.bitwiseXOR(m.cast("long")))
     index = items.select("item_id", "n", "item_fp", F.posexplode(F.array(*(near(b, w) for b, w in blocks(F.col("item_fp"))))).alias("block", "keys")).select("item_id", "n", "item_fp", "block", F.explode("keys").alias("key"))
+    few = items.count() * sum(len(masks[w]) for w in BLOCKS) <= BROADCAST_KEYS
+    sized = lambda df: F.broadcast(df) if few else df.hint("merge")
     looked_up = windows.select("*", F.posexplode(F.array(*(b for b, _ in blocks(F.col("fp"))))).alias("block", "key"))
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     # a window and an item may meet in several blocks: they count where they first do
     mixed = F.col("fp").bitwiseXOR(F.col("item_fp"))
     first = F.coalesce(*(F.when(F.bit_count(b) <= FLIPS, F.lit(k)) for k, (b, _) in enumerate(blocks(mixed)))) == F.col("block")
-    found = looked_up.join(index, ["n", "block", "key"]).where((apart <= RADIUS) & first).select("doc_id", "start", "window", "item_id")
+    found = looked_up.join(sized(index), ["n", "block", "key"]).where((apart <= RADIUS) & first).select("doc_id", "start", "window", "item_id")
     both = F.size(F.array_intersect("item", counted(F.col("window"))))
     share = both / (F.size("item") + F.size("window") - both)
-    scored = found.join(items.select("item_id", "item"), "item_id").withColumn("similarity", share).where(F.col("similarity") >= similarity)
+    scored = found.join(sized(items.select("item_id", "item")), "item_id").withColumn("similarity", share).where(F.col("similarity") >= similarity)
     best = scored.groupBy("doc_id", "item_id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "start")).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.start").cast("long").alias("start_word"), (-F.col("best.s")).alias("similarity"))
 

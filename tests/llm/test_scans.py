@@ -99,6 +99,7 @@ def contaminated(docs, items):
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_contamination(spark, documents, empty, monkeypatch, most):
     monkeypatch.setattr(decontaminate, "BROADCAST_SHINGLES", most)
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", most)
     rng = random.Random(6)
     item = lambda n: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("stuvw") for _ in range(n))
     items = [(i, item(n)) for i, n in enumerate((30, 30, 45, 60, 8, 5, 4, 40))] + [(20, None), (21, ""), (22, "of the of the of the of the of the"), (23, "of the of the of the of the of the")]
