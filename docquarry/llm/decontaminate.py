@@ -36,14 +36,14 @@ def with_shingles(df: DataFrame, words: int = SHINGLE) -> DataFrame:
 def simhash(shingles: Column) -> Column:
     """Bits set in over half the shingle hashes, repeats included.
 
-    Four bits at a time are counted in four lanes of 16 bits of one sum (items of up to 65,535 words).
+    Three bits at a time are counted in three lanes of 20 bits of one sum (a million shingles).
     """
-    spread = lambda h, k: (F.shiftright(h, 4 * k).bitwiseAND(F.lit(15)) * F.lit(0x0000200040008001)).bitwiseAND(F.lit(0x0001000100010001))
+    spread = lambda h, k: (F.shiftrightunsigned(h, 3 * k).bitwiseAND(F.lit(7)) * F.lit(1 | 1 << 19 | 1 << 38)).bitwiseAND(F.lit(1 | 1 << 20 | 1 << 40))
     lane = lambda k: F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, h: acc + spread(h, k))
-    lanes = F.array(*map(lane, range(16)))
-    most = lambda lane, j: F.shiftrightunsigned(lane, 16 * j).bitwiseAND(F.lit(65535)) * 2 > F.size(shingles)
-    nibbles = F.transform(lanes, lambda lane: sum((F.when(most(lane, j), F.lit(1 << j)).otherwise(0) for j in range(1, 4)), F.when(most(lane, 0), F.lit(1)).otherwise(0)).cast("long"))
-    return F.aggregate(F.reverse(nibbles), F.lit(0).cast("long"), lambda acc, n: F.shiftleft(acc, 4).bitwiseOR(n))
+    lanes = F.array(*map(lane, range(22)))
+    most = lambda lane, j: F.shiftrightunsigned(lane, 20 * j).bitwiseAND(F.lit((1 << 20) - 1)) * 2 > F.size(shingles)
+    bits = F.transform(lanes, lambda lane: sum((F.when(most(lane, j), F.lit(1 << j)).otherwise(0) for j in (1, 2)), F.when(most(lane, 0), F.lit(1)).otherwise(0)).cast("long"))
+    return F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda acc, n: F.shiftleft(acc, 3).bitwiseOR(n))
 
 
 def blocks(fp: Column) -> list[tuple[Column, int]]:

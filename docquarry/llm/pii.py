@@ -186,7 +186,8 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     accepted = [-1]
     if counts:
         t = fit_classifier(counts, estimate(counts))
-        accepted += [_number(k) for k in counts if 1 / (1 + np.exp(-(np.array(features(k)) @ t))) >= threshold]
+        # what fails its kind's inner form (check digits, octets) is never added
+        accepted += [_number(k) for k in counts if k[2] != 2 and 1 / (1 + np.exp(-(np.array(features(k)) @ t))) >= threshold]
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
     kept = F.transform(F.filter("loose", lambda s: s["code"].isin(accepted)), plain)
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long")

@@ -123,6 +123,14 @@ def test_contamination(spark, documents, empty, monkeypatch, most):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_fingerprints_by_counting(spark):
+    rng = random.Random(1)
+    rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 40, 41, 700)] + [([-1] * 9,), ([7, 7, -8],)]
+    got = [r["fp"] for r in spark.createDataFrame(rows, "h array<long>").coalesce(1).select(decontaminate.simhash(decontaminate.F.col("h")).alias("fp")).collect()]
+    want = [sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) for (h,) in rows]
+    assert [v % (1 << 64) for v in got] == want
+
+
 def test_blocks_cover_the_radius():
     """Any two fingerprints within the radius differ in few bits of some block."""
     rng = random.Random(2)
