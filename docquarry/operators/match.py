@@ -7,7 +7,8 @@ query tree is then an expression over these columns.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,17 +43,25 @@ def _wanted(phrase: Phrase, k: int) -> Column:
 
 
 def phrase_frequencies(postings: DataFrame, wanted: list[Phrase]) -> DataFrame:
-    """``phrase, key, field, tf``: how often each numbered phrase stands in a key's field."""
+    """``phrase, key, field, tf``: how often each numbered phrase stands in a key's field.
+
+    A prefix has a row for each of its terms: the frequencies of a phrase are sums.
+    """
     tags = [(i, k, p) for i, p in enumerate(wanted) for k in range(len(p.tokens))]
     tag = lambda i, k, p: F.when(_wanted(p, k), F.struct(F.lit(i).alias("phrase"), F.lit(k).alias("k"), F.lit(len(p.tokens)).alias("n")))
     scan = postings.where(reduce(lambda a, b: a | b, (_wanted(p, k) for _, k, p in tags)))
     hits = scan.select("key", "field", "tf", "positions", F.explode(F.array_compact(F.array(*(tag(*t) for t in tags)))).alias("t"))
-    single = hits.where("t.n = 1").select("t.phrase", "key", "field", "tf")
-    out = single.groupBy("phrase", "key", "field").agg(F.sum("tf").alias("tf"))
-    if any(len(p.tokens) > 1 for p in wanted):
-        starts = hits.where("t.n > 1").select("t.phrase", "t.n", "t.k", "key", "field", F.explode("positions").alias("pos"))
-        whole = starts.groupBy("phrase", "n", "key", "field", (F.col("pos") - F.col("k")).alias("start")).agg(F.count_distinct("k").alias("found")).where("found = n")
-        out = out.unionByName(whole.groupBy("phrase", "key", "field").agg(F.count("*").alias("tf")))
+    out = hits.where("t.n = 1").select("t.phrase", "key", "field", F.col("tf").cast("long").alias("tf"))
+    longest = max(len(p.tokens) for p in wanted)
+    if longest > 1:
+        # places of the k-th token, moved back by k: what all tokens have in common are the phrase's starts
+        moved = lambda i: F.flatten(F.collect_list(F.when(F.col("k") == i, F.transform("positions", lambda x: x - i)))).alias(f"p{i}")
+        rows = hits.where("t.n > 1").select("t.phrase", "t.n", "t.k", "key", "field", "positions")
+        starts = rows.groupBy("phrase", "n", "key", "field").agg(*map(moved, range(longest)))
+        common = F.col("p0")
+        for i in range(1, longest):
+            common = F.when(F.col("n") > i, F.array_intersect(common, f"p{i}")).otherwise(common)
+        out = out.unionByName(starts.select("phrase", "key", "field", F.size(common).cast("long").alias("tf")).where("tf > 0"))
     return out
 
 
@@ -79,8 +88,6 @@ def _rank(node: Node, at: dict[int, Column], parts: dict[int, Column]) -> Column
 
 def _numbered(node: Node | None) -> tuple[Node | None, list[Phrase]]:
     """A copy of the tree whose phrases are objects of their own, and these."""
-    from dataclasses import replace
-
     def copy(n: Node) -> Node:
         return replace(n) if isinstance(n, Phrase) else type(n)(copy(n.left), copy(n.right))
 
@@ -88,11 +95,12 @@ def _numbered(node: Node | None) -> tuple[Node | None, list[Phrase]]:
     return node, phrases(node)
 
 
-def search(postings: DataFrame, stats: DataFrame, query: Node, weights: dict[str, float] | None = None, corpus: Corpus | None = None, literal: Node | None = None) -> DataFrame:
+def search(postings: DataFrame, stats: DataFrame, query: Node, weights: dict[str, float] | None = None, corpus: Corpus | None = None, literal: Node | None = None, known: dict[Phrase, int] | None = None) -> DataFrame:
     """``key, rank`` of every key that matches; lower ranks are better.
 
     ``weights`` are those of the fields (1 where absent).  With ``literal``, ``literal`` says whether
-    that query matches as well, from the same scan.
+    that query matches as well, from the same scan.  ``known`` keeps in how many keys a phrase is, for
+    further searches of the same index.
     """
     tree, wanted = _numbered(simplified(query))
     other, more = _numbered(simplified(literal)) if literal is not None else (None, [])
@@ -103,14 +111,16 @@ def search(postings: DataFrame, stats: DataFrame, query: Node, weights: dict[str
     weight = reduce(lambda w, kv: w.when(F.col("field") == kv[0], F.lit(float(kv[1]))), (weights or {}).items(), F.when(F.lit(False), 0.0)).otherwise(1.0)
     every = range(len(wanted) + len(more))
     by_key = found.groupBy("key").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == i, F.col("tf") * weight)), F.lit(0.0)).alias(f"w{i}") for i in every))
-    # one row of counts; the ranking of each key reads it
-    counts = by_key.agg(*(F.count_if(F.col(f"w{i}") > 0).alias(f"d{i}") for i in range(len(wanted)))).first()
+    known = {} if known is None else known
+    new = [i for i, p in enumerate(wanted) if p not in known]
+    if new:
+        # one row of counts; the ranking of each key reads it
+        counts = by_key.agg(*(F.count_if(F.col(f"w{i}") > 0) for i in new)).first()
+        known |= {wanted[i]: counts[k] or 0 for k, i in enumerate(new)}
     at = {id(p): F.col(f"w{i}") for i, p in enumerate(wanted + more)}
     parts = {}
     for i, p in enumerate(wanted):
-        df = counts[i] or 0
-        import math
-
+        df = known[p]
         odds = (corpus.n - df + 0.5) / (df + 0.5)
         idf = math.log(odds)
         idf = idf if idf > 0 else LEAST_IDF

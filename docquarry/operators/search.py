@@ -98,6 +98,7 @@ class Searcher:
         """``expand``: keywords also match other word forms; ``strict``: filters alone are an error."""
         self.tables, self.morphology, self.expand, self.strict = tables, morphology, expand, strict
         self._content = self._names = None
+        self._content_known, self._name_known = {}, {}
 
     @property
     def content_corpus(self) -> match.Corpus:
@@ -126,7 +127,7 @@ class Searcher:
 
     def _name_hits(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:
         t = self.tables
-        hits = match.search(t.filename_postings, t.filename_stats, query_tree(query), corpus=self.name_corpus)
+        hits = match.search(t.filename_postings, t.filename_stats, query_tree(query), corpus=self.name_corpus, known=self._name_known)
         rows = t.paths.join(hits.withColumnRenamed("key", "path"), "path").join(t.documents, "document_id")
         return top(filtered(rows, query.filters), request.limit).select("path", "filename", F.lit(None).cast("string").alias("snippet"), "rank", F.lit(EXACT).alias("match_kind"))
 
@@ -148,7 +149,7 @@ class Searcher:
         t = self.tables
         tree, forms, expanded = self._forms(query)
         literal = query_tree(query) if expanded else None
-        hits = match.search(t.content_postings, t.content_stats, tree, FIELD_WEIGHTS, self.content_corpus, literal)
+        hits = match.search(t.content_postings, t.content_stats, tree, FIELD_WEIGHTS, self.content_corpus, literal, self._content_known)
         hits = hits if expanded else hits.withColumn("literal", F.lit(True))
         rows = t.paths.join(hits.withColumnRenamed("key", "document_id"), "document_id").join(t.documents, "document_id")
         rows = top(one_path_each(filtered(rows, query.filters)), request.limit).select("document_id", "path", "filename", "rank", "literal")

@@ -52,6 +52,7 @@ def test_plan_reads_postings_once(corpus, spark, tmp_path):
     built, sizes, _ = corpus
     postings.laid_out(built).write.parquet(str(tmp_path / "p"))
     found = match.phrase_frequencies(spark.read.parquet(str(tmp_path / "p")), match.phrases(query_tree(parse("ab AND er*"))))
+    assert "Exchange" not in found.where("phrase = 0")._jdf.queryExecution().executedPlan().toString()
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("FileScan") == 1 and "PushedFilters: [Or(" in plan
     assert found.where(F.col("tf") < 1).count() == 0
