@@ -23,12 +23,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts, dealt out where its files have fewer splits than there are cores: a file of
+    one row group would be one task's work.  Tables of many splits stay as they are."""
+    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, length, modified_at, text, document_id`` and what admission adds."""
     ext = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 7).cast("int"))
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("."), ext)
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
-    docs = _table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = _texts(spark, sf_dir).select("doc_id", "text", "lang", "source").withColumn("text", F.coalesce("text", F.lit("")))
     rows = docs.select(path.alias("path"), F.octet_length("text").cast("long").alias("length"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("modified_at"), "text")
     return admit(rows).withColumn("document_id", F.sha2(F.col("text").cast("binary"), 256))
 
@@ -97,13 +104,13 @@ def _path_filter(query: str):
 
 
 def tok_terms_df(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.explode(T.index_tokens(F.col("text"))).alias("term"))
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(T.index_tokens(F.col("text"))).alias("term"))
     per = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def tok_bigrams(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select(F.explode(T.bigrams(F.col("text"))).alias("gram"))
+    rows = _texts(spark, sf_dir).select(F.explode(T.bigrams(F.col("text"))).alias("gram"))
     return rows.groupBy("gram").agg(F.count("*").alias("n"))
 
 
