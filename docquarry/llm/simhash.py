@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SET_BITS, cut, id_set, map_batches, stored, table, text_bytes
@@ -25,8 +25,12 @@ TREE_SAMPLE = 2048
 #: For texts that are to be similar by their shingles: sampled shingles by which they meet, the bits by
 #: which they may differ then and in the tree.
 KEYS, MEETING_RADIUS, TREE_RADIUS = 6, 19, 3
-#: Larger groups are dealt into such, so many times, and their texts paired with so many.
+#: Larger groups are first dealt into such, so many times, and their texts paired with so many.
 GROUP, DEALS, NEAREST = 64, 3, 4
+#: Texts of a block, when what is left of a larger group is compared block by block.
+BLOCK = 512
+#: Counts of a set's sketch; counts that don't fit are all taken as the largest.
+SKETCH = 128
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -222,10 +226,10 @@ def described(docs: DataFrame, words: int) -> DataFrame:
 def meeting_edges(texts: DataFrame, radius: int) -> DataFrame:
     """``a, b``: texts ``id, fp, keys`` that share a key and differ in at most ``radius`` bits.
 
-    All such pairs in groups of up to GROUP texts.  Larger groups are dealt into parts of about that
-    size, DEALS times in different ways, and each text is paired with its NEAREST in every part; and
-    with the group's centre, the text nearest to its bits' majority, as copies may be similar to
-    nothing but their original.
+    All such pairs in groups of up to GROUP texts.  Of larger groups only those that are likely to
+    link most of it cheaply; ``left_edges`` finds what these leave.  They are dealt into parts of
+    about that size, DEALS times in different ways, and each text is paired with its NEAREST in every
+    part; and with the group's centre, the text nearest to its bits' majority.
     """
     rows = texts.select("id", "fp", F.explode("keys").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
@@ -256,9 +260,8 @@ def meeting_edges(texts: DataFrame, radius: int) -> DataFrame:
     return parts.groupBy("key", "part").applyInArrow(work, "a long, b long").unionByName(star)
 
 
-def similar(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges whose texts' sets of shingles are at least so similar (Jaccard)."""
-    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """``doc_id, own``: the sorted distinct shingle hashes of the documents ``doc_id``, stored."""
     kept = docs.sparkSession.sparkContext.broadcast(id_set(ids))
     bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))
 
@@ -269,21 +272,87 @@ def similar(edges: DataFrame, docs: DataFrame, words: int, similarity: float) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "own"])
 
     rows = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text")), bit.alias("bit")), work, "doc_id long, own binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    rows = stored(rows)
+    return stored(rows)
+
+
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets are at least so similar (Jaccard)."""
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= similarity * (len(x) + len(y) - shared)
+
+
+def similar(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges whose texts' sets of shingles are at least so similar (Jaccard)."""
+    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = shingle_sets(docs, ids, words)
     both = edges.join(rows.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
 
     def verify(batches):
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(shared >= similarity * (len(x) + len(y) - shared))
+            good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return map_batches(both, verify, "a long, b long")
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes fall to each of SKETCH numbers: sums of smaller counts bound what two sets share."""
+    counts = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+    return np.full(SKETCH, 65535, np.uint16) if counts.max() > 65535 else counts.astype(np.uint16)
+
+
+def could_be_alike(size: int, counts: np.ndarray, sizes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the other sets may be so similar to a set, by sizes and sketches: never false for one that is."""
+    shared = np.minimum(np.minimum(counts, others).sum(1, dtype=np.int64), np.minimum(size, sizes))
+    return shared >= similarity * (size + sizes - shared)
+
+
+def left_edges(texts: DataFrame, named: DataFrame, docs: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame | None:
+    """``a, b``: similar texts of different components ``named`` that share a key of over GROUP texts; None without any such key.
+
+    They link all such pairs as the pairs themselves would.  A group's texts are dealt into blocks,
+    those of a large component into blocks of its own, and every two blocks that aren't of one
+    component are compared, all with all: exactly, where sizes and sketches allow it.
+    """
+    rows = texts.select("id", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key")
+    rows = rows.join(sizes, "key").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    pieces = stored(rows.groupBy("key", "component").agg(F.count("*").alias("m")))
+    mixed = pieces.groupBy("key").agg(F.count("*").alias("k"), F.ceil(F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)) / block).alias("pool")).where("k > 1")
+    if mixed.isEmpty():
+        return None
+    before = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    own = pieces.where(F.col("m") >= block).withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("past", F.coalesce(F.sum("blocks").over(before), F.lit(0))).select("key", "component", "blocks", "past")
+    every = mixed.join(own.groupBy("key").agg(F.sum("blocks").alias("blocks")), "key", "left").select("key", "pool", (F.col("pool") + F.coalesce("blocks", F.lit(0))).alias("all"))
+    placed = rows.join(every, "key").join(own, ["key", "component"], "left")
+    lone = F.col("blocks").isNull()
+    lo, at = F.col("pool") + F.col("past"), F.xxhash64("id", "key")
+    mine = F.when(lone, F.pmod(at, F.col("pool"))).otherwise(lo + F.pmod(at, F.col("blocks"))).cast("long")
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda j: lone | (j < lo) | (j >= lo + F.col("blocks")))
+    met = placed.withColumn("mine", mine).withColumn("other", F.explode(others)).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
+    sets = shingle_sets(docs, placed.select(F.col("id").alias("doc_id")).distinct(), words)
+
+    def work(key, group):
+        first, same = key[1].as_py(), key[1].as_py() == key[2].as_py()
+        ids, label = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
+        owns = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
+        lengths, counts = np.fromiter(map(len, owns), np.int64, len(owns)), np.stack([sketch(x) for x in owns])
+        left = np.flatnonzero(group.column("mine").to_numpy() == first)
+        right = left if same else np.flatnonzero(group.column("mine").to_numpy() != first)
+        found = []
+        for n, x in enumerate(left.tolist()):
+            y = right[n + 1 :] if same else right
+            y = y[label[y] != label[x]]
+            y = y[could_be_alike(lengths[x], counts[x], lengths[y], counts[y], similarity)]
+            for z in y.tolist():
+                if label[z] != label[x] and alike(owns[x], owns[z], similarity):
+                    found.append((ids[x], ids[z]))
+                    label[label == label[z]] = label[x]
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return met.join(sets.withColumnRenamed("doc_id", "id"), "id").groupBy("key", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id``: groups of texts that are linked by shingle similarity.
 
@@ -299,7 +368,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     tree = near_edges(cut(texts.groupBy("fp").agg(F.min("id").alias("id"))), TREE_RADIUS)
     pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     edges = stored(pair(tree).unionByName(meeting_edges(texts, MEETING_RADIUS)).distinct())
-    named = components(similar(edges, docs, words, similarity))
+    good = stored(similar(edges, docs, words, similarity))
+    named = components(good)
+    left = left_edges(texts, named, docs, words, similarity)
+    if left is not None:
+        named = components(good.unionByName(left))
     groups = texts.join(named, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component_id"))
     return prints.join(groups, ["c1", "c2"]).select("doc_id", "component_id")
 

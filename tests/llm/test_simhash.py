@@ -122,3 +122,27 @@ def test_stage_keeps_one_of_each(documents):
     assert kept.columns == documents.columns
     names = similar_groups(sorted({(r["doc_id"], r["text"]) for r in documents.where("doc_id IS NOT NULL").collect()}, key=lambda x: x[0]))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in names.items() if i == c} | {None}
+
+
+def test_large_group_of_pairs(spark):
+    """Texts that all share the smallest shingles and are linked in pairs only."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    shared, rows = [word() for _ in range(45)], []
+    for _ in range(400):
+        own = [word() for _ in range(55)]
+        rows += [(len(rows), " ".join(shared + own)), (len(rows) + 1, " ".join(shared + own[:-4] + [word() for _ in range(4)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == similar_groups(rows)
+
+
+def test_blocks_of_large_components(spark):
+    """A component of several blocks, whose last member is found by one of its texts only."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(100)]
+    rows += [(100, " ".join([f"y{k}" for k in range(30)] + base[:170]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = simhash.described(docs, 5).withColumnRenamed("doc_id", "id")
+    named = spark.createDataFrame([(i, 0) for i in range(100)], "id long, component long")
+    found = simhash.left_edges(texts, named, docs, 5, 0.7, 8).collect()
+    assert found and all({r["a"], r["b"]} - set(range(100)) == {100} for r in found)
