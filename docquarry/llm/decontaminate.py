@@ -1,9 +1,9 @@
 """Benchmark decontamination (DataFrame functions only).
 
-Where a document shares a word shingle with an item, a window of the item's size is laid over it so
-that the shared shingles coincide.  Each window gets a SimHash, a multi-index of Hamming blocks finds
-every item of that size within the radius, and the exact similarity of weighted shingles decides.
-Shared shingles only save windows that couldn't pass: a similarity above 0 needs one.
+A document's shingles that any item of a size has are counted over every window of that size, wherever
+they are in the item; windows with too few of them to be similar are left out, exactly.  Each other
+window gets a SimHash, a multi-index of Hamming blocks finds every item of that size within the radius,
+and the exact similarity of weighted shingles decides.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ RADIUS = len(BLOCKS) * (FLIPS + 1) - 1
 #: Shingles of all items, and keys of their index, up to which these are broadcast (under 100 MB);
 #: beyond, documents' shingles and windows are shuffled to them.
 BROADCAST_SHINGLES, BROADCAST_KEYS = 500_000, 1_000_000
+#: Documents and sizes with windows, up to which their ids are broadcast.
+BROADCAST_WINDOWED = 500_000
 
 
 def with_shingles(df: DataFrame, words: int = SHINGLE) -> DataFrame:
@@ -72,19 +74,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """
     items = cut(with_shingles(benchmark.where("item_id IS NOT NULL").select("item_id", "text")).select("item_id", "shingles").distinct()).where(F.size("shingles") > 0)
     items = cut(items.select("item_id", F.size("shingles").alias("n"), "shingles", simhash(F.col("shingles")).alias("item_fp"), counted(F.col("shingles")).alias("item")))
-    seeds = items.select("n", F.posexplode("shingles").alias("at", "shingle")).distinct()
+    seeds = items.select("n", F.explode("shingles").alias("shingle")).distinct()
     texts = with_shingles(docs.select("doc_id", "text")).select("doc_id", "shingles")
-    start = F.greatest(F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")), F.lit(0)).alias("start")
+    # rows that repeat an id are told apart by what they hold
+    mark = F.xxhash64("shingles").alias("mark")
     # outer, as the filter that Spark would else infer repeats the whole expression in its own lambda
-    spots = F.posexplode_outer("shingles").alias("pos", "shingle")
-    window = F.slice("shingles", F.col("start") + 1, F.col("n")).alias("window")
-    if seeds.count() <= BROADCAST_SHINGLES:
-        # the join follows in one stage, so that only rows that hit are given the array
-        hits = texts.select("doc_id", "shingles", F.size("shingles").alias("size"), spots).join(F.broadcast(seeds), "shingle").select("doc_id", "shingles", "n", start)
-        windows = hits.select("doc_id", "n", "start", window)
-    else:
-        hits = texts.select("doc_id", F.size("shingles").alias("size"), spots).where("shingle IS NOT NULL").join(seeds.hint("merge"), "shingle").select(F.col("doc_id").alias("id"), "n", start).distinct()
-        windows = hits.join(texts, hits["id"].eqNullSafe(texts["doc_id"])).select("doc_id", "n", "start", window)
+    spots = texts.select("doc_id", mark, F.size("shingles").alias("size"), F.posexplode_outer("shingles").alias("pos", "shingle"))
+    few_seeds = seeds.count() <= BROADCAST_SHINGLES
+    hits = spots.join(F.broadcast(seeds), "shingle") if few_seeds else spots.where("shingle IS NOT NULL").join(seeds.hint("merge"), "shingle")
+    places = hits.groupBy("doc_id", "mark", "size", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))  # a document's own places
+    least = F.ceil(similarity * (F.col("n") + F.least("n", "size")) / (1 + similarity) - 1e-6).cast("int")
+    last = F.greatest(F.col("size") - F.col("n"), F.lit(0))
+    # `least` hits in a row that fit in a window: every start at which it holds them all
+    runs = F.filter(
+        F.transform(F.sequence(F.lit(0), F.size("at") - F.col("least")), lambda i: F.struct(F.greatest(F.get("at", i + F.col("least") - 1) - F.col("n") + 1, F.lit(0)).alias("a"), F.least(F.get("at", i), F.col("last")).alias("b"))),
+        lambda r: r["a"] <= r["b"],
+    )
+    starts = F.array_distinct(F.flatten(F.transform(runs, lambda r: F.sequence(r["a"], r["b"]))))
+    dense = places.withColumn("least", F.greatest(least, F.lit(1))).withColumn("last", last).where(F.size("at") >= F.col("least"))
+    laid = cut(dense.select("doc_id", "mark", "n", starts.alias("starts")).where(F.size("starts") > 0))
+    few_laid = laid.count() <= BROADCAST_WINDOWED
+    holders = laid.select(F.col("doc_id").alias("id")).distinct()
+    some = docs.select("doc_id", "text").join(F.broadcast(holders) if few_laid else holders, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    again = with_shingles(some).select(F.col("doc_id").alias("id"), "shingles", mark.alias("its"))
+    windows = laid.join(again, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its"))).select("doc_id", "n", "shingles", F.explode("starts").alias("start"))
+    windows = windows.select("doc_id", "n", "start", F.slice("shingles", F.col("start") + 1, F.col("n")).alias("window"))
     # cut, so that no fingerprint is computed before equal windows of a document are one
     windows = cut(windows.distinct()).withColumn("fp", simhash(F.col("window")))
     masks = {w: [sum(1 << b for b in c) for k in range(FLIPS + 1) for c in combinations(range(w), k)] for w in set(BLOCKS)}

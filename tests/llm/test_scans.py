@@ -123,6 +123,20 @@ def test_contamination(spark, documents, empty, monkeypatch, most):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
 
 
+def test_contamination_out_of_order(spark):
+    """An item whose halves are swapped shares its shingles at other places."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choice("abcdefghijklmnop") + rng.choice("stuvw") + rng.choice("abcdefgh") for _ in range(n))
+    items, docs = [(n, text(n)) for n in (60, 80, 120)], []
+    for n, item in items:
+        words = item.split()
+        docs.append((n, " ".join([text(30), *words[n // 2 :], *words[: n // 2], text(40)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = contaminated(docs, items)
+    assert set(want) == {(n, n) for n, _ in items} and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_fingerprints_by_counting(spark):
     rng = random.Random(1)
     rows = [([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 3, 40, 41, 700)] + [([-1] * 9,), ([7, 7, -8],)]
