@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SET_BITS, id_set, map_batches, stored, table, text_bytes
+from .common import ASCII_LOWER, ASCII_UPPER, SET_BITS, SPACE, id_set, map_batches, stored, table, text_bytes
 
 #: Lines of fewer words say too little to be called copies, and stay.
 MIN_WORDS = 5
@@ -197,15 +197,26 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 def without_duplicate_lines(docs: DataFrame, **how) -> DataFrame:
     """The same rows and columns without the lines that ``duplicate_lines`` names.
 
-    A text that loses all its lines of at least ``min_words`` words was a copy, and becomes empty:
-    its short lines only held these together.  ``n_chars``, where there is one, follows the text.
+    A text that loses all its lines of at least ``min_words`` words was a copy if its short lines too
+    are in the documents that hold what it lost, and becomes empty; with a short line of its own it
+    keeps them all.  ``n_chars``, where there is one, follows the text.
     """
     min_words = how.get("min_words", MIN_WORDS)
-    gone = duplicate_lines(docs, **how).groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_set("line_no").alias("__gone"))  # a document's own lines
+    named = stored(duplicate_lines(docs, **how).select("doc_id", "line_no", "keep_doc_id"))
+    gone = named.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_set("line_no").alias("__gone"))  # a document's own lines
     rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__gone", i.cast("long")))
     long_line = lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words
-    out = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
-    kept = F.when(F.exists("__rest", long_line), F.array_join("__rest", "\n")).otherwise("")
+    alike = lambda line: F.trim(F.regexp_replace(F.translate(line, ASCII_UPPER, ASCII_LOWER), SPACE, " "))
+    short_lines = lambda of: F.explode(F.array_distinct(F.transform(F.filter(F.transform(of, alike), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("short")
+    lost = docs.join(gone, docs["doc_id"] == gone["__doc_id"]).select(docs["doc_id"].cast("long").alias("doc_id"), rest.alias("rest")).where(~F.exists("rest", long_line))
+    mine = stored(lost.select("doc_id", short_lines(F.col("rest"))).distinct())
+    asked = mine.join(named.where("keep_doc_id <> doc_id").select("doc_id", F.col("keep_doc_id").alias("source")).distinct(), "doc_id")
+    sources = asked.select("source").distinct()
+    held = docs.select(F.col("doc_id").cast("long").alias("source"), "text").join(sources, "source", "left_semi").select("source", short_lines(F.split("text", "\n", -1))).distinct()
+    found = asked.join(held, ["source", "short"], "left_semi").select("doc_id", "short").distinct()
+    own = mine.join(found, ["doc_id", "short"], "left_anti").select(F.col("doc_id").alias("__own")).distinct()
+    out = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").join(own, docs["doc_id"] == own["__own"], "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
+    kept = F.when(F.col("__own").isNotNull() | F.exists("__rest", long_line), F.array_join("__rest", "\n")).otherwise("")
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))

@@ -77,6 +77,15 @@ def test_stage(spark, documents):
     assert kept[3] == ("", 0) and kept[4] == (None, None) and kept[5] == ("short", 5)
 
 
+def test_stage_keeps_short_lines_of_its_own(spark):
+    """A text of short lines and a notice that others have too, and its copy."""
+    notice = " ".join(f"w{i}" for i in range(30))
+    poem = f"rose\n{notice}\nis a rose\n"
+    docs = spark.createDataFrame([(1, f"title\n{notice}"), (2, poem), (3, poem), (4, f"TITLE\n\n{notice}"), (5, notice)], "doc_id long, text string")
+    kept = {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(docs).collect()}
+    assert kept == {1: f"title\n{notice}", 2: "rose\nis a rose\n", 3: "rose\nis a rose\n", 4: "", 5: ""}
+
+
 def test_like_sql(spark):
     db = duckdb.connect()
     db.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
