@@ -358,7 +358,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
     At this similarity fingerprints are too far apart for a tree to prune (10 of 64 bits on average),
     so texts meet in two ways: in the tree at TREE_RADIUS bits, and by any of their KEYS smallest
-    shingle hashes, where all within MEETING_RADIUS bits count.  A pair of similarity 0.8 misses both
+    shingle hashes, where all within MEETING_RADIUS bits count, and in groups of over GROUP all.  A pair of similarity 0.8 misses both
     with a probability of about 0.0005.  Either way the exact similarity of their sets of shingles
     decides.  Equal texts (words in lower case) are one from the start.  Rows without an id are
     left out; rows that repeat one must be copies.
