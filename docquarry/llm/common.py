@@ -38,11 +38,17 @@ def text_bytes(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors see.
 
-    Only where ``spark.checkpoint.dir`` is unset (a single machine, as in tests) one is made.
+    Only where ``spark.checkpoint.dir`` is unset and all work is done on one machine (``local`` masters,
+    as in tests) one is made; elsewhere its absence is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docquarry-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="docquarry-checkpoint-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
@@ -98,10 +104,20 @@ ASCII_UPPER, ASCII_LOWER = string.ascii_uppercase, string.ascii_lowercase
 SET_BITS = 1 << 27
 
 
+def id_bit(doc_id: Column) -> Column:
+    """The place of an id in such a set."""
+    return F.pmod(F.xxhash64(doc_id.cast("long")), F.lit(SET_BITS))
+
+
 def id_set(ids: DataFrame) -> np.ndarray:
     """Bits for the hashes of ``doc_id``: never false for one of them.  At most ``SET_BITS``."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SET_BITS)) + 1  # the bitmap functions count from 1
-    parts = ids.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    return bit_set(ids.select(id_bit(F.col("doc_id")).alias("bit")))
+
+
+def bit_set(rows: DataFrame) -> np.ndarray:
+    """The set of the places ``bit``, each below ``SET_BITS``."""
+    bit = F.col("bit") + 1  # the bitmap functions count from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(bit).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
     size = 4096
     out = np.zeros(SET_BITS // 8, np.uint8)
     for r in parts:
@@ -109,6 +125,30 @@ def id_set(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def in_set(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the places are in the set."""
+    return bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
+
+
+#: Parts that the rows of one key are dealt into where a key may have any number of rows.
+SALTS = 16
+
+
+def salted_join(rows: DataFrame, one: DataFrame, on: list[str], by: list[str], salts: int = SALTS) -> DataFrame:
+    """``rows`` joined to ``one``, which has one row a key, with the rows of a key dealt out by a hash of ``by``.
+
+    Each row of ``one`` goes only to the salts that its key has, so that unique keys cost one row.
+    """
+    dealt = rows.withColumn("__salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    spread = dealt.select(*on, "__salt").distinct().join(one, on)
+    return dealt.join(spread, [*on, "__salt"]).drop("__salt")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 #: What stands between words of licence and benchmark texts: ASCII that is no letter or digit.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, table
-
-#: Groups are first merged within this many salts, so that one text held by every input split
-#: reaches the last reducer as at most so many rows.
-SALTS = 16
+from .common import SALTS, SPACE, cut, salted_join, table
 
 
 def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
@@ -18,11 +14,12 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     Texts are equal when identical after each run of ASCII white space becomes one space; null
     counts as empty.  Three combining steps, each of which groups by the digest *and* the full
     normalised text: within a task (the map-side part of the first aggregation), within a salt
-    (its reduce side), and over the salts.  Only ids and digests then go back to the documents.
-    Should two texts ever share a digest, the way back compares full texts as well.
+    (its reduce side), and over the salts.  Only ids and digests then go back to the documents, the
+    rows of one text dealt out by their ids.  Should two texts ever share a digest, the way back compares full texts as well.
 
     An input row whose id is the smallest of its group is kept, so repeated rows of that id all
-    are.  A null id is never preferred; a group of null ids only has a null ``keep_id``.
+    are.  A null id is never preferred; a group of null ids only has a null ``keep_id``.  An empty
+    table gives no rows; texts of any length count whole; other columns play no part.
     """
     base = (
         docs.select(F.col(key).alias("doc_id"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACE, " ").alias("norm"))
@@ -38,9 +35,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s
         groups.groupBy("digest").agg(F.count("*").alias("texts"), F.min("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
     )
     if by_digest.where("texts > 1").isEmpty():
-        found = base.select("doc_id", "digest").join(by_digest.drop("texts"), "digest")
+        found = salted_join(cut(base.select("doc_id", "digest")), by_digest.drop("texts"), ["digest"], ["doc_id"], salts)
     else:
-        found = base.join(groups, ["digest", "norm"])
+        found = salted_join(base, groups, ["digest", "norm"], ["doc_id"], salts)
     return found.select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
