@@ -7,24 +7,27 @@ counts how reliable each labeler is, and its posteriors train a logistic span cl
 decides on the looser candidates.  Base spans always stay.
 
 Quantifiers are possessive and starts anchored wherever that can't change a match, so that long runs
-of digits or letters cost linear time.
+of digits or letters cost linear time.  Each pattern goes over a text once; places are running sums in
+chunks, so that texts with many matches stay cheap too.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import bound, cut, table
 
 KINDS = ("email", "ip", "card", "phone", "secret", "name")
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # whole runs only, of as many digits as count: other runs never pass
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
@@ -35,28 +38,83 @@ LOOSE = {
     "name": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?",
 }
 # --- fixed values: what the gazetteer and context labelers know
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "it", "uk", "eu", "ch", "at", "us", "ca", "mx", "br", "ru", "cn", "jp", "kr", "in")
-FIRST_NAMES = ("John", "Mary", "James", "Anna", "Peter", "Maria", "David", "Laura", "Michael", "Sarah", "Thomas", "Julia", "Paul", "Emma", "Jean", "Marie", "Hans", "Carlos", "Jose", "Ana", "Luis", "Claire", "Pierre", "Karl")
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "mil", "int", "info", "io", "dev", "app", "biz", "co", "me", "tv", "cloud", "online", "site", "shop", "test", "example",
+    "de", "fr", "es", "it", "uk", "eu", "ch", "at", "nl", "be", "lu", "ie", "pt", "dk", "se", "no", "fi", "pl", "cz", "sk", "hu", "ro", "gr", "tr", "ua", "ru",
+    "us", "ca", "mx", "br", "ar", "cl", "pe", "cn", "jp", "kr", "in", "sg", "hk", "tw", "th", "vn", "id", "au", "nz", "za", "il", "ae",
+)
+FIRST_NAMES = (
+    "Alice", "Ana", "Andrea", "Andrew", "Anna", "Anne", "Antonio", "Barbara", "Carlos", "Carol", "Charles", "Christian", "Claire", "Daniel", "David", "Diego", "Elena", "Elizabeth", "Emily", "Emma",
+    "Erik", "Eva", "Francesco", "Frank", "Fritz", "George", "Greta", "Hans", "Heinrich", "Helen", "Henry", "Ines", "Isabel", "Jack", "Jacques", "James", "Jane", "Jean", "Jennifer", "Johann",
+    "John", "Jose", "Joseph", "Juan", "Julia", "Karen", "Karl", "Kevin", "Klaus", "Laura", "Linda", "Lisa", "Louis", "Lucia", "Luis", "Manuel", "Marco", "Margaret", "Maria", "Marie",
+    "Mark", "Martin", "Mary", "Michael", "Michel", "Miguel", "Nancy", "Nicolas", "Olivia", "Pablo", "Patricia", "Paul", "Peter", "Philippe", "Pierre", "Rachel", "Ralf", "Richard", "Robert", "Rosa",
+    "Sabine", "Samuel", "Sarah", "Sergio", "Sofia", "Sophie", "Stefan", "Stephen", "Susan", "Teresa", "Thomas", "Ursula", "Victor", "Walter", "William", "Wolfgang",
+)
 CONTEXT = {
     "email": "mail|contact|write|reach|kontakt|correo|courriel", "ip": r"\bip\b|server|host|address|client|from|login", "card": "card|visa|master|credit|payment|karte|carte|tarjeta",
     "phone": "phone|tel|call|fax|mobile|contact|number", "secret": "auth|login|credential|config|export", "name": "dear|contact|patient|signed|sincerely|regards",
 }
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 CONTEXT_CHARS = 40
+#: Stands before and after matches while they are told apart; where a text has it, another sign takes its place.
+MARK, INSTEAD = "\ue000", "\ue001"
+SPANS = "array<struct<start:int,end:int,match:string,before:string>>"
+
+
+def running(values: Column, first: int, op: Callable[[Column, Column], Column]) -> Column:
+    """For every value, what ``op`` makes of all values before it, from ``first`` on.
+
+    In chunks of about the root of their number: an array can only grow by being copied.
+    """
+    nothing = F.array().cast("array<int>")
+
+    def scan(of: Column) -> Column:
+        step = lambda acc, x: F.struct(op(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(of, F.struct(F.lit(first).alias("at"), nothing.alias("out")), step)
+
+    def whole(of: Column) -> Column:
+        size = F.ceil(F.sqrt(F.size(of))).cast("int")
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(of) - 1) / size).cast("int")), lambda i: scan(F.slice(of, i * size + 1, size)))
+        lifted = lambda c: F.zip_with(c, scan(F.transform(c, lambda x: x["at"]))["out"], lambda x, at: F.transform(x["out"], lambda v: op(at, v)))
+        return F.flatten(bound(chunks, lifted))
+
+    return F.when(F.size(values) > 0, bound(values, whole)).otherwise(nothing)
 
 
 def found_at(text: Column, pattern: str) -> Column:
-    """Leftmost matches as ``(start, end, match)`` in code points, end exclusive."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,end:int,match:string>>")
+    """Leftmost matches as ``(start, end, match, before)`` in code points, end exclusive; ``before`` are the
+    signs before it, back to the match before.  The text must be without ``MARK``."""
+    marked = F.regexp_replace(text, pattern, f"{MARK}$0{MARK}")
+
+    def spans(parts: Column) -> Column:
+        sums = running(F.transform(parts, lambda p: F.length(p)), 0, lambda a, b: a + b)
+        places = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        one = lambda at: lambda i: F.struct(
+            F.get(at, i).alias("start"), F.get(at, i + 1).alias("end"), F.get(parts, i).alias("match"), F.right(F.get(parts, i - 1), F.lit(CONTEXT_CHARS)).alias("before")
+        )
+        return bound(sums, lambda at: F.transform(places, one(at)))
+
+    cut_up = lambda parts: F.when(F.size(parts) > 1, spans(parts)).otherwise(F.array().cast(SPANS))
+    return bound(F.split(marked, MARK, -1), cut_up)
+
+
+def uncovered(loose: Column, base: Column) -> Column:
+    """The spans of ``loose`` that overlap none of ``base``, in order of their places.
+
+    All spans in order: what is before a span may reach into it, or what comes next may begin in it.
+    """
+    tagged = lambda spans, own: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), s.alias("span")))
+    far = 2**31 - 1
 
-    def add(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match")))).alias("out"))
+    def apart(rows: Column) -> Column:
+        reach = running(F.transform(rows, lambda r: F.when(r["own"], F.lit(0)).otherwise(r["end"])), 0, lambda a, b: F.greatest(a, b))
+        after = F.reverse(running(F.reverse(F.transform(rows, lambda r: F.when(r["own"], F.lit(far)).otherwise(r["start"]))), far, lambda a, b: F.least(a, b)))
+        keep = lambda r, b: r["own"] & (b["reach"] <= r["start"]) & (b["next"] >= r["end"])
+        pick = lambda both: F.filter(F.zip_with(rows, both, lambda r, b: F.when(keep(r, b), r["span"])), lambda s: s.isNotNull())
+        return pick(F.zip_with(reach, after, lambda a, b: F.struct(a.alias("reach"), b.alias("next"))))
 
-    pairs = F.filter(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), lambda p: p["match"].isNotNull())
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
+    every = F.array_sort(F.concat(tagged(base, False), tagged(loose, True)))
+    return F.when((F.size(loose) > 0) & (F.size(base) > 0), bound(every, apart)).otherwise(loose)
 
 
 def digits(match: Column) -> Column:
@@ -90,10 +148,9 @@ def vote(yes: Column, no: Column | None = None) -> Column:
     return F.when(yes, 1).when(no, 2).otherwise(0) if no is not None else F.when(yes, 1).otherwise(0)
 
 
-def votes(kind: str, base: bool, span: Column, text: Column) -> list[Column]:
+def votes(kind: str, base: bool, span: Column) -> list[Column]:
     """Pattern, inner form, gazetteer and context, for one candidate."""
-    m = span["match"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT_CHARS))))
+    m, before = span["match"], F.lower(span["before"])
     form = {
         "email": lambda: m.rlike(r"(?i)[a-z]{2,}$"), "ip": lambda: m.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "card": lambda: F.length(digits(m)).between(14, 19) & luhn(digits(m)),
         "phone": lambda: F.length(digits(m)).between(10, 15), "secret": lambda: m.rlike("[0-9]") & m.rlike("[:=].*[A-Za-z]"), "name": lambda: m.rlike(r"\. \S+ \S+"),
@@ -164,22 +221,21 @@ def joined(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans``.
+    """One row per document: ``doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans``.
 
     Base spans are the leftmost non-overlapping matches of each kind that pass its rules; looser
     candidates that overlap none of them are added to ``spans`` where the classifier gives them at
-    least ``threshold``.  Null and empty texts have no spans (an empty string, and its hash).
-    Repeated rows stay repeated, and ids play no part.
+    least ``threshold``.  ``n_spans`` counts them all, of every kind.  Null and empty texts have no
+    spans (an empty string, and its hash); an empty table gives no rows.  Texts of any length count
+    whole.  Repeated rows stay repeated; ids and other columns play no part.
     """
-    texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    texts = docs.select(F.col("doc_id"), F.when(text.contains(MARK), F.translate(text, MARK, INSTEAD)).otherwise(text).alias("t"))
     guards = {"email": F.col("t").contains("@"), "phone": F.col("t").contains("+")}
-    none = F.array().cast("array<struct<start:int,end:int,match:string>>")
-    texts = texts.select("*", *(F.when(guards.get(k, F.lit(True)), found_at(F.col("t"), p)).otherwise(none).alias(f"b_{k}") for k, p in BASE.items()), *(found_at(F.col("t"), p).alias(f"l_{k}") for k, p in LOOSE.items()))
-    texts = texts.select("doc_id", "t", *(_passing(k).alias(f"b_{k}") for k in BASE), *(f"l_{k}" for k in LOOSE))
-    base = F.concat(*(_spans(k, True) for k in BASE))
-    covered = lambda s: F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    loose = F.filter(F.concat(*(_spans(k, False) for k in LOOSE)), lambda s: ~covered(s))
-    spans = cut(texts.select("doc_id", base.alias("base"), loose.alias("loose")))
+    texts = texts.select("doc_id", *(F.when(guards.get(k, F.lit(True)), found_at(F.col("t"), p)).otherwise(F.array().cast(SPANS)).alias(f"b_{k}") for k, p in BASE.items()), *(found_at(F.col("t"), p).alias(f"l_{k}") for k, p in LOOSE.items()))
+    texts = texts.select("doc_id", *(_passing(k).alias(f"b_{k}") for k in BASE), *(f"l_{k}" for k in LOOSE))
+    texts = texts.select("doc_id", F.concat(*(_spans(k, True) for k in BASE)).alias("base"), F.concat(*(_spans(k, False) for k in LOOSE)).alias("loose"))
+    spans = cut(texts.select("doc_id", "base", uncovered(F.col("loose"), F.col("base")).alias("loose")))
     patterns = spans.select(F.explode(F.concat("base", "loose")).alias("s")).groupBy("s.code").count().collect()  # at most kinds times 3^4 rows
     keys = {_number(k): k for k in product(range(len(KINDS)), *[range(3)] * 4)}
     counts = {keys[r["code"]]: r["count"] for r in patterns}
@@ -189,11 +245,11 @@ def personal_data(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
         # what fails its kind's inner form (check digits, octets) is never added
         accepted += [_number(k) for k in counts if k[2] != 2 and 1 / (1 + np.exp(-(np.array(features(k)) @ t))) >= threshold]
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    kept = F.transform(F.filter("loose", lambda s: s["code"].isin(accepted)), plain)
     of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(k))).cast("long")
-    first = F.transform("base", plain)
+    spans = spans.select("doc_id", *(of(k).alias(f"n_{k}") for k in BASE), F.transform("base", plain).alias("base"), F.transform(F.filter("loose", lambda s: s["code"].isin(accepted)), plain).alias("more"))
     return spans.select(
-        "doc_id", *(of(k).alias(f"n_{k}") for k in BASE), F.sha2(joined(first).cast("binary"), 256).alias("base_sha256"), joined(F.array_distinct(F.concat(first, kept))).alias("spans")
+        "doc_id", *(f"n_{k}" for k in BASE), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat("base", "more")).alias("spans"), (F.size("base") + F.size("more")).cast("long").alias("n_spans"),
     )
 
 
@@ -204,7 +260,7 @@ def _passing(kind: str) -> Column:
 def _spans(kind: str, base: bool) -> Column:
     """Candidates with their kind's number and the code of their votes."""
     number = F.lit(KINDS.index(kind))
-    return F.transform(f"{'b' if base else 'l'}_{kind}", lambda s: F.struct(s["start"].alias("start"), number.alias("kind"), s["end"].alias("end"), code(kind, votes(kind, base, s, F.col("t"))).alias("code")))
+    return F.transform(f"{'b' if base else 'l'}_{kind}", lambda s: F.struct(s["start"].alias("start"), number.alias("kind"), s["end"].alias("end"), code(kind, votes(kind, base, s)).alias("code")))
 
 
 def _number(key: tuple[int, ...]) -> int:
