@@ -13,7 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, with_words
+from .common import bound, cut, table, with_words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Widths of the blocks of a fingerprint, and flips looked up in each.  Two fingerprints that differ
@@ -35,17 +35,27 @@ def with_shingles(df: DataFrame, words: int = SHINGLE) -> DataFrame:
     return df.withColumn("shingles", F.when(F.size("hashes") >= words, F.transform(places, at)).otherwise(F.array().cast("array<long>"))).drop("words", "norm", "hashes")
 
 
+#: Shingles counted in one sum of three lanes; longer windows are counted in several.
+LANE = (1 << 20) - 1
+
+
 def simhash(shingles: Column) -> Column:
     """Bits set in over half the shingle hashes, repeats included.
 
-    Three bits at a time are counted in three lanes of 20 bits of one sum (a million shingles).
+    Three bits at a time are counted in three lanes of 20 bits of one sum; parts of at most ``LANE``
+    shingles are counted by themselves, so that no lane overflows.
     """
     spread = lambda h, k: (F.shiftrightunsigned(h, 3 * k).bitwiseAND(F.lit(7)) * F.lit(1 | 1 << 19 | 1 << 38)).bitwiseAND(F.lit(1 | 1 << 20 | 1 << 40))
-    lane = lambda k: F.aggregate(shingles, F.lit(0).cast("long"), lambda acc, h: acc + spread(h, k))
-    lanes = F.array(*map(lane, range(22)))
-    most = lambda lane, j: F.shiftrightunsigned(lane, 20 * j).bitwiseAND(F.lit((1 << 20) - 1)) * 2 > F.size(shingles)
-    bits = F.transform(lanes, lambda lane: sum((F.when(most(lane, j), F.lit(1 << j)).otherwise(0) for j in (1, 2)), F.when(most(lane, 0), F.lit(1)).otherwise(0)).cast("long"))
-    return F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda acc, n: F.shiftleft(acc, 3).bitwiseOR(n))
+    total = lambda of, k: F.aggregate(of, F.lit(0).cast("long"), lambda acc, h: acc + spread(h, k))
+    count = lambda lane, j: F.shiftrightunsigned(lane, 20 * j).bitwiseAND(F.lit(LANE))
+    value = lambda most: sum((F.when(most(j), F.lit(1 << j)).otherwise(0) for j in (1, 2)), F.when(most(0), F.lit(1)).otherwise(0)).cast("long")
+    short = F.transform(F.array(*(total(shingles, k) for k in range(22))), lambda lane: value(lambda j: count(lane, j) * 2 > F.size(shingles)))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(shingles) - 1) / LANE).cast("int")), lambda i: F.slice(shingles, i * LANE + 1, F.lit(LANE)))
+    sums = lambda k: F.transform(parts, lambda p: total(p, k))
+    several = lambda lanes, j: F.aggregate(lanes, F.lit(0).cast("long"), lambda acc, lane: acc + count(lane, j)) * 2 > F.size(shingles)
+    long = F.transform(F.array(*map(sums, range(22))), lambda lanes: value(lambda j: several(lanes, j)))
+    joined = lambda bits: F.aggregate(F.reverse(bits), F.lit(0).cast("long"), lambda acc, n: F.shiftleft(acc, 3).bitwiseOR(n))
+    return F.when(F.size(shingles) <= LANE, joined(short)).otherwise(joined(long))
 
 
 def blocks(fp: Column) -> list[tuple[Column, int]]:
@@ -58,9 +68,17 @@ def blocks(fp: Column) -> list[tuple[Column, int]]:
 
 
 def counted(shingles: Column) -> Column:
-    """The shingles, told apart by how often each came before: sets of these measure as multisets."""
-    times = lambda x, i: F.xxhash64(x, F.size(F.filter(F.slice(shingles, 1, i), lambda y: y == x)))
-    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), F.transform(shingles, lambda x: F.xxhash64(x, F.lit(0)))).otherwise(F.transform(shingles, times))
+    """The shingles, told apart by how often each came before: sets of these measure as multisets.
+
+    Once sorted, equal ones are runs, and each is numbered by its place in its run.
+    """
+
+    def numbered(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        run = lambda at: lambda a, k: F.transform(F.sequence(F.lit(0), F.coalesce(F.get(at, k + 1), F.size(s)) - a - 1), lambda n: F.xxhash64(F.get(s, a), n))
+        return bound(begins, lambda at: F.flatten(F.transform(at, run(at))))
+
+    return F.when(F.size(F.array_distinct(shingles)) == F.size(shingles), F.transform(shingles, lambda x: F.xxhash64(x, F.lit(0)))).otherwise(bound(F.array_sort(shingles), numbered))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -69,8 +87,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     Similarity is that of weighted shingles, sum of smaller over sum of larger counts, between the
     item and the best window of its size (the first among equals); ``start_word`` is the window's
     first word.  Words are compared in lower case without punctuation.  Items of under five words and
-    null items hold nothing; neither do texts of under five words.  Repeated items count once each
-    id, and rows that repeat an id as one document.
+    null items hold nothing; neither do null texts and those of under five words.  Repeated items count
+    once each id; rows that repeat an id are one document, which holds what any of them does.  Texts and
+    items of any length count whole; of an empty table there are no rows; other columns play no part.
     """
     items = cut(with_shingles(benchmark.where("item_id IS NOT NULL").select("item_id", "text")).select("item_id", "shingles").distinct()).where(F.size("shingles") > 0)
     items = cut(items.select("item_id", F.size("shingles").alias("n"), "shingles", simhash(F.col("shingles")).alias("item_fp"), counted(F.col("shingles")).alias("item")))
@@ -145,8 +164,10 @@ WITH d AS (
 ), bs AS (
   SELECT item_id, len(w) - 4 AS n, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS s
   FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM b WHERE len(w) >= 5)
+), sizes AS (
+  SELECT DISTINCT doc_id, item_id, size, n FROM ds JOIN bs USING (s)
 ), windows AS (
-  SELECT DISTINCT ds.doc_id, bs.item_id, bs.n, greatest(least(ds.pos - bs.pos, ds.size - bs.n), 0) AS start FROM ds JOIN bs USING (s)
+  SELECT doc_id, item_id, n, unnest(range(0, greatest(size - n, 0) + 1)) AS start FROM sizes
 ), wc AS (
   SELECT v.doc_id, v.item_id, v.start, ds.s, count(*) AS c FROM windows v
   JOIN ds ON ds.doc_id = v.doc_id AND ds.pos >= v.start AND ds.pos < v.start + v.n GROUP BY ALL
