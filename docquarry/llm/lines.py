@@ -17,14 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, SET_BITS, SPACE, id_set, map_batches, stored, table, text_bytes
+from .common import id_bit, id_set, in_set, map_batches, salted_join, stored, table, text_bytes
 
 #: Lines of fewer words say too little to be called copies, and stay.
 MIN_WORDS = 5
 #: Lines of at least so many words may differ in one of them (similarity 0.9 or more).
 NEAR_WORDS = 10
-#: A line with more than this part of all lines' places is joined by broadcast.
-HOT_SHARE = 1000
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -33,6 +31,14 @@ def line_words(line: bytes) -> list[bytes]:
     return line.lower().split()
 
 
+def line_key(words: list[bytes]) -> tuple[int, int]:
+    """A line's 128-bit hash, as two signed longs."""
+    import xxhash
+
+    key = xxhash.xxh3_128_intdigest(b" ".join(words))
+    return (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63)
+
+
 def halves(words: list[bytes]) -> list[int]:
     """Hashes of halves, as a line of its own length and as the longer of two that differ by one."""
     import xxhash
@@ -49,16 +55,13 @@ def line_keys(docs: DataFrame, min_words: int, near_words: int) -> DataFrame:
     """``doc_id, line, words, k1, k2, halves`` of every line that is long enough."""
 
     def work(batches):
-        import xxhash
-
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for n, line in enumerate(text.split(b"\n")):
                     words = line_words(line)
                     if len(words) >= min_words:
-                        key = xxhash.xxh3_128_intdigest(b" ".join(words))
-                        rows.append((doc_id, n, len(words), (key >> 64) - (1 << 63), (key & (1 << 64) - 1) - (1 << 63), halves(words) if len(words) >= near_words else None))
+                        rows.append((doc_id, n, len(words), *line_key(words), halves(words) if len(words) >= near_words else None))
             if rows:
                 types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "line", "words", "k1", "k2", "halves"])
@@ -97,8 +100,7 @@ def line_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         packer = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            bit = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(kept.value[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 == 1))
+            batch = batch.filter(pa.array(in_set(kept.value, batch.column(2).to_numpy())))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress(t) for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "text"])
 
     def pick(batches):
@@ -109,13 +111,15 @@ def line_contents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out = []
             for doc_id, text, picked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = opener.decompress(text).split(b"\n")
-                out += [(w["k1"], w["k2"], doc_id, w["line"], b" ".join(line_words(parts[w["line"]]))) for w in picked if w["line"] < len(parts)]
+                for w in picked:
+                    words = line_words(parts[w["line"]]) if w["line"] < len(parts) else []
+                    if line_key(words) == (w["k1"], w["k2"]):  # not another text of the same id
+                        out.append((w["k1"], w["k2"], doc_id, w["line"], b" ".join(words)))
             if out:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["k1", "k2", "doc_id", "line", "content"])
 
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))
-    texts = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text")), bit.alias("bit")), shrink, "doc_id long, text binary")
+    texts = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text")), id_bit(F.col("doc_id"))), shrink, "doc_id long, text binary")
     by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "k1", "k2")).alias("wanted"))  # a document's own lines
     return map_batches(texts.join(by_doc, "doc_id").select("doc_id", "text", "wanted"), pick, "k1 long, k2 long, doc_id long, line int, content binary").dropDuplicates(["k1", "k2"])
 
@@ -126,10 +130,10 @@ def near_earlier(places: DataFrame, lines: DataFrame, docs: DataFrame, near_word
     ``places`` are all lines with their hashes, ``lines`` the distinct ones with the earliest place
     of each, ``first``.
     """
-    sides = places.where(F.col("words") >= near_words).select("k1", F.explode("halves").alias("half")).repartition("half")
-    # both uses read one exchange, as they need the same columns of it
+    # distinct in each task first: a repeated line counts once, however often it is there
+    sides = stored(places.where(F.col("words") >= near_words).select("k1", F.explode("halves").alias("half")).distinct())
     shared = sides.groupBy("half").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a <> b").select("half")
-    alive = sides.join(shared, "half", "left_semi").select("k1").distinct()
+    alive = salted_join(sides, shared, ["half"], ["k1"]).select("k1").distinct()
     wanted = stored(lines.join(alive, "k1", "left_semi").select("k1", "k2", "first.doc_id", "first.line"))
     contents = stored(line_contents(docs, wanted))
 
@@ -143,9 +147,11 @@ def near_earlier(places: DataFrame, lines: DataFrame, docs: DataFrame, near_word
                 size[-1] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(size), pa.array(place), pa.array(np.full(n, batch.column(1)[i].as_py()))], names=["variant", "size", "place", "k1"])
 
-    rows = map_batches(contents.select("content", "k1"), emit, "variant long, size int, place int, k1 long").repartition("variant", "size")
-    met = rows.groupBy("variant", "size").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("place").alias("c")).where("a <> b").select("variant", "size")
-    rows = stored(rows.join(met, ["variant", "size"], "left_semi").join(wanted.select("k1", F.struct("doc_id", "line").alias("first")), "k1"))
+    # variants of few lines but of the same one again fall together in the first aggregation; a variant of
+    # any number of lines is dealt out by lines wherever its rows are joined
+    emitted = stored(map_batches(contents.select("content", "k1"), emit, "variant long, size int, place int, k1 long"))
+    met = emitted.groupBy("variant", "size").agg(F.min("k1").alias("a"), F.max("k1").alias("b"), F.max("place").alias("c")).where("a <> b").select("variant", "size")
+    rows = stored(salted_join(emitted, met, ["variant", "size"], ["k1"]).join(wanted.select("k1", F.struct("doc_id", "line").alias("first")), "k1"))
     by_place = rows.groupBy("variant", "size", "place").agg(F.min("first").alias("least"))
     by_variant = by_place.groupBy("variant", "size").agg(
         F.min(F.when(F.col("place") < 0, F.col("least"))).alias("whole"), F.min(F.when(F.col("place") >= 0, F.col("least"))).alias("lacking")
@@ -153,8 +159,8 @@ def near_earlier(places: DataFrame, lines: DataFrame, docs: DataFrame, near_word
     found = by_place.join(by_variant, ["variant", "size"]).select(
         "variant", "size", "place", F.when(F.col("place") < 0, F.col("lacking")).otherwise(F.least("least", "whole")).alias("near")
     )
-    pairs = rows.join(found, ["variant", "size", "place"]).where(F.col("near") < F.col("first")).groupBy("first").agg(F.min("near").alias("near"))
-    mine = contents.select("k1", "k2", F.struct("doc_id", "line").alias("first"), "content")
+    pairs = salted_join(rows, found, ["variant", "size", "place"], ["k1"]).where(F.col("near") < F.col("first")).groupBy("k1").agg(F.min("near").alias("near"))
+    mine = contents.select("k1", "k2", "content")
     other = contents.select(F.struct("doc_id", "line").alias("near"), F.col("content").alias("other"))
 
     def verify(batches):
@@ -162,8 +168,8 @@ def near_earlier(places: DataFrame, lines: DataFrame, docs: DataFrame, near_word
             good = [within_one(a.split(b" "), b.split(b" ")) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:3], names=["k1", "k2", "near"]).filter(pa.array(good, pa.bool_()))
 
-    checked = pairs.join(other, "near").join(mine, "first").select("k1", "k2", "near", "content", "other")
-    return map_batches(checked, verify, "k1 long, k2 long, near struct<doc_id: long, line: int>")
+    checked = salted_join(pairs, other, ["near"], ["k1"]).join(mine, "k1").select("k1", "k2", "near", "content", "other")
+    return map_batches(checked, verify, "k1 long, k2 long, near struct<doc_id: long, line: int>").distinct()
 
 
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
@@ -174,7 +180,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     ``near_words`` words, if an earlier one is within one word's edit (``edits`` 1), whether or not
     that one stays itself; ``keep_*`` names the earliest such line found.  Lines of under
     ``min_words`` words, empty ones among them, always stay.  Null texts have no such lines; rows
-    without an id are left alone.  Rows that repeat an id must be copies, and are treated alike.
+    without an id are left alone.  Rows that repeat an id are one document: of equal texts each line has
+    one row in the result, of different texts each place has a row for every line there that goes.
+    Lines and texts of any length count whole; an empty table has no rows; other columns play no part.
     """
     places = stored(line_keys(docs.where("doc_id IS NOT NULL"), min_words, near_words))
     place = F.struct("doc_id", "line").alias("place")
@@ -182,10 +190,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
     near = stored(near_earlier(places, lines, docs, near_words))
     repeated = stored(lines.join(near, ["k1", "k2"], "left").where(F.col("near").isNotNull() | (F.col("n") > 1)))
     every = places.select("k1", "k2", "doc_id", "line", "words")
-    # at most HOT_SHARE lines can have over a HOT_SHARE-th of all places: these go to the places
-    hot = F.broadcast(repeated.where(F.col("n") > places.count() // HOT_SHARE))
-    rest = every.join(hot.select("k1", "k2"), ["k1", "k2"], "left_anti").join(repeated, ["k1", "k2"])
-    found = every.join(hot, ["k1", "k2"]).unionByName(rest)
+    found = salted_join(every, repeated, ["k1", "k2"], ["doc_id"])
     exact = F.col("near").isNull()
     keep = F.when(exact, F.col("first")).otherwise(F.col("near"))
     return found.where(~exact | (F.struct("doc_id", "line") > F.col("first"))).select(
@@ -195,32 +200,24 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
 
 
 def without_duplicate_lines(docs: DataFrame, **how) -> DataFrame:
-    """The same rows and columns without the lines that ``duplicate_lines`` names.
+    """The same rows and columns without the lines that ``duplicate_lines`` names, and with all others.
 
-    A text that loses all its lines of at least ``min_words`` words was a copy if its short lines too
-    are in the documents that hold what it lost, and becomes empty; with a short line of its own it
-    keeps them all.  ``n_chars``, where there is one, follows the text.
+    A text becomes empty only where every one of its lines goes.  ``n_chars``, where there is one,
+    follows the text.  Rows without an id stay as they are.  Of rows that repeat an id with different
+    texts, each loses the places that are named for the id.
     """
-    min_words = how.get("min_words", MIN_WORDS)
-    named = stored(duplicate_lines(docs, **how).select("doc_id", "line_no", "keep_doc_id"))
-    gone = named.groupBy(F.col("doc_id").alias("__doc_id")).agg(F.collect_set("line_no").alias("__gone"))  # a document's own lines
-    rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("__gone", i.cast("long")))
-    long_line = lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words
-    alike = lambda line: F.trim(F.regexp_replace(F.translate(line, ASCII_UPPER, ASCII_LOWER), SPACE, " "))
-    short_lines = lambda of: F.explode(F.array_distinct(F.transform(F.filter(F.transform(of, alike), lambda x: x != ""), lambda x: F.xxhash64(x)))).alias("short")
-    lost = docs.join(gone, docs["doc_id"] == gone["__doc_id"]).select(docs["doc_id"].cast("long").alias("doc_id"), rest.alias("rest")).where(~F.exists("rest", long_line))
-    mine = stored(lost.select("doc_id", short_lines(F.col("rest"))).distinct())
-    asked = mine.join(named.where("keep_doc_id <> doc_id").select("doc_id", F.col("keep_doc_id").alias("source")).distinct(), "doc_id")
-    sources = asked.select("source").distinct()
-    held = docs.select(F.col("doc_id").cast("long").alias("source"), "text").join(sources, "source", "left_semi").select("source", short_lines(F.split("text", "\n", -1))).distinct()
-    found = asked.join(held, ["source", "short"], "left_semi").select("doc_id", "short").distinct()
-    own = mine.join(found, ["doc_id", "short"], "left_anti").select(F.col("doc_id").alias("__own")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["__doc_id"], "left").join(own, docs["doc_id"] == own["__own"], "left").withColumn("__rest", F.when(F.col("__gone").isNotNull(), rest))
-    kept = F.when(F.col("__own").isNotNull() | F.exists("__rest", long_line), F.array_join("__rest", "\n")).otherwise("")
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    named = duplicate_lines(docs, **how)
+    gone = named.groupBy(F.col("doc_id").alias("id")).agg(F.collect_set("line_no").alias("lines"))  # a document's own lines
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # whatever the columns are called
+    rows = docs.toDF(*names.values())
+    doc_id, text = F.col(names["doc_id"]), F.col(names["text"])
+    out = rows.join(gone, doc_id == F.col("id"), "left")
+    rest = F.array_join(F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("lines", i.cast("long"))), "\n")
+    out = out.withColumn(names["text"], F.when(F.col("lines").isNull(), text).otherwise(rest))
+    if "n_chars" in names:
+        n = F.col(names["n_chars"])
+        out = out.withColumn(names["n_chars"], F.when(F.col("lines").isNull(), n).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(v).alias(c) for c, v in names.items()))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,23 +67,41 @@ def test_runs_of_one_word(spark):
     assert got == expected(rows)
 
 
-def test_stage(spark, documents):
+def test_stage(spark, documents, empty):
     out = lines.without_duplicate_lines(documents)
-    assert out.columns == documents.columns and out.count() == documents.count()
+    assert out.columns == documents.columns and out.count() == documents.count() and lines.without_duplicate_lines(empty).count() == 0
     passage = " ".join(f"w{i}" for i in range(55))
-    docs = spark.createDataFrame([(1, f"short\n{passage}\nmine alone it is here", 9), (2, f"{passage}\nother words stand in here\nshort", 9), (3, f"short\n{passage}", 9), (4, None, None), (5, "short", 5)], "doc_id long, text string, n_chars long")
+    docs = spark.createDataFrame([(1, f"short\n{passage}\nmine alone it is here", 9), (2, f"{passage}\nother words stand in here\nshort", 9), (3, f"short\n{passage}", 9), (4, None, None), (5, "short", 5), (6, passage, 9)], "doc_id long, text string, n_chars long")
     kept = {r["doc_id"]: (r["text"], r["n_chars"]) for r in lines.without_duplicate_lines(docs).collect()}
     assert kept[1] == (f"short\n{passage}\nmine alone it is here", 9) and kept[2][0] == "other words stand in here\nshort" and kept[2][1] == len(kept[2][0])
-    assert kept[3] == ("", 0) and kept[4] == (None, None) and kept[5] == ("short", 5)
+    assert kept[3] == ("short", 5) and kept[4] == (None, None) and kept[5] == ("short", 5) and kept[6] == ("", 0)
 
 
-def test_stage_keeps_short_lines_of_its_own(spark):
-    """A text of short lines and a notice that others have too, and its copy."""
+def test_stage_keeps_every_line_that_is_not_named(spark):
+    """Short lines stay, and columns may be called anything."""
     notice = " ".join(f"w{i}" for i in range(30))
     poem = f"rose\n{notice}\nis a rose\n"
-    docs = spark.createDataFrame([(1, f"title\n{notice}"), (2, poem), (3, poem), (4, f"TITLE\n\n{notice}"), (5, notice)], "doc_id long, text string")
-    kept = {r["doc_id"]: r["text"] for r in lines.without_duplicate_lines(docs).collect()}
-    assert kept == {1: f"title\n{notice}", 2: "rose\nis a rose\n", 3: "rose\nis a rose\n", 4: "", 5: ""}
+    docs = spark.createDataFrame([(1, f"title\n{notice}", "a", 1, "x"), (2, poem, "b", 2, "y"), (3, poem, None, None, None)], "doc_id long, text string, lines string, id int, c1 string")
+    out = lines.without_duplicate_lines(docs)
+    kept = {r["doc_id"]: tuple(r) for r in out.collect()}
+    assert out.columns == docs.columns and kept == {1: (1, f"title\n{notice}", "a", 1, "x"), 2: (2, "rose\nis a rose\n", "b", 2, "y"), 3: (3, "rose\nis a rose\n", None, None, None)}
+
+
+def test_ids_with_several_texts(spark):
+    """Each text's lines count, and a place is told apart by its line."""
+    a, b = " ".join(f"a{i}" for i in range(12)), " ".join(f"b{i}" for i in range(12))
+    rows = [(1, f"{a}\n{b} x"), (2, f"{b}\nq q q q q"), (2, f"{a} z\nz z z z z"), (3, b)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["line_no"], r["keep_doc_id"], r["keep_line_no"]) for r in lines.duplicate_lines(docs).collect()}
+    assert got == {(2, 0, 1, 0), (2, 0, 1, 1), (3, 0, 1, 1)}
+
+
+def test_frequent_lines_are_dealt_out(spark):
+    """One line, and one template with a word of its own, in nearly all documents: no task gets them all."""
+    same, template = " ".join(f"s{i}" for i in range(12)), " ".join(f"t{i}" for i in range(14))
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"concat('{same}\n{template} ', id, ' end') AS text").repartition(4)
+    got = lines.duplicate_lines(docs).groupBy("edits").count().collect()
+    assert {r["edits"]: r["count"] for r in got} == {0: 2999, 1: 2999}
 
 
 def test_like_sql(spark):
