@@ -13,24 +13,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SET_BITS, cut, id_set, map_batches, stored, table, text_bytes
+from .common import cut, map_batches, salted_join, table, text_bytes
 
 #: Fingerprints that live in one shard, on average; one of over OVERFULL times as many is split on.
 SHARD, OVERFULL = 4096, 4
 #: Fingerprints looked at (about) to choose vantage points and radii.  It shapes the tree, not the result.
 TREE_SAMPLE = 2048
-#: For texts that are to be similar by their shingles: sampled shingles by which they meet, the bits by
-#: which they may differ then and in the tree.
-KEYS, MEETING_RADIUS, TREE_RADIUS = 6, 19, 3
-#: Larger groups are first dealt into such, so many times, and their texts paired with so many.
-GROUP, DEALS, NEAREST = 64, 3, 4
-#: Texts of a block, when what is left of a larger group is compared block by block.
-BLOCK = 512
-#: Counts of a set's sketch; counts that don't fit are all taken as the largest.
-SKETCH = 128
+#: Neighbours of a vertex beyond which edges are dealt out.
+HUB = 100_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -167,26 +160,28 @@ def near_edges(points: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
     return parts.groupBy("leaf", "copy").applyInArrow(work, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``id, component`` (its smallest id) of every id that an edge names, by alternating stars.
+def components(edges: DataFrame, hub: int = HUB) -> DataFrame:
+    """``id, component`` (its smallest id) of every other id that an edge names, by alternating stars.
 
     Each round replaces edges by edges to a vertex's smallest neighbour, as aggregations and joins
-    on the vertex; it ends when a round changes nothing, after about log(n) rounds.
+    on the vertex; it ends when a round changes nothing, after about log(n) rounds.  Once a vertex has
+    over ``hub`` neighbours, the edges of every vertex are dealt out for these joins.
     """
     a, b = F.col("a"), F.col("b")
     edges, before = cut(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()), None
     while True:
-        both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = cut(small)
-        seen = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        by_star = edges.groupBy("b").agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s"))
+        *seen, most = by_star.agg(F.sum("n"), F.sum("s"), F.max("n")).first()
         if seen == before:
             return edges.select(a.alias("id"), b.alias("component"))
         before = seen
+        with_least = lambda rows, least: salted_join(rows, least, ["a"], ["b"]) if (most or 0) > hub else rows.join(least, "a")  # noqa: B023, E731
+        both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        large = with_least(both, least).where(b > a).select(b.alias("a"), F.col("m").alias("b")).where(a != b).distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        joined = with_least(large, least)
+        edges = cut(joined.where(b != F.col("m")).select(b.alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct())
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, shard: int = SHARD) -> DataFrame:
@@ -195,193 +190,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, shard: int
     Documents are linked when their fingerprints differ in at most ``radius`` bits, and a component
     is named by its smallest ``doc_id``.  A text without words (null, empty or white space) has
     fingerprint zero and is linked like any other.  Repeated rows stay repeated.  A null id names no
-    component: a fingerprint that only null ids have isn't linked, and its component is null.
+    component: a fingerprint that only null ids have isn't linked, and its component is null.  Long
+    texts count whole; an empty table gives no rows; other columns play no part.
     """
     prints = cut(fingerprints(docs, words))
     points = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("id")))
     found = components(near_edges(points.where("id IS NOT NULL"), radius, shard))
     named = points.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def described(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id, c1, c2, fp, keys``: what a text is, its fingerprint, and its KEYS smallest shingle hashes."""
-
-    def work(batches):
-        import xxhash
-
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                hashes, content = shingle_hashes(text, words), xxhash.xxh3_128_intdigest(b" ".join(text.lower().split()))
-                fp = bit_majority(hashes) if len(hashes) else 0
-                rows.append((doc_id, (content >> 64) - (1 << 63), (content & (1 << 64) - 1) - (1 << 63), fp - (1 << 64) if fp >> 63 else fp, np.unique(hashes)[:KEYS].view(np.int64).tolist()))
-            if rows:
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["doc_id", "c1", "c2", "fp", "keys"])
-
-    return map_batches(docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text"))), work, "doc_id long, c1 long, c2 long, fp long, keys array<long>")
-
-
-def meeting_edges(texts: DataFrame, radius: int) -> DataFrame:
-    """``a, b``: texts ``id, fp, keys`` that share a key and differ in at most ``radius`` bits.
-
-    All such pairs in groups of up to GROUP texts.  Of larger groups only those that are likely to
-    link most of it cheaply; ``left_edges`` finds what these leave.  They are dealt into parts of
-    about that size, DEALS times in different ways, and each text is paired with its NEAREST in every
-    part; and with the group's centre, the text nearest to its bits' majority.
-    """
-    rows = texts.select("id", "fp", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    count = F.ceil(F.col("n") / GROUP)
-    deals = F.transform(F.sequence(F.lit(0), F.lit(DEALS - 1)), lambda d: d * count + F.pmod(F.xxhash64("id", "key", d), count))
-    parts = rows.join(sizes, "key").withColumn("part", F.explode(F.when(F.col("n") <= GROUP, F.array(F.lit(0).cast("long"))).otherwise(deals)))
-
-    def work(key, group):
-        ids, fp, whole = group.column("id").to_numpy(), group.column("fp").to_numpy().view(np.uint64), group.column("n")[0].as_py() <= GROUP
-        apart = np.bitwise_count(fp[:, None] ^ fp[None, :]).astype(np.int64)
-        apart[np.arange(len(ids)), np.arange(len(ids))] = 99
-        if whole:
-            a, b = np.nonzero(np.triu(apart <= radius, 1))
-        else:
-            b = np.argsort(apart, axis=1, kind="stable")[:, :NEAREST].ravel()
-            a = np.repeat(np.arange(len(ids)), min(NEAREST, len(ids)))
-            near = apart[a, b] <= radius
-            a, b = a[near], b[near]
-        return pa.table({"a": pa.array(np.maximum(ids[a], ids[b])), "b": pa.array(np.minimum(ids[a], ids[b]))})
-
-    large = rows.join(sizes.where(F.col("n") > GROUP), "key")
-    bit = lambda k: F.shiftrightunsigned("fp", k).bitwiseAND(F.lit(1))
-    most = sum((F.when(F.sum(bit(k)) * 2 > F.count("*"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(0) for k in range(1, 64)), F.when(F.sum(bit(0)) * 2 > F.count("*"), F.lit(1).cast("long")).otherwise(0))
-    majority = large.groupBy("key").agg(most.alias("most"))
-    apart = lambda other: F.bit_count(F.col("fp").bitwiseXOR(F.col(other)))
-    centre = large.join(majority, "key").groupBy("key").agg(F.min(F.struct(apart("most").alias("d"), F.col("id").alias("centre"), F.col("fp").alias("cfp"))).alias("c")).select("key", "c.centre", "c.cfp")
-    star = large.join(centre, "key").where((F.col("id") != F.col("centre")) & (apart("cfp") <= radius)).select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b"))
-    return parts.groupBy("key", "part").applyInArrow(work, "a long, b long").unionByName(star)
-
-
-def shingle_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """``doc_id, own``: the sorted distinct shingle hashes of the documents ``doc_id``, stored."""
-    kept = docs.sparkSession.sparkContext.broadcast(id_set(ids))
-    bit = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SET_BITS))
-
-    def work(batches):
-        for batch in batches:
-            bits = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(kept.value[bits >> 3] >> (bits & 7).astype(np.uint8) & 1 == 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], names=["doc_id", "own"])
-
-    rows = map_batches(docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), text_bytes(F.col("text")), bit.alias("bit")), work, "doc_id long, own binary").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stored(rows)
-
-
-def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
-    """Whether two sorted sets are at least so similar (Jaccard)."""
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared >= similarity * (len(x) + len(y) - shared)
-
-
-def similar(edges: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges whose texts' sets of shingles are at least so similar (Jaccard)."""
-    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    rows = shingle_sets(docs, ids, words)
-    both = edges.join(rows.select(F.col("doc_id").alias("a"), F.col("own").alias("x")), "a").join(rows.select(F.col("doc_id").alias("b"), F.col("own").alias("y")), "b").select("a", "b", "x", "y")
-
-    def verify(batches):
-        for batch in batches:
-            good = [alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return map_batches(both, verify, "a long, b long")
-
-
-def sketch(own: np.ndarray) -> np.ndarray:
-    """How many of a set's hashes fall to each of SKETCH numbers: sums of smaller counts bound what two sets share."""
-    counts = np.bincount((own % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
-    return np.full(SKETCH, 65535, np.uint16) if counts.max() > 65535 else counts.astype(np.uint16)
-
-
-def could_be_alike(size: int, counts: np.ndarray, sizes: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the other sets may be so similar to a set, by sizes and sketches: never false for one that is."""
-    shared = np.minimum(np.minimum(counts, others).sum(1, dtype=np.int64), np.minimum(size, sizes))
-    return shared >= similarity * (size + sizes - shared)
-
-
-def left_edges(texts: DataFrame, named: DataFrame, docs: DataFrame, words: int, similarity: float, block: int = BLOCK) -> DataFrame | None:
-    """``a, b``: similar texts of different components ``named`` that share a key of over GROUP texts; None without any such key.
-
-    They link all such pairs as the pairs themselves would.  A group's texts are dealt into blocks,
-    those of a large component into blocks of its own, and every two blocks that aren't of one
-    component are compared, all with all: exactly, where sizes and sketches allow it.
-    """
-    rows = texts.select("id", F.explode("keys").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("key")
-    rows = rows.join(sizes, "key").join(named, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    pieces = stored(rows.groupBy("key", "component").agg(F.count("*").alias("m")))
-    mixed = pieces.groupBy("key").agg(F.count("*").alias("k"), F.ceil(F.sum(F.when(F.col("m") < block, F.col("m")).otherwise(0)) / block).alias("pool")).where("k > 1")
-    if mixed.isEmpty():
-        return None
-    before = Window.partitionBy("key").orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
-    own = pieces.where(F.col("m") >= block).withColumn("blocks", F.ceil(F.col("m") / block)).withColumn("past", F.coalesce(F.sum("blocks").over(before), F.lit(0))).select("key", "component", "blocks", "past")
-    every = mixed.join(own.groupBy("key").agg(F.sum("blocks").alias("blocks")), "key", "left").select("key", "pool", (F.col("pool") + F.coalesce("blocks", F.lit(0))).alias("all"))
-    placed = rows.join(every, "key").join(own, ["key", "component"], "left")
-    lone = F.col("blocks").isNull()
-    lo, at = F.col("pool") + F.col("past"), F.xxhash64("id", "key")
-    mine = F.when(lone, F.pmod(at, F.col("pool"))).otherwise(lo + F.pmod(at, F.col("blocks"))).cast("long")
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("all") - 1), lambda j: lone | (j < lo) | (j >= lo + F.col("blocks")))
-    met = placed.withColumn("mine", mine).withColumn("other", F.explode(others)).select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component")
-    sets = shingle_sets(docs, placed.select(F.col("id").alias("doc_id")).distinct(), words)
-
-    def work(key, group):
-        first, same = key[1].as_py(), key[1].as_py() == key[2].as_py()
-        ids, label = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
-        owns = [np.frombuffer(x, np.uint64) for x in group.column("own").to_pylist()]
-        lengths, counts = np.fromiter(map(len, owns), np.int64, len(owns)), np.stack([sketch(x) for x in owns])
-        left = np.flatnonzero(group.column("mine").to_numpy() == first)
-        right = left if same else np.flatnonzero(group.column("mine").to_numpy() != first)
-        found = []
-        for n, x in enumerate(left.tolist()):
-            y = right[n + 1 :] if same else right
-            y = y[label[y] != label[x]]
-            y = y[could_be_alike(lengths[x], counts[x], lengths[y], counts[y], similarity)]
-            for z in y.tolist():
-                if label[z] != label[x] and alike(owns[x], owns[z], similarity):
-                    found.append((ids[x], ids[z]))
-                    label[label == label[z]] = label[x]
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    return met.join(sets.withColumnRenamed("doc_id", "id"), "id").groupBy("key", "i", "j").applyInArrow(work, "a long, b long")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``doc_id, component_id``: groups of texts that are linked by shingle similarity.
-
-    At this similarity fingerprints are too far apart for a tree to prune (10 of 64 bits on average),
-    so texts meet in two ways: in the tree at TREE_RADIUS bits, and by any of their KEYS smallest
-    shingle hashes, where all within MEETING_RADIUS bits count, and in groups of over GROUP all.  A pair of similarity 0.8 misses both
-    with a probability of about 0.0005.  Either way the exact similarity of their sets of shingles
-    decides.  Equal texts (words in lower case) are one from the start.  Rows without an id are
-    left out; rows that repeat one must be copies.
-    """
-    prints = stored(described(docs.where("doc_id IS NOT NULL"), words))
-    texts = stored(prints.groupBy("c1", "c2").agg(F.min("doc_id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
-    tree = near_edges(cut(texts.groupBy("fp").agg(F.min("id").alias("id"))), TREE_RADIUS)
-    pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stored(pair(tree).unionByName(meeting_edges(texts, MEETING_RADIUS)).distinct())
-    good = stored(similar(edges, docs, words, similarity))
-    named = components(good)
-    left = left_edges(texts, named, docs, words, similarity)
-    if left is not None:
-        named = components(good.unionByName(left))
-    groups = texts.join(named, "id", "left").select("c1", "c2", F.coalesce("component", "id").alias("component_id"))
-    return prints.join(groups, ["c1", "c2"]).select("doc_id", "component_id")
-
-
-def without_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows, with all their columns, of one document of each group of ``similar_groups``: that of
-    the smallest id.  Rows without an id all stay."""
-    gone = similar_groups(docs, words, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return salted_join(prints, named, ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from docquarry.llm import simhash
+from docquarry.llm import similar, simhash
 
 
 def fingerprint(text, words=3):
@@ -112,13 +112,13 @@ def test_similar_like_all_pairs(spark, documents, empty):
             at += 1
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()}
     assert got == similar_groups(sorted(rows))
-    assert simhash.similar_groups(empty).count() == 0
+    assert similar.similar_groups(empty).count() == 0
 
 
 def test_stage_keeps_one_of_each(documents):
-    kept = simhash.without_near_duplicates(documents)
+    kept = similar.without_near_duplicates(documents)
     assert kept.columns == documents.columns
     names = similar_groups(sorted({(r["doc_id"], r["text"]) for r in documents.where("doc_id IS NOT NULL").collect()}, key=lambda x: x[0]))
     assert {r["doc_id"] for r in kept.collect()} == {i for i, c in names.items() if i == c} | {None}
@@ -133,7 +133,7 @@ def test_large_group_of_pairs(spark):
         own = [word() for _ in range(55)]
         rows += [(len(rows), " ".join(shared + own)), (len(rows) + 1, " ".join(shared + own[:-4] + [word() for _ in range(4)]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()} == similar_groups(rows)
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()} == similar_groups(rows)
 
 
 def test_blocks_of_large_components(spark):
@@ -142,7 +142,48 @@ def test_blocks_of_large_components(spark):
     rows = [(i, " ".join(base[:-1] + [f"x{i}"])) for i in range(100)]
     rows += [(100, " ".join([f"y{k}" for k in range(30)] + base[:170]))]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    texts = simhash.described(docs, 5).withColumnRenamed("doc_id", "id")
+    sets = similar.shingle_sets(docs, docs.select("doc_id"), 5)
+    members = docs.selectExpr("7L AS key", "doc_id AS id", "0L AS rep", "101L AS size")
     named = spark.createDataFrame([(i, 0) for i in range(100)], "id long, component long")
-    found = simhash.left_edges(texts, named, docs, 5, 0.7, 8).collect()
+    found = similar.left_edges(members, named, sets, 0.7, 8).collect()
     assert found and all({r["a"], r["b"]} - set(range(100)) == {100} for r in found)
+
+
+def test_texts_that_repeat_passages(spark):
+    """How often a passage is repeated makes no difference to a set."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
+    rows = []
+    for _ in range(20):
+        own, passage = [word() for _ in range(300)], [word() for _ in range(50)]
+        rows += [(len(rows) + k, " ".join(own + passage * n)) for k, n in enumerate((1, 5, 20))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()} == similar_groups(rows)
+
+
+def test_frequent_shingles(spark, monkeypatch):
+    """Shingles that the bitmap names, and buckets and blobs far too small, change nothing."""
+    rng = random.Random(15)
+    for name, value in (("FREQUENT", 2), ("DEALT", 500), ("BUCKET", 700), ("BLOCK", 4)):
+        monkeypatch.setattr(similar, name, value)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(3))
+    shared, rows = [word() for _ in range(60)], []
+    for _ in range(60):
+        words = shared + [word() for _ in range(rng.randrange(2, 30))]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words[:-1], word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()} == similar_groups(rows)
+
+
+def test_ids_with_several_texts(spark):
+    """One text of an id counts, and all its rows go or stay."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (3, b), (4, "x")], "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in similar.without_near_duplicates(docs).collect())
+    assert kept in ([1, 3, 3, 4], [1, 2, 2, 4])
+
+
+def test_hubs_are_dealt_out(spark):
+    edges = spark.createDataFrame([(i, 0) for i in range(1, 300)] + [(1000, 299), (2000, 2001)], "a long, b long")
+    want = {**dict.fromkeys([*range(1, 300), 1000], 0), 2001: 2000}
+    assert {r["id"]: r["component"] for r in simhash.components(edges, hub=50).collect()} == want
