@@ -153,12 +153,13 @@ def shared_shingles(docs: DataFrame, ids: DataFrame, frequent: np.ndarray, words
     return stored(dealt.groupBy("bucket").applyInArrow(count, "id long, spare int, shingles array<long>, texts array<int>"))
 
 
-def meeting(shared: DataFrame) -> DataFrame:
-    """``key, id, rep, size``: texts that share a key, once for keys of the same texts; ``rep`` is the smallest."""
+def meeting(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, id, rep, size``: texts ``id`` that share a key, once for keys of the same texts; ``rep`` is the smallest."""
     own = shared.where("spare IS NOT NULL").groupBy("id").agg(F.first("spare").alias("spare"), F.flatten(F.collect_list(F.arrays_zip("texts", "shingles"))).alias("all"))  # a text's own shingles
     first = F.slice(F.array_sort("all"), F.lit(1), F.col("spare") + F.size("all"))
     rare = own.where(F.col("spare") + F.size("all") > 0).select("id", F.explode(first).alias("x")).select("id", F.col("x.shingles").alias("key"))
-    keys = stored(rare.unionByName(shared.where("spare IS NULL").select("id", F.explode("shingles").alias("key"))).distinct())
+    keys = rare.unionByName(shared.where("spare IS NULL").select("id", F.explode("shingles").alias("key"))).distinct()
+    keys = stored(keys.join(texts.select("id"), "id", "left_semi"))
     groups = keys.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("rep"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("y")).where("size > 1")
     some = groups.groupBy("size", "rep", "x", "y").agg(F.min("key").alias("key")).select("key", "rep", "size")
     return stored(salted_join(keys, some, ["key"], ["id"]))
@@ -283,7 +284,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     tree = near_edges(cut(texts.groupBy("fp").agg(F.min("id").alias("id"))), TREE_RADIUS)
     buckets = 1 + texts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // BUCKET
     shared = shared_shingles(docs, texts.select(F.col("id").alias("doc_id")), frequent, words, similarity, buckets)
-    members = meeting(shared.join(texts.select("id"), "id", "left_semi"))
+    members = meeting(shared, texts)
     pair = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     edges = stored(pair(tree).unionByName(members.select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b")).distinct())
     sets = shingle_sets(docs, edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), words)
