@@ -48,7 +48,7 @@ def arguments() -> argparse.ArgumentParser:
 
 def print_hits(searcher: Searcher, request: SearchRequest) -> None:
     found = False
-    for hit in searcher.search(request).toLocalIterator():
+    for hit in searcher.hits(request) if request.limit >= 0 else searcher.search(request).toLocalIterator():
         found = True
         print(f"{hit['path']} {KINDS[hit['match_kind']]}")
         if hit["snippet"]:
@@ -84,7 +84,7 @@ def bench(spark: SparkSession, store: IndexStore, config: Config, folder: str, q
     outcome = Indexer(spark, store, config).index_directory(folder)
     seconds = time.perf_counter() - began
     searcher = Searcher(Tables.of(store).cached())
-    timing = stats.latencies(lambda q: searcher.search(SearchRequest(q)), read_queries(spark, queries), repeat)
+    timing = stats.latencies(lambda q: searcher.hits(SearchRequest(q)), read_queries(spark, queries), repeat)
     corpus = stats.corpus_bytes(scan_folder(spark, folder, content=False)).first()[0]
     size = stored_bytes(store)
     return {"index_s": seconds, "docs_per_s": stats.throughput(outcome.full + outcome.meta, seconds), **timing, "corpus_bytes": corpus, "index_bytes": size, "ratio": size / corpus if corpus else 0.0}

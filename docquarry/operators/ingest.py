@@ -36,15 +36,19 @@ def identified(files: DataFrame) -> DataFrame:
 
 
 def first_of_each(files: DataFrame) -> DataFrame:
-    """One file of each content, that of the smallest path."""
-    least = files.groupBy("document_id").agg(F.min("path").alias("path"))
-    return files.join(least, ["document_id", "path"]).dropDuplicates(["document_id"])
+    """One file of each content, that of the smallest path.
 
+    One aggregation, so that contents are read once and copies fall together within each task first.
+    """
+    rest = [c for c in files.columns if c not in ("document_id", "path")]
+    return files.groupBy("document_id").agg(F.min(F.struct("path", *rest)).alias("f")).select("document_id", "f.*")
 
-def document_rows(extracted: DataFrame) -> DataFrame:
-    """Rows of ``documents`` from extracted files: any error makes a document metadata-only."""
+
+def document_rows(extracted: DataFrame, *more: str) -> DataFrame:
+    """Rows of ``documents`` from extracted files, and ``more`` of their columns: any error makes a document metadata-only."""
     failed = F.col("error").isNotNull()
     return extracted.select(
+        *more,
         "document_id", F.col("length").alias("file_size"), F.when(failed, 0).otherwise(F.octet_length("body")).cast("long").alias("text_bytes"),
         F.when(failed, "META").otherwise("FULL").alias("index_tier"), F.when(failed, "META_INDEXED").otherwise("INDEXED").alias("index_status"),
         F.when(failed, "PARSE_FAIL").alias("demotion_reason"), F.lit(None).cast("string").alias("drm_status"), F.lit(0).alias("retry_count"),

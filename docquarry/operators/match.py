@@ -7,7 +7,6 @@ query tree is then an expression over these columns.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -51,18 +50,18 @@ def phrase_frequencies(postings: DataFrame, wanted: list[Phrase]) -> DataFrame:
     tag = lambda i, k, p: F.when(_wanted(p, k), F.struct(F.lit(i).alias("phrase"), F.lit(k).alias("k"), F.lit(len(p.tokens)).alias("n")))
     scan = postings.where(reduce(lambda a, b: a | b, (_wanted(p, k) for _, k, p in tags)))
     hits = scan.select("key", "field", "tf", "positions", F.explode(F.array_compact(F.array(*(tag(*t) for t in tags)))).alias("t"))
-    out = hits.where("t.n = 1").select("t.phrase", "key", "field", F.col("tf").cast("long").alias("tf"))
     longest = max(len(p.tokens) for p in wanted)
-    if longest > 1:
-        # places of the k-th token, moved back by k: what all tokens have in common are the phrase's starts
-        moved = lambda i: F.flatten(F.collect_list(F.when(F.col("k") == i, F.transform("positions", lambda x: x - i)))).alias(f"p{i}")
-        rows = hits.where("t.n > 1").select("t.phrase", "t.n", "t.k", "key", "field", "positions")
-        starts = rows.groupBy("phrase", "n", "key", "field").agg(*map(moved, range(longest)))
-        common = F.col("p0")
-        for i in range(1, longest):
-            common = F.when(F.col("n") > i, F.array_intersect(common, f"p{i}")).otherwise(common)
-        out = out.unionByName(starts.select("phrase", "key", "field", F.size(common).cast("long").alias("tf")).where("tf > 0"))
-    return out
+    if longest == 1:
+        return hits.select("t.phrase", "key", "field", F.col("tf").cast("long").alias("tf"))
+    # places of the k-th token, moved back by k: what all tokens have in common are the phrase's starts.  One
+    # exchange by key serves this and what follows by key
+    moved = lambda i: F.flatten(F.collect_list(F.when(F.col("k") == i, F.transform("positions", lambda x: x - i)))).alias(f"p{i}")
+    rows = hits.select("t.phrase", "t.n", "t.k", "key", "field", "positions").repartition("key")
+    starts = rows.groupBy("phrase", "n", "key", "field").agg(*map(moved, range(longest)))
+    common = F.col("p0")
+    for i in range(1, longest):
+        common = F.when(F.col("n") > i, F.array_intersect(common, f"p{i}")).otherwise(common)
+    return starts.select("phrase", "key", "field", F.size(common).cast("long").alias("tf")).where("tf > 0")
 
 
 def matched(node: Node, at: dict[int, Column]) -> Column:
@@ -95,36 +94,35 @@ def _numbered(node: Node | None) -> tuple[Node | None, list[Phrase]]:
     return node, phrases(node)
 
 
-def search(postings: DataFrame, stats: DataFrame, query: Node, weights: dict[str, float] | None = None, corpus: Corpus | None = None, literal: Node | None = None, known: dict[Phrase, int] | None = None) -> DataFrame:
-    """``key, rank`` of every key that matches; lower ranks are better.
+def search(postings: DataFrame, stats: DataFrame, query: Node, weights: dict[str, float] | None = None, corpus: Corpus | None = None, literal: Node | None = None, ranked: bool = True) -> DataFrame:
+    """``key, rank`` of every key that matches; lower ranks are better.  Without ``ranked``, only keys.
 
     ``weights`` are those of the fields (1 where absent).  With ``literal``, ``literal`` says whether
-    that query matches as well, from the same scan.  ``known`` keeps in how many keys a phrase is, for
-    further searches of the same index.
+    that query matches as well, from the same scan.  All is one plan: in how many keys a phrase is comes
+    from the same exchange of hits, as one row, and so does ``corpus`` where it isn't given.
     """
     tree, wanted = _numbered(simplified(query))
     other, more = _numbered(simplified(literal)) if literal is not None else (None, [])
+    flag = [] if literal is None else ["literal"]
     if tree is None:
-        return stats.where(F.lit(False)).select("key", F.lit(0.0).alias("rank"), *([F.lit(False).alias("literal")] if literal is not None else []))
-    corpus = corpus or Corpus.of(stats)
+        return stats.where(F.lit(False)).select("key", *([F.lit(0.0).alias("rank")] if ranked else []), *(F.lit(False).alias(c) for c in flag))
     found = phrase_frequencies(postings, wanted + more)
     weight = reduce(lambda w, kv: w.when(F.col("field") == kv[0], F.lit(float(kv[1]))), (weights or {}).items(), F.when(F.lit(False), 0.0)).otherwise(1.0)
     every = range(len(wanted) + len(more))
     by_key = found.groupBy("key").agg(*(F.coalesce(F.sum(F.when(F.col("phrase") == i, F.col("tf") * weight)), F.lit(0.0)).alias(f"w{i}") for i in every))
-    known = {} if known is None else known
-    new = [i for i, p in enumerate(wanted) if p not in known]
-    if new:
-        # one row of counts; the ranking of each key reads it
-        counts = by_key.agg(*(F.count_if(F.col(f"w{i}") > 0) for i in new)).first()
-        known |= {wanted[i]: counts[k] or 0 for k, i in enumerate(new)}
     at = {id(p): F.col(f"w{i}") for i, p in enumerate(wanted + more)}
+    flags = [(matched(other, at) if other is not None else F.lit(False)).alias(c) for c in flag]
+    if not ranked:
+        return by_key.where(matched(tree, at)).select("key", *flags)
+    totals = stats.agg(F.count("*").alias("n"), F.coalesce(F.avg("n_tokens"), F.lit(0.0)).alias("mean")) if corpus is None else None
+    n, mean = (F.lit(float(corpus.n)), F.lit(corpus.mean_tokens)) if corpus else (F.col("all.n"), F.col("all.mean"))
+    counts = by_key.agg(F.struct(*(F.count_if(F.col(f"w{i}") > 0).alias(f"d{i}") for i in range(len(wanted)))).alias("df"))
+    hits = by_key.where(matched(tree, at)).join(stats, "key").withColumn("df", counts.scalar())
+    hits = hits if totals is None else hits.withColumn("all", totals.select(F.struct("n", "mean")).scalar())
+    length = F.col("n_tokens") / F.when(mean > 0, mean).otherwise(1.0)
     parts = {}
     for i, p in enumerate(wanted):
-        df = known[p]
-        odds = (corpus.n - df + 0.5) / (df + 0.5)
-        idf = math.log(odds)
-        idf = idf if idf > 0 else LEAST_IDF
-        length = F.col("n_tokens") / (corpus.mean_tokens or 1.0)
-        parts[id(p)] = F.lit(idf) * F.col(f"w{i}") * (K1 + 1) / (F.col(f"w{i}") + K1 * (1 - B + B * length))
-    out = by_key.where(matched(tree, at)).join(stats, "key").select("key", (-_rank(tree, at, parts)).alias("rank"), *([matched(other, at) if other is not None else F.lit(False)] if literal is not None else []))
-    return out.toDF("key", "rank", *(["literal"] if literal is not None else []))
+        df, w = F.col(f"df.d{i}"), F.col(f"w{i}")
+        idf = F.log((n - df + 0.5) / (df + 0.5))
+        parts[id(p)] = F.when(idf > 0, idf).otherwise(LEAST_IDF) * w * (K1 + 1) / (w + K1 * (1 - B + B * length))
+    return hits.select("key", (-_rank(tree, at, parts)).alias("rank"), *flags)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
@@ -60,10 +60,10 @@ def filtered(rows: DataFrame, filters: Filters) -> DataFrame:
     return rows
 
 
-def one_path_each(rows: DataFrame) -> DataFrame:
-    """Of each document's rows, the best ranked (the smallest path among equals)."""
-    order = Window.partitionBy("document_id").orderBy("rank", "path")
-    return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+def one_path_each(paths: DataFrame) -> DataFrame:
+    """Of each document's paths the smallest, with the rest of its row: a document has one rank."""
+    rest = [c for c in paths.columns if c not in ("document_id", "path")]
+    return paths.groupBy("document_id").agg(F.min(F.struct("path", *rest)).alias("p")).select("document_id", "p.*")
 
 
 def top(rows: DataFrame, limit: int) -> DataFrame:
@@ -98,7 +98,6 @@ class Searcher:
         """``expand``: keywords also match other word forms; ``strict``: filters alone are an error."""
         self.tables, self.morphology, self.expand, self.strict = tables, morphology, expand, strict
         self._content = self._names = None
-        self._content_known, self._name_known = {}, {}
 
     @property
     def content_corpus(self) -> match.Corpus:
@@ -119,17 +118,35 @@ class Searcher:
             return self._by_filters(query, request)
         return self._content_hits(query, request) if request.mode == CONTENT else self._name_hits(query, request)
 
+    def hits(self, request: SearchRequest) -> list[Row]:
+        """The rows of ``search``, at most ``limit``, which must not be negative; their bodies are looked up by id."""
+        query = parse(request.query)
+        if request.limit < 0 or request.mode != CONTENT or not query.terms:
+            return self.search(request).collect()  # at most `limit` rows, or asked for all
+        found, *shown = self._ranked(query, request)
+        rows = found.collect()  # at most `limit` rows
+        bodies = self.tables.bodies.where(F.col("document_id").isin([r["document_id"] for r in rows])).collect() if rows else []
+        text = {r["document_id"]: r["body"] for r in bodies}
+        show = snippet_maker(*shown)
+        return [Row(path=r["path"], filename=r["filename"], snippet=show(text.get(r["document_id"])), rank=r["rank"], match_kind=EXACT if r["literal"] else MORPHOLOGICAL) for r in rows]
+
+    def _found_paths(self, filters: Filters) -> DataFrame:
+        """Paths that pass the filters; documents are read only where a filter is on them."""
+        rows = self.tables.paths
+        if filters.tier is not None or filters.drm is not None:
+            rows = rows.join(self.tables.documents.select("document_id", "index_tier", "drm_status"), "document_id")
+        return filtered(rows, filters).select("document_id", "path", "filename")
+
     def _by_filters(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:
-        rows = self.tables.paths.join(self.tables.documents, "document_id").withColumn("rank", F.lit(0.0))
-        rows = filtered(rows, query.filters)
-        rows = top(one_path_each(rows) if request.mode == CONTENT else rows, request.limit)
+        rows = self._found_paths(query.filters)
+        rows = top((one_path_each(rows) if request.mode == CONTENT else rows).withColumn("rank", F.lit(0.0)), request.limit)
         return rows.select("path", "filename", F.lit(None).cast("string").alias("snippet"), "rank", F.lit(EXACT).alias("match_kind"))
 
     def _name_hits(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:
         t = self.tables
-        hits = match.search(t.filename_postings, t.filename_stats, query_tree(query), corpus=self.name_corpus, known=self._name_known)
-        rows = t.paths.join(hits.withColumnRenamed("key", "path"), "path").join(t.documents, "document_id")
-        return top(filtered(rows, query.filters), request.limit).select("path", "filename", F.lit(None).cast("string").alias("snippet"), "rank", F.lit(EXACT).alias("match_kind"))
+        hits = match.search(t.filename_postings, t.filename_stats, query_tree(query), corpus=self.name_corpus)
+        rows = self._found_paths(query.filters).join(hits.withColumnRenamed("key", "path"), "path")
+        return top(rows, request.limit).select("path", "filename", F.lit(None).cast("string").alias("snippet"), "rank", F.lit(EXACT).alias("match_kind"))
 
     def _forms(self, query: ParsedQuery) -> tuple[Node, list[str], bool]:
         """The tree with word forms, the forms, and whether there are any."""
@@ -145,27 +162,36 @@ class Searcher:
 
         return query_tree(query, expand), forms, bool(forms)
 
-    def _content_hits(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:
+    def _ranked(self, query: ParsedQuery, request: SearchRequest) -> tuple:
+        """``document_id, path, filename, rank, literal`` of the best, and what their snippets are made with."""
         t = self.tables
         tree, forms, expanded = self._forms(query)
-        literal = query_tree(query) if expanded else None
-        hits = match.search(t.content_postings, t.content_stats, tree, FIELD_WEIGHTS, self.content_corpus, literal, self._content_known)
+        hits = match.search(t.content_postings, t.content_stats, tree, FIELD_WEIGHTS, self.content_corpus, query_tree(query) if expanded else None)
         hits = hits if expanded else hits.withColumn("literal", F.lit(True))
-        rows = t.paths.join(hits.withColumnRenamed("key", "document_id"), "document_id").join(t.documents, "document_id")
-        rows = top(one_path_each(filtered(rows, query.filters)), request.limit).select("document_id", "path", "filename", "rank", "literal")
-        return top(with_snippets(rows.join(t.bodies, "document_id", "left"), tree, needles(query.terms, forms), forms, self.morphology if expanded else None), -1)
+        rows = one_path_each(self._found_paths(query.filters)).join(hits.withColumnRenamed("key", "document_id"), "document_id")
+        rows = top(rows, request.limit).select("document_id", "path", "filename", "rank", "literal")
+        return rows, tree, needles(query.terms, forms), forms, self.morphology if expanded else None
+
+    def _content_hits(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:
+        rows, *shown = self._ranked(query, request)
+        return top(with_snippets(rows.join(self.tables.bodies, "document_id", "left"), *shown), -1)
+
+
+def snippet_maker(tree: Node, wanted: list[str], forms: Iterable[str], morphology: Callable[[], Morphology] | None) -> Callable[[str | None], str]:
+    """A function from a body to what is shown of it."""
+    shown, forms, analyser = phrases(simplified(tree)), list(forms), morphology() if morphology else None
+    return lambda body: result_snippet(body or "", shown, wanted, forms, analyser)
 
 
 def with_snippets(rows: DataFrame, tree: Node, wanted: list[str], forms: Iterable[str], morphology: Callable[[], Morphology] | None) -> DataFrame:
-    """Hits of the few rows of a result ``document_id, path, filename, rank, literal, body``."""
-    shown, forms = phrases(simplified(tree)), list(forms)
+    """Hits of the rows of a result ``document_id, path, filename, rank, literal, body``."""
+    forms = list(forms)
     rows = rows.select("path", "filename", "body", "rank", "literal")
 
     def work(batches):
-        analyser = morphology() if morphology else None
+        show = snippet_maker(tree, wanted, forms, morphology)
         for batch in batches:
-            texts = [result_snippet(b or "", shown, wanted, forms, analyser) for b in batch.column(2).to_pylist()]
             kinds = [EXACT if x else MORPHOLOGICAL for x in batch.column(4).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), batch.column(3), pa.array(kinds, pa.string())], names=HITS.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([show(b) for b in batch.column(2).to_pylist()], pa.string()), batch.column(3), pa.array(kinds, pa.string())], names=HITS.names)
 
     return rows.mapInArrow(work, HITS)

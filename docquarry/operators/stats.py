@@ -57,13 +57,14 @@ def throughput(documents: int, seconds: float) -> float:
 TARGET_MS = 1000
 
 
-def latencies(run: Callable[[str], DataFrame], queries: Sequence[str], repeat: int = 20) -> dict[str, float | bool]:
-    """Times of every query, each ``repeat`` times: the median, the 95th of 100, and whether that is in time."""
+def latencies(run: Callable[[str], object], queries: Sequence[str], repeat: int = 20) -> dict[str, float | bool]:
+    """Times of every query, each ``repeat`` times, the first included: the median, the 95th of 100, whether
+    that is in time, and the slowest first run."""
     times = []
     for _ in range(repeat):
         for query in queries:
             began = time.perf_counter()
-            run(query).collect()  # a result's few rows
+            run(query)
             times.append((time.perf_counter() - began) * 1000)
     p95 = nearest_rank_py(times, 95)
-    return {"runs": len(times), "p50_ms": nearest_rank_py(times, 50), "p95_ms": p95, "passed": p95 <= TARGET_MS}
+    return {"runs": len(times), "p50_ms": nearest_rank_py(times, 50), "p95_ms": p95, "first_ms": max(times[: len(queries)], default=0.0), "passed": p95 <= TARGET_MS}

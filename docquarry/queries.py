@@ -6,13 +6,15 @@ contents repeat, so that documents have several paths.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .functions.snippet import around, literal_span
 from .operators import ingest, match, postings, search, stats
 from .operators.admission import admit
-from .plans.parser import parse, query_tree
+from .plans.parser import expansion, parse, query_tree
 from .streaming.watch import debounced
 
 # --- fixed values: extensions by doc_id modulo 7
@@ -23,19 +25,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table of texts, dealt out where its files have fewer splits than there are cores: a file of
-    one row group would be one task's work.  Tables of many splits stay as they are."""
-    df, cores = _table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``path, length, modified_at, text, document_id`` and what admission adds."""
     ext = F.get(F.array(*map(F.lit, EXTENSIONS)), (F.col("doc_id") % 7).cast("int"))
     path = F.concat(F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.lpad(F.col("doc_id").cast("string"), 7, "0"), F.lit("."), ext)
     day = F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 365).cast("int"))
-    docs = _texts(spark, sf_dir).select("doc_id", "text", "lang", "source").withColumn("text", F.coalesce("text", F.lit("")))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("text", F.coalesce("text", F.lit("")))
     rows = docs.select(path.alias("path"), F.octet_length("text").cast("long").alias("length"), F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00Z")).alias("modified_at"), "text")
     return admit(rows).withColumn("document_id", F.sha2(F.col("text").cast("binary"), 256))
 
@@ -49,8 +44,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = ingest.first_of_each(kept(spark, sf_dir))
     failed = F.when(F.col("extension") == "pdf", F.lit("parse: no PDF library"))
     extracted = first.withColumn("error", failed).withColumn("body", F.when(F.col("error").isNull(), F.col("text")))
-    rows = ingest.document_rows(extracted)
-    return rows.join(extracted.select("document_id", "body"), "document_id")
+    return ingest.document_rows(extracted, "body")
 
 
 def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +55,7 @@ def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where("index_tier = 'FULL'").select("document_id", "body")
 
 
-def _hits(spark: SparkSession, sf_dir: str, query: str, fields: tuple[str, ...] = ("body",)) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str, query: str, fields: tuple[str, ...] = ("body",), ranked: bool = True) -> DataFrame:
     bodies = _bodies(spark, sf_dir)
     texts = ingest.content_fields(bodies) if "morph" in fields else bodies
     tree = query_tree(parse(query))
@@ -69,11 +63,11 @@ def _hits(spark: SparkSession, sf_dir: str, query: str, fields: tuple[str, ...]
     sizes = postings.key_stats(texts, "document_id", list(fields))
     from .schema import FIELD_WEIGHTS
 
-    return match.search(built, sizes, tree, FIELD_WEIGHTS)
+    return match.search(built, sizes, tree, FIELD_WEIGHTS, ranked=ranked)
 
 
 def _match(query: str):
-    return lambda spark, sf_dir: _hits(spark, sf_dir, query).select(F.col("key").alias("document_id"))
+    return lambda spark, sf_dir: _hits(spark, sf_dir, query, ranked=False).select(F.col("key").alias("document_id"))
 
 
 def _ranked(query: str, limit: int = 10, fields: tuple[str, ...] = ("body",)):
@@ -88,9 +82,8 @@ def _content_search(query: str, limit: int = 10):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         parsed = parse(query)
         rows = _hits(spark, sf_dir, " ".join(parsed.terms)).select(F.col("key").alias("document_id"), (F.round("rank", 8) + F.lit(0.0)).alias("rank"))
-        joined = paths(spark, sf_dir).join(rows, "document_id").join(documents(spark, sf_dir).drop("body"), "document_id")
-        found = search.one_path_each(search.filtered(joined, parsed.filters))
-        return search.top(found, limit).select("path", "filename", "rank")
+        found = search.one_path_each(search.filtered(paths(spark, sf_dir), parsed.filters))
+        return search.top(found.join(rows, "document_id"), limit).select("path", "filename", "rank")
 
     return run
 
@@ -104,13 +97,15 @@ def _path_filter(query: str):
 
 
 def tok_terms_df(spark, sf_dir):
-    rows = _texts(spark, sf_dir).select("doc_id", F.explode(T.index_tokens(F.col("text"))).alias("term"))
-    per = rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """Texts are dealt out by id, which is less than their tokens, and counted where they are."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    rows = docs.select("doc_id", F.explode(T.index_tokens(F.col("text"))).alias("term"))
+    per = rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
 def tok_bigrams(spark, sf_dir):
-    rows = _texts(spark, sf_dir).select(F.explode(T.bigrams(F.col("text"))).alias("gram"))
+    rows = _table(spark, sf_dir, "documents").select(F.explode(T.bigrams(F.col("text"))).alias("gram"))
     return rows.groupBy("gram").agg(F.count("*").alias("n"))
 
 
@@ -171,15 +166,15 @@ def phrase_in_turns(spark, sf_dir):
 
 
 def highlight_literal(spark, sf_dir):
-    """Where ``the`` first stands in each body, and the text around it."""
-    at = F.locate("the", F.lower("body"))
-    start = F.greatest(at - 41, F.lit(0))
-    end = F.least(at + 2 + 40, F.length("body"))
-    shown = F.concat(
-        F.when(start > 0, "...").otherwise(""), F.substring(F.col("body"), start + 1, at - 1 - start), F.lit(">>"), F.substring(F.col("body"), at, F.lit(3)), F.lit("<<"),
-        F.substring(F.col("body"), at + 3, end - (at + 2)), F.when(end < F.length("body"), "...").otherwise(""),
-    )
-    return _bodies(spark, sf_dir).where(at > 0).select("document_id", (at - 1).cast("long").alias("position"), shown.alias("snippet"))
+    """Where ``the`` first stands in each body, and the text around it, by the snippets' own functions."""
+
+    def work(batches):
+        for batch in batches:
+            rows = [(i, *span, body) for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (span := literal_span(body, ["the"]))]
+            columns = ([i for i, *_ in rows], [a for _, a, _, _ in rows], [around(body, a, n) for _, a, n, body in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["document_id", "position", "snippet"])
+
+    return _bodies(spark, sf_dir).mapInArrow(work, "document_id string, position long, snippet string")
 
 
 def session_debounce(spark, sf_dir):
@@ -208,13 +203,11 @@ def latest_per_document(spark, sf_dir):
 
 
 def match_kind(spark, sf_dir):
-    """What a query and its expansion match, and which of them literally."""
-    from .plans.ast import Or, Phrase
-
-    bodies = _bodies(spark, sf_dir)
-    built, sizes = postings.build(bodies, "document_id", ["body"]), postings.key_stats(bodies, "document_id", ["body"])
-    literal = query_tree(parse("ration"))
-    found = match.search(built, sizes, Or(literal, Phrase(("and",))), literal=literal)
+    """What a keyword and its expansion match, and which of them literally: the form is in a field of words."""
+    bodies = _bodies(spark, sf_dir).withColumn("morph_kiwi", F.array_join(F.filter(T.index_tokens(F.col("body")), lambda w: w == "and"), " "))
+    built, sizes = postings.build(bodies, "document_id", ["body", "morph_kiwi"]), postings.key_stats(bodies, "document_id", ["body"])
+    query = parse("ration")
+    found = match.search(built, sizes, query_tree(query, lambda term: expansion(term, ["and", term])), literal=query_tree(query), ranked=False)
     return found.select(F.col("key").alias("document_id"), F.when(F.col("literal"), search.EXACT).otherwise(search.MORPHOLOGICAL).alias("match_kind"))
 
 

@@ -1,6 +1,7 @@
 """Changes of a folder as a stream: snapshots of paths, sizes and times are compared.
 
 Reading a file changes none of these, so indexing never wakes itself; deletions and rewrites show.
+Snapshots are numbered files in a folder of the stream's own; an offset is such a number.
 """
 
 from __future__ import annotations
@@ -39,32 +40,67 @@ def difference(before: dict[str, list[int]], after: dict[str, list[int]]) -> lis
     return sorted((kinds | dict.fromkeys(before.keys() - after.keys(), DELETE)).items())
 
 
+#: Snapshots that are kept behind the last one committed.
+KEPT = 10
+
+
+def _at(seen: str, n: int) -> str:
+    return os.path.join(seen, f"{n:012d}.json")
+
+
+def _write(seen: str, n: int, found: dict[str, list[int]]) -> None:
+    """Whole or not at all."""
+    os.makedirs(seen, exist_ok=True)
+    with open(_at(seen, n) + ".part", "w", encoding="utf-8", errors="surrogateescape") as f:
+        json.dump(found, f)
+    os.replace(_at(seen, n) + ".part", _at(seen, n))
+
+
+def _read(seen: str, n: int) -> dict[str, list[int]]:
+    with open(_at(seen, n), encoding="utf-8", errors="surrogateescape") as f:
+        return json.load(f)
+
+
+def begin(seen: str, root: str | None) -> None:
+    """Notes what a folder is now (nothing without one), unless a stream has begun already."""
+    if not os.path.isdir(seen) or not any(n.endswith(".json") for n in os.listdir(seen)):
+        _write(seen, 0, snapshot(root) if root else {})
+
+
 class _Changes(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
-        self.root, self.begin, self.quiet = options["path"], options.get("startfrom", "now"), int(options.get("debouncems", "0")) / 1000
+        self.root, self.seen, self.quiet = options["path"], options["seen"], int(options.get("debouncems", "0")) / 1000
 
     def initialOffset(self) -> dict:
-        seen = {} if self.begin == "empty" else snapshot(self.root)
-        return {"seen": json.dumps(seen, sort_keys=True)}
+        return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        before, after = json.loads(start["seen"]), snapshot(self.root)
+        before, after = _read(self.seen, start["n"]), snapshot(self.root)
         while self.quiet and after != before:  # one global session: any further change prolongs it
             time.sleep(self.quiet)
             again = snapshot(self.root)
             if again == after:
                 break
             after = again
+        found = difference(before, after)
+        if not found:
+            return iter([]), start
+        _write(self.seen, start["n"] + 1, after)
         now = datetime.now(UTC)
-        return iter([(p, k, now) for p, k in difference(before, after)]), {"seen": json.dumps(after, sort_keys=True)}
+        return iter([(p, k, now) for p, k in found]), {"n": start["n"] + 1}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         now = datetime.now(UTC)
-        return iter([(p, k, now) for p, k in difference(json.loads(start["seen"]), json.loads(end["seen"]))])
+        return iter([(p, k, now) for p, k in difference(_read(self.seen, start["n"]), _read(self.seen, end["n"]))])
+
+    def commit(self, end: dict) -> None:
+        for name in os.listdir(self.seen):
+            if name.endswith(".json") and int(name[:-5]) < end["n"] - KEPT:
+                os.remove(os.path.join(self.seen, name))
 
 
 class ChangeSource(DataSource):
-    """``format("docquarry_changes")``, with ``path``, ``startFrom`` (``now`` or ``empty``) and
+    """``format("docquarry_changes")``, with ``path``, ``seen`` (the snapshots' folder, begun by ``begin``) and
     ``debounceMs``: changes come once nothing has changed for so long, as one batch."""
 
     @classmethod
@@ -78,6 +114,6 @@ class ChangeSource(DataSource):
         return _Changes(self.options)
 
 
-def watch_folder(spark: SparkSession, root: str, start_from: str = "now", debounce_ms: int = 0) -> DataFrame:
+def watch_folder(spark: SparkSession, root: str, seen: str, debounce_ms: int = 0) -> DataFrame:
     spark.dataSource.register(ChangeSource)
-    return spark.readStream.format("docquarry_changes").option("path", root).option("startFrom", start_from).option("debounceMs", str(debounce_ms)).load()
+    return spark.readStream.format("docquarry_changes").option("path", root).option("seen", seen).option("debounceMs", str(debounce_ms)).load()

@@ -6,6 +6,7 @@ The driver lists paths; contents are read by the tasks, and only if the column i
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from datetime import UTC, datetime
@@ -60,11 +61,11 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.content = options["path"], options.get("content", "true") == "true"
+        self.root, self.named, self.content = options.get("path"), options.get("files"), options.get("content", "true") == "true"
         self.most = int(options.get("maxlength", "0")) or None
 
     def partitions(self) -> list[InputPartition]:
-        paths = regular_files(self.root)
+        paths = json.loads(self.named) if self.named else regular_files(self.root)
         return [_Part(paths[i : i + FILES_A_TASK]) for i in range(0, len(paths), FILES_A_TASK)] or [_Part([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
@@ -79,7 +80,7 @@ class _Reader(DataSourceReader):
 
 
 class FolderSource(DataSource):
-    """``format("docquarry_folder")``, with ``path``, ``content`` (true) and ``maxLength``, beyond
+    """``format("docquarry_folder")``, with ``path`` (or ``files``, a JSON list of paths), ``content`` (true) and ``maxLength``, beyond
     which contents are null."""
 
     @classmethod
@@ -97,3 +98,9 @@ def scan_folder(spark: SparkSession, root: str, content: bool = True, max_length
     spark.dataSource.register(FolderSource)
     reader = spark.read.format("docquarry_folder").option("path", root).option("content", str(content).lower())
     return (reader.option("maxLength", str(max_length)) if max_length else reader).load()
+
+
+def scan_files(spark: SparkSession, paths: list[str], max_length: int) -> DataFrame:
+    """The files of the given paths that exist."""
+    spark.dataSource.register(FolderSource)
+    return spark.read.format("docquarry_folder").option("files", json.dumps(paths)).option("maxLength", str(max_length)).load()

@@ -6,14 +6,13 @@ import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.ingest import Indexer
-from ..schema import FILES
-from ..sources.changes import CREATE, DELETE, MODIFY, watch_folder
-from ..sources.scan import canonical, file_row
+from ..sources.changes import CREATE, DELETE, MODIFY, begin, watch_folder
+from ..sources.scan import canonical, scan_files
 
 INDEXED, REMOVED, IGNORED = "INDEXED", "REMOVED", "IGNORED"
 DEBOUNCE_MS = 3000
@@ -31,11 +30,21 @@ def relevant(changes: DataFrame) -> DataFrame:
 def debounced(changes: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
     """``session_start, session_end, paths``: one global session that any path prolongs, the gap itself included.
 
-    On a stream the watermark only lets append mode close sessions.
+    On a stream the watermark lets append mode close sessions.  A table is dealt out by ranges of time;
+    a range knows its session from the ends of the ranges before it.
     """
     if changes.isStreaming:
-        changes = changes.withWatermark("ts", lateness)
-    return changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_set("path").alias("paths")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "paths")
+        rows = changes.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_set("path").alias("paths"))
+        return rows.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "paths")
+    step, earlier = F.expr(f"INTERVAL {gap}"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    ranged = changes.where("ts IS NOT NULL").select("ts", "path").repartitionByRange("ts").withColumn("part", F.spark_partition_id())
+    ends = ranged.groupBy("part").agg(F.max("ts").alias("last")).select("part", F.max("last").over(earlier).alias("past"))
+    before = F.coalesce(F.lag("ts").over(Window.partitionBy("part").orderBy("ts")), "past")
+    begun = ranged.join(F.broadcast(ends), "part").withColumn("begins", F.when(before.isNull() | (F.col("ts") > before + step), F.col("ts")))
+    latest = begun.groupBy("part").agg(F.max("begins").alias("begin")).select("part", F.max("begin").over(earlier).alias("open"))
+    own = F.max("begins").over(Window.partitionBy("part").orderBy("ts"))
+    rows = begun.withColumn("own", own).join(F.broadcast(latest), "part").select(F.coalesce("own", "open").alias("session_start"), "ts", "path")
+    return rows.groupBy("session_start").agg((F.max("ts") + step).alias("session_end"), F.collect_set("path").alias("paths"))
 
 
 def resolve(indexer: Indexer, paths: list[str]) -> dict[str, str]:
@@ -49,16 +58,15 @@ def resolve(indexer: Indexer, paths: list[str]) -> dict[str, str]:
         if os.path.isdir(path):
             outcome[path] = IGNORED
         elif os.path.exists(path):
-            row = file_row(path, True)
-            rows += [row] if row else []
+            rows.append(path)
         else:
             gone.append(path)
     spark, store = indexer.spark, indexer.store
     known = store.read("paths").select("path", "document_id")
     if rows:
-        indexer.index_files(spark.createDataFrame(rows, FILES))
-        now = {r["path"] for r in store.read("paths").where(F.col("path").isin([r[0] for r in rows])).select("path").collect()}  # of this batch's paths
-        outcome |= {r[0]: INDEXED if r[0] in now else IGNORED for r in rows}
+        indexer.index_files(scan_files(spark, rows, indexer.config.max_bytes))  # contents are read by the tasks
+        now = {r["path"] for r in store.read("paths").where(F.col("path").isin(rows)).select("path").collect()}  # of this batch's paths
+        outcome |= {p: INDEXED if p in now else IGNORED for p in rows}
     if gone:
         had = {r["path"] for r in known.where(F.col("path").isin(gone)).select("path").collect()}
         if had:
@@ -70,18 +78,21 @@ def resolve(indexer: Indexer, paths: list[str]) -> dict[str, str]:
 def watch(indexer: Indexer, root: str, checkpoint: str, debounce_ms: int = DEBOUNCE_MS, on_batch: Callable[[dict[str, str]], None] = lambda outcome: None) -> StreamingQuery:
     """Indexes the folder, then follows it: a batch is what changed until all was quiet for the debounce.
 
-    What comes and goes within that is never indexed.  A batch that is replayed after a failure does
-    the same again.
+    What the folder is is noted before it is indexed, and the stream starts from there: changes
+    meanwhile are changes.  What comes and goes within the debounce is never indexed.  A batch that is
+    replayed after a failure does the same again.
     """
+    seen = f"{checkpoint}/seen"
+    begin(seen, root)
     indexer.index_directory(root)
-    changes = relevant(watch_folder(indexer.spark, root, "now", debounce_ms))
+    changes = relevant(watch_folder(indexer.spark, root, seen, debounce_ms))
 
     def merge(batch: DataFrame, _: int) -> None:
-        paths = [r["path"] for r in batch.select("path").distinct().collect()]  # one trigger's changes
+        paths = {p for r in debounced(batch, f"{max(debounce_ms, 1)} milliseconds").collect() for p in r["paths"]}  # one trigger's changes
         if paths:
-            on_batch(resolve(indexer, paths))
+            on_batch(resolve(indexer, sorted(paths)))
 
-    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(processingTime=POLL).start()
+    return changes.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/stream").trigger(processingTime=POLL).start()
 
 
 def wait_for(condition: Callable[[], bool], seconds: float, pause: float = 0.2) -> bool:

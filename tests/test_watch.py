@@ -1,9 +1,8 @@
-import time
-
 from docquarry.operators.ingest import Indexer
 from docquarry.operators.search import Searcher, SearchRequest, Tables
 from docquarry.operators.store import IndexStore
-from docquarry.sources.changes import difference
+from docquarry.sources import changes
+from docquarry.sources.changes import begin, difference
 from docquarry.streaming.watch import IGNORED, INDEXED, REMOVED, debounced, resolve, wait_for, watch
 
 
@@ -29,20 +28,60 @@ def test_resolve(spark, tmp_path):
     assert resolve(indexer, [str(folder / "a.txt")]) == {str(folder / "a.txt"): REMOVED} and store.read("documents").count() == 0
 
 
-def test_watch(spark, tmp_path):
+def started(spark, tmp_path, **how):
     folder, store, seen = tmp_path / "in", IndexStore(spark, str(tmp_path / "index")), []
-    folder.mkdir()
-    query = watch(Indexer(spark, store), str(folder), str(tmp_path / "checkpoint"), 300, seen.append)
+    folder.mkdir(exist_ok=True)
+    return folder, store, seen, watch(Indexer(spark, store), str(folder), str(tmp_path / "checkpoint"), 300, seen.append, **how)
+
+
+def test_watch(spark, tmp_path):
+    """Changes right after the start, with no pause, are seen."""
+    folder, store, seen, query = started(spark, tmp_path)
+    try:
+        (folder / "~$notice.txt").write_text("잠깐")
+        (folder / "notice.txt").write_text("도서관 휴관 안내")
+        (folder / "~$notice.txt").unlink()
+        found = lambda: {k: v for batch in seen for k, v in batch.items()}
+        assert wait_for(lambda: str(folder / "notice.txt") in found(), 120), query.exception()
+        assert found()[str(folder / "notice.txt")] == INDEXED and set(found().values()) <= {INDEXED, IGNORED}
+        assert Searcher(Tables.of(store)).search(SearchRequest("휴관")).count() == 1
+        n = len(seen)
+        (folder / "notice.txt").unlink()
+        assert wait_for(lambda: len(seen) > n, 120) and seen[n] == {str(folder / "notice.txt"): REMOVED}
+        assert Searcher(Tables.of(store)).search(SearchRequest("휴관")).count() == 0 and len(seen) == n + 1  # reading wakes nothing
+    finally:
+        query.stop()
+
+
+def test_changes_during_the_first_scan(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    late = tmp_path / "in" / "late.txt"
+    whole = Indexer.index_directory
+
+    def slow(self, root, *args, **how):
+        outcome = whole(self, root, *args, **how)
+        late.write_text("늦게 온 파일")
+        return outcome
+
+    monkeypatch.setattr(Indexer, "index_directory", slow)
+    _, store, seen, query = started(spark, tmp_path)
     try:
-        time.sleep(2)
-        (folder / "~$규정.txt").write_text("잠시")
-        (folder / "규정.txt").write_text("채권 발행")
-        (folder / "~$규정.txt").unlink()
-        assert wait_for(lambda: bool(seen), 60)
-        assert seen[0][str(folder / "규정.txt")] == INDEXED and set(seen[0].values()) <= {INDEXED, IGNORED}
-        assert Searcher(Tables.of(store)).search(SearchRequest("채권")).count() == 1  # reading wakes nothing
-        (folder / "규정.txt").unlink()
-        assert wait_for(lambda: len(seen) > 1, 60) and seen[1] == {str(folder / "규정.txt"): REMOVED}
-        assert Searcher(Tables.of(store)).search(SearchRequest("채권")).count() == 0 and len(seen) == 2
+        assert wait_for(lambda: any(batch.get(str(late)) == INDEXED for batch in seen), 120), query.exception()
     finally:
         query.stop()
+    assert [n for n in (tmp_path / "checkpoint" / "seen").iterdir() if n.suffix == ".json"]
+
+
+def test_offsets_are_numbers(tmp_path):
+    folder, seen = tmp_path / "in", str(tmp_path / "seen")
+    folder.mkdir()
+    begin(seen, str(folder))
+    source = changes._Changes({"path": str(folder), "seen": seen})
+    assert source.read({"n": 0})[1] == {"n": 0}
+    for n in range(15):
+        (folder / f"{n}.txt").write_text("x")
+        rows, end = source.read({"n": n})
+        assert [(p, k) for p, k, _ in rows] == [(str(folder / f"{n}.txt"), "create")] and end == {"n": n + 1}
+    assert len(list(source.readBetweenOffsets({"n": 3}, {"n": 9}))) == 6
+    source.commit({"n": 15})
+    assert len(list((tmp_path / "seen").iterdir())) == changes.KEPT + 1
