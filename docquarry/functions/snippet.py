@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Sequence
 
 from ..plans.ast import Phrase
@@ -32,25 +33,33 @@ def places(tokens: Sequence[str], phrases: Iterable[Phrase]) -> list[tuple[int,
 def _worth(found: list[tuple[int, int, int]], start: int) -> tuple[int, int, int]:
     """Of the window at ``start``: its worth, and the first and last token of phrases in it."""
     worth, seen, first, last = 0, set(), None, 0
-    for a, b, k in found:
-        if start <= a < start + WINDOW_TOKENS:
-            worth += SAME_PHRASE if k in seen else NEW_PHRASE
-            seen.add(k)
-            first, last = a if first is None else first, b
+    for n in range(bisect_left(found, (start,)), len(found)):
+        a, b, k = found[n]
+        if a >= start + WINDOW_TOKENS:
+            break
+        worth += SAME_PHRASE if k in seen else NEW_PHRASE
+        seen.add(k)
+        first, last = a if first is None else first, b
     return worth, first if first is not None else start, last
 
 
+def sentence_starts(text: str, spans: list[tuple[str, int, int]]) -> list[int]:
+    """Tokens that begin the text, or follow a full stop or colon."""
+    follows = (text[spans[i - 1][2] : spans[i][1]].rstrip(" \t\r\n")[-1:] for i in range(1, len(spans)))
+    return [0, *(i for i, sign in enumerate(follows, 1) if sign in (".", ":"))]
+
+
 def window(text: str, spans: list[tuple[str, int, int]], found: list[tuple[int, int, int]]) -> int:
     """First token of the best window of WINDOW_TOKENS."""
     n, best, at = len(spans), 0, 0
-    sentences = [i for i, (_, a, _) in enumerate(spans) if i == 0 or text[:a].rstrip(" \t\r\n")[-1:] in (".", ":")] if len(spans) <= 100_000 else [0]
+    sentences = sentence_starts(text, spans) if found and n > WINDOW_TOKENS else [0]
     for a, _, _ in found:
         worth, first, last = _worth(found, a)
         centred = max(0, min(first - (WINDOW_TOKENS - (last - first)) // 2, n - WINDOW_TOKENS))
         if worth > best:
             best, at = worth, centred
         if n > WINDOW_TOKENS:
-            begin = max((s for s in sentences if s <= a), default=0)
+            begin = sentences[bisect_right(sentences, a) - 1]
             if begin < a:
                 worth = _worth(found, begin)[0] + (TEXT_START if begin == 0 else SENTENCE_START)
                 if worth > best:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import SearchError
@@ -71,6 +72,17 @@ def top(rows: DataFrame, limit: int) -> DataFrame:
     return rows if limit < 0 else rows.limit(limit)
 
 
+@contextmanager
+def planned_once(spark: SparkSession):
+    """Without plans being made anew between stages, which costs more than it brings where all stages are short."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 @dataclass(frozen=True)
 class Tables:
     """What a search reads."""
@@ -82,6 +94,8 @@ class Tables:
     content_stats: DataFrame
     filename_postings: DataFrame
     filename_stats: DataFrame
+    #: ``content_stats`` with one path of each document, where that is kept; else it is found in ``paths``.
+    first_paths: DataFrame | None = None
 
     @classmethod
     def of(cls, store: IndexStore) -> Tables:
@@ -90,7 +104,8 @@ class Tables:
     def cached(self) -> Tables:
         """With postings and statistics in memory, for many searches."""
         kept = {n: getattr(self, n).cache() for n in ("documents", "paths", "content_postings", "content_stats", "filename_postings", "filename_stats")}
-        return Tables(bodies=self.bodies, **kept)
+        first = one_path_each(self.paths.select("document_id", "path", "filename")).withColumnRenamed("document_id", "key")
+        return Tables(bodies=self.bodies, first_paths=self.content_stats.join(first, "key").cache(), **kept)
 
 
 class Searcher:
@@ -124,8 +139,9 @@ class Searcher:
         if request.limit < 0 or request.mode != CONTENT or not query.terms:
             return self.search(request).collect()  # at most `limit` rows, or asked for all
         found, *shown = self._ranked(query, request)
-        rows = found.collect()  # at most `limit` rows
-        bodies = self.tables.bodies.where(F.col("document_id").isin([r["document_id"] for r in rows])).collect() if rows else []
+        with planned_once(found.sparkSession):
+            rows = found.collect()  # at most `limit` rows
+            bodies = self.tables.bodies.where(F.col("document_id").isin([r["document_id"] for r in rows])).collect() if rows else []
         text = {r["document_id"]: r["body"] for r in bodies}
         show = snippet_maker(*shown)
         return [Row(path=r["path"], filename=r["filename"], snippet=show(text.get(r["document_id"])), rank=r["rank"], match_kind=EXACT if r["literal"] else MORPHOLOGICAL) for r in rows]
@@ -166,10 +182,13 @@ class Searcher:
         """``document_id, path, filename, rank, literal`` of the best, and what their snippets are made with."""
         t = self.tables
         tree, forms, expanded = self._forms(query)
-        hits = match.search(t.content_postings, t.content_stats, tree, FIELD_WEIGHTS, self.content_corpus, query_tree(query) if expanded else None)
-        hits = hits if expanded else hits.withColumn("literal", F.lit(True))
-        rows = one_path_each(self._found_paths(query.filters)).join(hits.withColumnRenamed("key", "document_id"), "document_id")
-        rows = top(rows, request.limit).select("document_id", "path", "filename", "rank", "literal")
+        literal = query_tree(query) if expanded else None
+        if t.first_paths is not None and query.filters == Filters():
+            rows = match.search(t.content_postings, t.first_paths, tree, FIELD_WEIGHTS, self.content_corpus, literal, more_of=("path", "filename"))
+        else:
+            hits = match.search(t.content_postings, t.content_stats, tree, FIELD_WEIGHTS, self.content_corpus, literal)
+            rows = hits.join(one_path_each(self._found_paths(query.filters)).withColumnRenamed("document_id", "key"), "key")
+        rows = top(rows, request.limit).selectExpr("key AS document_id", "path", "filename", "rank", "literal" if expanded else "true AS literal")
         return rows, tree, needles(query.terms, forms), forms, self.morphology if expanded else None
 
     def _content_hits(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:

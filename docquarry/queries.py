@@ -105,8 +105,10 @@ def tok_terms_df(spark, sf_dir):
 
 
 def tok_bigrams(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select(F.explode(T.bigrams(F.col("text"))).alias("gram"))
-    return rows.groupBy("gram").agg(F.count("*").alias("n"))
+    """Words are counted first: a word's bigrams are made once, however often it stands."""
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+")).alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("n"))
+    return counts.select(F.explode(T.bigrams(F.col("word"))).alias("gram"), "n").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def doc_identity_dedup(spark, sf_dir):
@@ -161,8 +163,7 @@ def phrase_in_turns(spark, sf_dir):
     """Turns of conversations that hold a phrase, with how often."""
     turns = _table(spark, sf_dir, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("key"), "text")
     built = postings.build(turns, "key", ["text"])
-    found = match.phrase_frequencies(built, match.phrases(query_tree(parse('"of the"'))))
-    return found.groupBy("key").agg(F.sum("tf").alias("times"))
+    return match.phrase_counts(built, query_tree(parse('"of the"')))
 
 
 def highlight_literal(spark, sf_dir):

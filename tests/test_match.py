@@ -4,7 +4,6 @@ import random
 import sqlite3
 
 import pytest
-from pyspark.sql import functions as F
 
 from docquarry.operators import match, postings
 from docquarry.plans.parser import parse, query_tree
@@ -51,8 +50,8 @@ def test_nothing_and_literal(corpus):
 def test_plan_reads_postings_once(corpus, spark, tmp_path):
     built, sizes, _ = corpus
     postings.laid_out(built).write.parquet(str(tmp_path / "p"))
-    found = match.phrase_frequencies(spark.read.parquet(str(tmp_path / "p")), match.phrases(query_tree(parse("ab AND er*"))))
-    assert "Exchange" not in found.where("phrase = 0")._jdf.queryExecution().executedPlan().toString()
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "PushedFilters: [Or(" in plan
-    assert found.where(F.col("tf") < 1).count() == 0
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    for query in ("ab AND er*", '"ab cd" OR x'):
+        plan = match.search(stored, sizes, query_tree(parse(query)), ranked=False)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "PushedFilters: [IsNotNull(key), Or(" in plan, plan
+    assert match.phrase_counts(stored, query_tree(parse('"ab cd"'))).where("times < 1").count() == 0
