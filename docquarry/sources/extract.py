@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import io
+import math
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterable
+from decimal import Decimal
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -91,27 +94,66 @@ def text_of_pptx(content: bytes) -> str:
 
 
 def _shared_strings(xml: bytes) -> list[str]:
+    """Each entry's text, without the readings (``rPh``) that stand beside it."""
     out: list[str] = []
-    inside = 0
+    inside = reading = 0
 
     def start(name, _):
-        nonlocal inside
+        nonlocal inside, reading
         if name == "si":
             out.append("")
         inside += name == "t"
+        reading += name == "rPh"
 
     def end(name):
-        nonlocal inside
+        nonlocal inside, reading
         inside -= name == "t"
+        reading -= name == "rPh"
 
     def text(data):
-        if inside and out:
+        if inside and not reading and out:
             out[-1] += data
 
     _events(xml, start, end, text)
     return out
 
 
+def _number(value: str) -> str:
+    """A number without exponent and superfluous zeros; what is none as it stands."""
+    try:
+        found = float(value)
+    except ValueError:
+        return value
+    if not math.isfinite(found):
+        return value
+    shown = format(Decimal(repr(found)), "f")
+    return shown.rstrip("0").rstrip(".") if "." in shown else shown
+
+
+def _sheets(archive: zipfile.ZipFile) -> list[str]:
+    """Names of the worksheets' parts, in the workbook's order; by number where it doesn't say."""
+    names = set(archive.namelist())
+    targets: dict[str, str] = {}
+    order: list[str] = []
+
+    def relation(name, attributes):
+        if name == "Relationship" and attributes.get("Type", "").endswith("/worksheet"):
+            target = attributes.get("Target", "")
+            targets[attributes.get("Id", "")] = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"xl/{target}")
+
+    def sheet(name, attributes):
+        if name == "sheet":
+            order.extend(v for k, v in attributes.items() if k.rpartition(":")[2] == "id" and ":" in k)
+
+    nothing = lambda *_: None
+    for part, handler in (("xl/_rels/workbook.xml.rels", relation), ("xl/workbook.xml", sheet)):
+        if part in names:
+            _events(_entry(archive, part), handler, nothing, nothing)
+    found = [targets[i] for i in order if targets.get(i) in names]
+    numbered = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+    return found or [n for _, n in numbered]
+
+
 def _sheet(xml: bytes, shared: list[str]) -> str:
     rows: list[str] = []
     cells: list[str] = []
@@ -140,8 +182,8 @@ def _sheet(xml: bytes, shared: list[str]) -> str:
                 shown = shared[int(value)] if int(value) < len(shared) else ""
             elif kind == "b":
                 shown = {"1": "true", "0": "false"}.get(value.strip(), value)
-            elif kind == "n" and re.fullmatch(r"-?\d+\.0+", value):
-                shown = value.split(".")[0]
+            elif kind == "n":
+                shown = _number(value)
             if shown:
                 cells.append(shown)
         elif name == "row" and cells:
@@ -155,12 +197,11 @@ def _sheet(xml: bytes, shared: list[str]) -> str:
 def text_of_xlsx(content: bytes) -> str:
     """A line for each row with cells, sheet by sheet; names of sheets aren't part of it."""
     archive = _archive(content)
-    names = archive.namelist()
-    sheets = sorted((int(m[1]), n) for n in names if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+    sheets = _sheets(archive)
     if not sheets:
         raise ExtractError("parse", "no worksheets")
-    shared = _shared_strings(_entry(archive, "xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else []
-    return "".join(_sheet(_entry(archive, n), shared) for _, n in sheets)
+    shared = _shared_strings(_entry(archive, "xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in archive.namelist() else []
+    return "".join(_sheet(_entry(archive, n), shared) for n in sheets)
 
 
 def text_of_pdf(content: bytes) -> str:

@@ -37,11 +37,19 @@ class Dictionary:
     """Morphemes of the words that it knows, as ``(form, tag, start in word, length)``."""
 
     WORDS = {
-        "지었다.": (("짓", "VV", 0, 1), ("었", "EP", 1, 1), ("다", "EF", 2, 1), (".", "SF", 3, 1)), "지었고,": (("짓", "VV", 0, 1), ("었", "EP", 1, 1), ("고", "EC", 2, 1), (",", "SP", 3, 1)), "짓다": (("짓", "VV", 0, 1), ("다", "EF", 1, 1)),
-        "위원회에서": (("위원회", "NNG", 0, 3), ("에서", "JKB", 3, 2)), "위원회": (("위원회", "NNG", 0, 3),), "창고를": (("창고", "NNG", 0, 2), ("를", "JKO", 2, 1)), "수행한다.": (("수행", "NNG", 0, 2), ("한다", "XSV", 2, 2)),
-        "수행함": (("수행", "NNG", 0, 2), ("함", "XSV", 2, 1)), "이사회에서": (("이사", "NNG", 0, 2), ("회", "XSN", 2, 1), ("에서", "JKB", 3, 2)), "이사회": (("이사", "NNG", 0, 2), ("회", "XSN", 2, 1)),
-        "레이아웃과": (("레이", "NNG", 0, 2), ("아웃", "NNG", 2, 2), ("과", "JC", 4, 1)), "레이아웃": (("레이", "NNG", 0, 2), ("아웃", "NNG", 2, 2)),
-    }
+        "도왔다.": (("돕", "VV", 0, 1), ("았", "EP", 1, 1), ("다", "EF", 2, 1), (".", "SF", 3, 1)),
+        "도왔고,": (("돕", "VV", 0, 1), ("았", "EP", 1, 1), ("고", "EC", 2, 1), (",", "SP", 3, 1)),
+        "돕다": (("돕", "VV", 0, 1), ("다", "EF", 1, 1)),
+        "이웃을": (("이웃", "NNG", 0, 2), ("을", "JKO", 2, 1)),
+        "연구소에서": (("연구소", "NNG", 0, 3), ("에서", "JKB", 3, 2)),
+        "연구소": (("연구소", "NNG", 0, 3),),
+        "합창단에서": (("합창", "NNG", 0, 2), ("단", "XSN", 2, 1), ("에서", "JKB", 3, 2)),
+        "합창단": (("합창", "NNG", 0, 2), ("단", "XSN", 2, 1)),
+        "오디오북과": (("오디오", "NNG", 0, 3), ("북", "NNG", 3, 1), ("과", "JC", 4, 1)),
+        "오디오북": (("오디오", "NNG", 0, 3), ("북", "NNG", 3, 1)),
+        "정리한다.": (("정리", "NNG", 0, 2), ("한다", "XSV", 2, 2)),
+        "정리함": (("정리", "NNG", 0, 2), ("함", "XSV", 2, 1)),
+    }
 
     def morphemes(self, text):
         out, at = [], 0

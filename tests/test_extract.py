@@ -2,7 +2,7 @@ from samples import W, archive, docx, pptx, xlsx
 
 from docquarry.sources.extract import EXTRACTORS, extract, paragraphs, with_bodies
 
-KOREAN = "채권 발행 절차"
+KOREAN = "도서관 휴관 안내"
 
 
 def body(ext, content):
@@ -15,10 +15,25 @@ def test_txt():
 
 
 def test_office_files():
-    assert body("docx", docx(("채권", " 발행"), ("절차",), ())) == ("채권 발행\n절차\n", None)
-    assert body("xlsx", xlsx([["채권", "발행"], [], ["절차"]])) == ("채권 발행\n절차\n", None)
-    slides = {n: f"슬라이드{n}" for n in range(1, 12)}
-    assert body("pptx", pptx(slides)) == ("".join(f"슬라이드{n}\n" for n in range(1, 12)), None)
+    assert body("docx", docx(("도서관", " 휴관"), ("안내",), ())) == ("도서관 휴관\n안내\n", None)
+    assert body("xlsx", xlsx([["도서관", "휴관"], [], ["안내"]])) == ("도서관 휴관\n안내\n", None)
+    slides = {n: f"쪽 {n}" for n in range(1, 12)}
+    assert body("pptx", pptx(slides)) == ("".join(f"쪽 {n}\n" for n in range(1, 12)), None)
+
+
+def test_workbooks():
+    """Sheets as the workbook lists them, readings left out, numbers as numbers."""
+    sheet = lambda *cells: "<worksheet><sheetData><row>" + "".join(cells) + "</row></sheetData></worksheet>"
+    r = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    kind = "http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet"
+    book = archive(**{
+        "xl/workbook.xml": f'<workbook {r}><sheets><sheet name="b" sheetId="7" r:id="r2"/><sheet name="a" sheetId="3" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships><Relationship Id="r1" Type="{kind}" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Type="{kind}" Target="/xl/worksheets/extra.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>図書</t><rPh><t>トショ</t></rPh></si></sst>",
+        "xl/worksheets/sheet1.xml": sheet('<c t="s"><v>0</v></c>', "<c><v>1.10</v></c>", "<c><v>1E3</v></c>", "<c><v>-2.50E-2</v></c>", "<c><v>7.0</v></c>"),
+        "xl/worksheets/extra.xml": sheet('<c t="b"><v>1</v></c>', '<c t="str"><v>last</v></c>'),
+    })
+    assert body("xlsx", book) == ("true last\n図書 1.1 1000 -0.025 7\n", None)
 
 
 def test_oddities():

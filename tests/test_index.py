@@ -35,7 +35,7 @@ def made(spark, tmp_path):
     return folder, store, index, hits
 
 
-RULE = "본 문서는 채권 발행 절차를 규정한다. 채권 발행 시 이사회 승인이 필요하다."
+NOTICE = "도서관 휴관 일정을 알린다. 도서관 휴관 중에는 반납함을 쓴다."
 
 
 def test_admission(spark):
@@ -46,65 +46,65 @@ def test_admission(spark):
 
 def test_formats(made):
     folder, store, index, hits = made
-    files = {"규정.txt": RULE, "무관.txt": "점심 메뉴 안내", "표.xlsx": xlsx([["채권", "발행"]]), "결의.docx": docx(("채권 발행",)), "발표.pptx": pptx({1: "채권 발행"}), "손상.pdf": b"broken", "보관.zip": b"PK", "~$규정.txt": b"x", "copy/규정2.txt": RULE}
+    files = {"안내.txt": NOTICE, "기타.txt": "버스 노선 변경", "일정.xlsx": xlsx([["도서관", "휴관"]]), "공지.docx": docx(("도서관 휴관",)), "화면.pptx": pptx({1: "도서관 휴관"}), "깨짐.pdf": b"broken", "묶음.zip": b"PK", "~$안내.txt": b"x", "copy/안내2.txt": NOTICE}
     assert index(files) == Outcome(6, 1, 2)
-    found = hits("채권 발행")
+    found = hits("도서관 휴관")
     assert len(found) == 4 and all(">>" in s and k == "EXACT" for _, k, s in found)  # one path of the two copies
     assert {r["index_tier"]: r["n"] for r in tier_counts(store.read("documents")).collect()} == {"FULL": 5, "META": 1}
     assert [tuple(r) for r in demotion_counts(store.read("documents")).collect()] == [("PARSE_FAIL", 1)]
-    assert {n for n, *_ in hits("규정*", mode="filename")} == {"규정.txt", "규정2.txt"}
-    assert [n for n, *_ in hits("손상 tier:meta", mode="filename")] == ["손상.pdf"] and hits("채권 tier:meta") == [] and hits("채권 drm:true") == []
-    assert [n for n, *_ in hits("채권 ext:xlsx")] == ["표.xlsx"] and len(hits("채권 path:copy")) == 1 and len(hits("채권 modified>2000-01-01 modified<2999")) == 4
-    assert {n for n, *_ in hits("ext:xlsx")} == {"표.xlsx"} and len(hits("채권", limit=-1)) == 4
+    assert {n for n, *_ in hits("안내*", mode="filename")} == {"안내.txt", "안내2.txt"}
+    assert [n for n, *_ in hits("깨짐 tier:meta", mode="filename")] == ["깨짐.pdf"] and hits("휴관 tier:meta") == [] and hits("휴관 drm:true") == []
+    assert [n for n, *_ in hits("휴관 ext:xlsx")] == ["일정.xlsx"] and len(hits("휴관 path:copy")) == 1 and len(hits("휴관 modified>1999-06-01 modified<2998")) == 4
+    assert {n for n, *_ in hits("ext:xlsx")} == {"일정.xlsx"} and len(hits("휴관", limit=-1)) == 4
     with pytest.raises(SearchError):
         hits("ext:xlsx", strict=True)
     with pytest.raises(SearchError):
         hits("NOT x")
     assert index() == Outcome(6, 1, 2) and store.read("documents").count() == 6  # again, nothing changes
-    os.remove(folder / "무관.txt")
+    os.remove(folder / "기타.txt")
     index()
     assert store.read("paths").count() == 7
     index(prune_missing=True)
-    assert store.read("paths").count() == 6 and store.read("documents").count() == 5 and hits("점심") == []
+    assert store.read("paths").count() == 6 and store.read("documents").count() == 5 and hits("노선") == []
 
 
 def test_changed_content_leaves_no_orphan(made):
     _, store, index, hits = made
-    index({"a.txt": "GDP 성장률은 3.2%였다."})
-    assert hits("3.2%")[0][2] == "GDP 성장률은 >>3.2%<<였다."
-    index({"a.txt": "GDP 성장률은 5.2%였다."})
-    assert hits("3.2%") == [] and len(hits("5.2%")) == 1 and store.read("documents").count() == 1 and store.read("paths").count() == 1
+    index({"a.txt": "습도는 41.8%였다."})
+    assert hits("41.8%")[0][2] == "습도는 >>41.8%<<였다."
+    index({"a.txt": "습도는 63.4%였다."})
+    assert hits("41.8%") == [] and len(hits("63.4%")) == 1 and store.read("documents").count() == 1 and store.read("paths").count() == 1
     keys = store.read("content_postings").select("key").distinct()
     assert keys.count() == 1 and store.read("content_stats").count() == 1
 
 
 def test_removal(spark, made):
     folder, store, index, hits = made
-    index({"a.txt": "하나 둘", "b.txt": "하나 둘", "c.txt": "셋"})
+    index({"a.txt": "봄 여름", "b.txt": "봄 여름", "c.txt": "겨울"})
     remove = lambda *names: Indexer(spark, store).remove_paths(spark.createDataFrame([(str(folder / n),) for n in names], "path string"))
     remove("a.txt", "unknown.txt")
-    assert len(hits("하나")) == 1 and store.read("documents").count() == 2
+    assert len(hits("여름")) == 1 and store.read("documents").count() == 2
     remove("b.txt")
-    assert hits("하나") == [] and store.read("documents").count() == 1 and store.read("document_bodies").count() == 1 and hits("a", mode="filename") == []
+    assert hits("여름") == [] and store.read("documents").count() == 1 and store.read("document_bodies").count() == 1 and hits("a", mode="filename") == []
 
 
 def test_word_forms(made):
     _, store, index, hits = made
-    index({"공사.txt": "그는 새 건물을 지었다.", "창고.txt": "그는 창고를 지었고, 돌아왔다.", "규정.txt": RULE, "회의.txt": "위원회에서 논의했다.", "이사.txt": "이사회에서 정했다.", "검증.txt": "다단 레이아웃과 표 검증은 새로 수행한다."}, morphology)
-    assert {n for n, *_ in hits("짓")} == {"공사.txt", "창고.txt"}
-    assert hits("짓다") == []
-    found = {n: (k, s) for n, k, s in hits("짓다", morphology)}
-    assert found["창고.txt"][0] == "MORPHOLOGICAL" and ">>지었고,<<" in found["창고.txt"][1] and found.keys() == {"공사.txt", "창고.txt"}
-    assert [k for _, k, _ in hits("채권 발행", morphology)] == ["EXACT"] and [k for _, k, _ in hits("위원회", morphology)] == ["EXACT"]
-    assert {n: k for n, k, _ in hits("이사회", morphology)}["이사.txt"] == "MORPHOLOGICAL"
-    assert ">>수행<<한다" in hits("수행함", morphology)[0][2] and ">>레이아웃<<과" in hits("레이아웃", morphology)[0][2]
-    assert ("이사.txt" in {n for n, *_ in hits("이사")})  # by bigrams
+    index({"봉사.txt": "누나는 이웃을 도왔다.", "야간.txt": "형은 이웃을 도왔고, 잠들었다.", "안내.txt": NOTICE, "측정.txt": "연구소에서 수온을 쟀다.", "공연.txt": "합창단에서 노래했다.", "서가.txt": "오디오북과 색인 카드를 모두 정리한다."}, morphology)
+    assert {n for n, *_ in hits("돕")} == {"봉사.txt", "야간.txt"}
+    assert hits("돕다") == []
+    found = {n: (k, s) for n, k, s in hits("돕다", morphology)}
+    assert found["야간.txt"][0] == "MORPHOLOGICAL" and ">>도왔고,<<" in found["야간.txt"][1] and found.keys() == {"봉사.txt", "야간.txt"}
+    assert [k for _, k, _ in hits("도서관 휴관", morphology)] == ["EXACT"] and [k for _, k, _ in hits("연구소", morphology)] == ["EXACT"]
+    assert {n: k for n, k, _ in hits("합창단", morphology)}["공연.txt"] == "MORPHOLOGICAL"
+    assert ">>정리<<한다" in hits("정리함", morphology)[0][2] and ">>오디오북<<과" in hits("오디오북", morphology)[0][2]
+    assert "공연.txt" in {n for n, *_ in hits("합창")}  # by bigrams
 
 
 def test_bigrams_only(made):
     _, store, index, hits = made
-    index({"a.txt": "그는 새 건물을 지었다."})
-    assert hits("짓") == [] and len(hits("지었")) == 1
+    index({"a.txt": "누나는 이웃을 도왔다."})
+    assert hits("돕") == [] and len(hits("도왔")) == 1
 
 
 def test_store(spark, tmp_path):
@@ -139,11 +139,11 @@ def test_command_line(made, capsys, monkeypatch, tmp_path):
     from docquarry import cli
 
     folder, store, index, _ = made
-    index({"규정.txt": RULE})
+    index({"안내.txt": NOTICE})
     at = ["--index", store.root]
-    assert cli.main([*at, "index", str(folder)]) == 0 and cli.main([*at, "search", "채권"]) == 0 and cli.main([*at, "search", "없음"]) == 0 and cli.main([*at, "stats"]) == 0
+    assert cli.main([*at, "index", str(folder)]) == 0 and cli.main([*at, "search", "휴관"]) == 0 and cli.main([*at, "search", "없음"]) == 0 and cli.main([*at, "stats"]) == 0
     queries = tmp_path / "q.txt"
-    queries.write_text("채권\n\n발행*\n")
+    queries.write_text("휴관\n\n도서*\n")
     assert cli.main([*at, "bench", str(folder), "--queries", str(queries), "--repeat", "1"]) == 0
     out = capsys.readouterr().out
     assert "full 1, meta 0, skip 0" in out and "[정확 일치]" in out and "no results" in out and "FULL: 1" in out and "P95" in out and "2 runs" in out
