@@ -23,12 +23,14 @@ from .common import fold, map_batches, stored, table, text_bytes
 #: Words whose counts are broadcast (about 15 MB in a worker).
 HEAD_WORDS = 100_000
 #: Classes: words of their own (the end of a text among them), endings, and one for the rest.
-WORD_CLASSES, ENDING_CLASSES = 96, 95
+WORD_CLASSES, ENDING_CLASSES = 128, 127
 CLASSES = WORD_CLASSES + ENDING_CLASSES + 1
-CONTEXT, SIZE = 3, 16
+CONTEXT, SIZE = 4, 16
 NOISE, BATCH, RATE = 24, 4096, 0.15
 #: Samples of noise that a batch shares; each stands for a part of a token's NOISE.
-DRAWN = 32
+DRAWN = 96
+#: Tokens normalised at a time: their scores for all classes stay in a core's cache.
+TOGETHER = 512
 #: Documents that the driver's first fit looks at, before the fit on all of them.
 WARM_ROWS = 2000
 #: Words a task counts before it hands on what it has.
@@ -163,8 +165,8 @@ def log10_classes(p: dict[str, np.ndarray], cls: np.ndarray) -> float:
     """log10 probability of a text's classes, each normalised over all classes."""
     ctx, total, out, ones = contexts(cls), 0.0, p["q"].T.copy(), np.ones(CLASSES, np.float32)
     reach, lift = np.sqrt((p["q"] ** 2).sum(1).max()), p["b"].max()
-    for at in range(0, len(cls), 2048):
-        vector, target = predicted(p, ctx[:, at : at + 2048]), cls[at : at + 2048]
+    for at in range(0, len(cls), TOGETHER):
+        vector, target = predicted(p, ctx[:, at : at + TOGETHER]), cls[at : at + TOGETHER]
         own = np.einsum("td,td->t", vector, p["q"][target]) + p["b"][target]
         # no score exceeds this; it is near enough for float32 unless vectors are very long
         top = np.sqrt(np.einsum("td,td->t", vector, vector)) * reach + lift
@@ -238,8 +240,9 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     Training texts are those whose crc32 of the id modulo 5 is not 1.  Null and empty texts are one
-    token, the end.  Repeated rows are trained on and scored each time.  Without training texts every
-    token has base probability 1 and the model is uniform over its classes.
+    token, the end.  Repeated rows are trained on and scored each time; rows without an id are training
+    rows.  Without training texts every token has base probability 1 and the model is uniform over its
+    classes.  Texts of any length count whole; an empty table gives no rows; other columns play no part.
     """
     held = fold(F.col("doc_id")) == 1
     texts = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), text_bytes(F.col("text")).alias("text"))
