@@ -3,6 +3,12 @@
 Each stage takes ``(spark, docs, sf_dir)`` and returns the documents that go on, with the columns of
 ``documents``; the last returns where each of their pieces is packed.  Between stages the documents
 are written as Parquet and read again.
+
+Rows without an id are scored and packed like any other, keep their lines and are never near duplicates;
+they go with the toxic ones, or if any row without an id holds a benchmark item.  Null and empty texts stay,
+one of each group of texts without words in the near-duplicate stage.  Rows that repeat an id stay or go
+together there and in decontamination.  Empty tables give no rows; other columns, whatever they are called,
+go along up to the packing, which returns its own.
 """
 
 from __future__ import annotations
