@@ -1,6 +1,6 @@
 """Quality classifier: naive Bayes features in a support vector machine (NBSVM).
 
-A text is a set of n-gram indicators: its words, and one- and two-grams of word *shapes* (``Aa``,
+A text is a set of n-gram indicators: one- and two-grams of its words and of word *shapes* (``Aa``,
 ``AA!!``, ``a###``), which see junk that no vocabulary lists.  An indicator counts with its class
 log-count ratio, and a linear hinge-loss model over these is fitted by dual coordinate descent.
 """
@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, map_batches, table, text_bytes
+from .common import fold, labelled_sample, map_batches, stored, table, text_bytes
 
 #: Labelled rows a model is fitted on, at most (about; taken by a hash of the id).
 TRAIN_ROWS = 20_000
-BITS = 18
+#: Features of those rows, at most (64 MB on the driver; rows are taken by a hash of the id as far as they fit).
+TRAIN_FEATURES = 1 << 24
+BITS = 20
 CACHE_WORDS = 200_000
 UPPER, LOWER, DIGIT = re.compile(rb"[A-Z]+"), re.compile(rb"[a-z\x80-\xff]+"), re.compile(rb"[0-9]+")
 MIN_DOCS = 3
@@ -32,7 +34,7 @@ class Features:
         self.mask, self.known = (1 << bits) - 1, {}
 
     def word(self, word: bytes) -> tuple[int, int]:
-        shape = DIGIT.sub(b"9", LOWER.sub(b"a", UPPER.sub(b"A", word)))[:8]
+        shape = DIGIT.sub(b"9", LOWER.sub(b"a", UPPER.sub(b"A", word)))
         bare = word.lower().strip(b".,;:!?\"'()|")
         return zlib.crc32(b"w" + bare) & self.mask, zlib.crc32(b"s" + shape) & self.mask
 
@@ -43,12 +45,13 @@ class Features:
         for w in set(words):
             if w not in known:
                 known[w] = self.word(w)
-        pairs = set(map(known.__getitem__, words))
-        shapes = np.fromiter((known[w][1] for w in words), np.int64, len(words))
-        two = np.unique(shapes[:-1] * 1_000_003 + shapes[1:]) if len(shapes) > 1 else shapes[:0]
-        two = (two * np.int64(0x9E3779B97F4A7C15 - (1 << 64)) >> np.int64(20)) & self.mask
-        ones = np.array(list(pairs), np.int64).reshape(-1)
-        return np.unique(np.concatenate([ones, two])).astype(np.int32)
+        ones = np.array(list(map(known.__getitem__, words)), np.int64).reshape(-1, 2)
+        return np.unique(np.concatenate([ones[:, 0], ones[:, 1], self.two(ones[:, 0], 1), self.two(ones[:, 1], 2)])).astype(np.int32)
+
+    def two(self, numbers: np.ndarray, kind: int) -> np.ndarray:
+        """Numbers of the two-grams, mixed so that their low bits depend on both parts."""
+        mixed = ((numbers[:-1] << 22 | numbers[1:]) * 4 + kind) * np.int64(0x9E3779B97F4A7C15 - (1 << 64))
+        return mixed >> np.int64(40) & self.mask
 
 
 def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.ndarray:
@@ -60,21 +63,21 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int) -> np.nda
     return np.where(p + q >= MIN_DOCS, ratio, 0)
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: np.ndarray, epochs: int = 12, seed: int = 1) -> np.ndarray:
-    """Weights of a linear model with squared hinge loss (the last is the bias).
+def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: np.ndarray, epochs: int = 20, seed: int = 1) -> np.ndarray:
+    """Weights of a linear model with hinge loss (the last is the bias, regularised like the others).
 
-    Every step solves one row's dual variable exactly.  ``c`` is a row's cost.
+    Minimises ``w w / 2 + sum c max(0, 1 - y w x)``.  Every step solves one row's dual variable, between 0 and
+    the row's cost ``c``, exactly.
     """
     w, alpha, sign = np.zeros(size + 1), np.zeros(len(rows)), np.where(y > 0, 1.0, -1.0)
-    diagonal = 0.5 / c
-    norms = np.array([float(v @ v) + 1 for v in values]) + diagonal
+    norms = np.array([float(v @ v) + 1 for v in values])
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         most = 0.0
         for i in order.permutation(len(rows)):
             x, v = rows[i], values[i]
-            gradient = sign[i] * (w[x] @ v + w[size]) - 1 + diagonal[i] * alpha[i]
-            new = max(0.0, alpha[i] - gradient / norms[i])
+            gradient = sign[i] * (w[x] @ v + w[size]) - 1
+            new = min(c[i], max(0.0, alpha[i] - gradient / norms[i]))
             if new != alpha[i]:
                 step = (new - alpha[i]) * sign[i]
                 w[x] += step * v
@@ -119,7 +122,7 @@ class Model:
         self.weights, self.ratio = np.zeros(size, np.float32), np.zeros(size, np.float32)
         if 0 < y.sum() < len(y):
             ratio = log_count_ratios(rows, y, size)
-            scaled = [unit(ratio[x]) for x in rows]
+            scaled = [unit(ratio[x]).astype(np.float32) for x in rows]
             part = np.arange(len(y)) % 5 == 0  # calibrates, then is trained on as well
             train = np.flatnonzero(~part)
             cost = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
@@ -138,16 +141,31 @@ class Model:
         return self.weights, self.ratio, self.bias, self.a, self.b
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
+def first_left_out(hashes: np.ndarray, sizes: np.ndarray, most: int) -> int | None:
+    """The smallest hash at which rows, in the order of their hashes, are more than fit; None if all fit."""
+    order = np.argsort(hashes, kind="stable")
+    over = np.cumsum(sizes[order]) > most
+    return int(hashes[order][over.argmax()]) if over.any() else None
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, features: int = TRAIN_FEATURES) -> Model:
     def work(batches):
-        features = Features()
+        known = Features()
         for batch in batches:
-            found = [features.of(t) for t in batch.column(1).to_pylist()]
+            found = [known.of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
+    h = F.xxhash64("doc_id")
+    sample = stored(map_batches(labelled_sample(docs, labels, "quality", rows), work, "doc_id long, y int, x array<int>"))
+    sizes = sample.select(h.alias("h"), F.size("x").cast("long").alias("n")).toArrow()  # numbers of a bounded sample
+    limit = first_left_out(sizes.column("h").to_numpy(), sizes.column("n").to_numpy(), features)
+    if limit is not None:
+        sample = sample.where(h < limit)
     # a bounded sample, as numbers; sorted, so that the fit doesn't depend on the order of tasks
-    got = map_batches(labelled_sample(docs, labels, "quality", rows), work, "doc_id long, y int, x array<int>").toArrow().sort_by("doc_id")
-    return Model([np.asarray(x, np.int32) for x in got.column("x").to_pylist()], np.array(got.column("y").to_pylist(), np.float64))
+    got = sample.withColumn("k", F.xxhash64("x")).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending"), ("k", "ascending")])
+    x = got.column("x").combine_chunks()
+    ends = np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
+    return Model(np.split(x.flatten().to_numpy(), ends[:-1]) if len(ends) else [], got.column("y").to_numpy().astype(np.float64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = 0.3) -> DataFrame:
@@ -155,8 +173,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, t
 
     ``score`` is the probability of label 1; a null or empty text has no features and gets what the
     bias gives.  Without labelled rows of both classes it is the labels' share (0.5 without any).
+    Texts of any length count whole, equal texts score the same, rows without an id are scored as held
+    out, an empty table has no rows, and other columns, whatever they are called, play no part.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows).parts())  # 2 MB, whatever the input
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows).parts())  # 8 MB, whatever the input
 
     def work(batches):
         features = Features()

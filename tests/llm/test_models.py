@@ -1,6 +1,7 @@
 """Models: held-out quality, normalisation, and odd inputs."""
 
 import math
+import re
 import zlib
 from collections import Counter
 
@@ -51,12 +52,98 @@ def test_lexicon():
     assert hits("173 111 $$$ 0") == []
 
 
-def test_dual_coordinate_descent_separates():
+def plain_hits(weights, text):
+    """Every lexicon entry tried at every place, in place of the automaton."""
+    plain = text.translate(toxicity.fold_table(True))
+    letter = lambda i: 0 <= i < len(text) and text[i].isalpha()
+
+    def at(i, phrase, stem):
+        end = i + len(phrase)
+        return plain.startswith(phrase, i) and not letter(i - 1) and (stem or not letter(end)) and any(c.isalpha() for c in text[i:end])
+
+    hidden = [(i, i + len(p)) for i in range(len(text)) for p in toxicity.EXCEPTIONS if at(i, p, False)]
+    found = []
+    for i in range(len(text)):
+        here = [(w, len(p.rstrip("*"))) for p, w in weights.items() if at(i, p.rstrip("*"), p[-1] == "*")]
+        here = [(w, n) for w, n in here if not any(a <= i and i + n <= b for a, b in hidden)]
+        if here:
+            found.append(max(w for w, _ in here))
+    return found
+
+
+def test_toxicity_scores_as_plain_python(spark):
+    """The whole operator's scores, from the weights it learned and every place looked at."""
+    said = ["you idiot", "what a m0ron", "class clown, clown", "Trash can and trash", "nice day", "a guinea pig or a pig", "IDIÖT idiots", "", "worthless scum", "blorpish fellow blorped"]
+    rows = [(i, (said[i % len(said)] + " words that are there " * (i % 3)).strip() if i % len(said) != 7 else None) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % len(said) in (0, 1, 2, 8, 9))) for i, _ in rows], "doc_id long, toxic int")
+    weights, t = toxicity.train(docs, labels)
+    assert any(w.startswith("blor") for w in weights)
+    got = {r["doc_id"]: (r["score"], r["matches"], r["predicted"]) for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for i, text in rows:
+        found = plain_hits(weights, text or "")
+        total, n = sum(found), len(found)
+        x = [math.log1p(total), math.log1p(100 * total / max(1, len((text or "").split()))), n / (1 + n)] if n else [0, 0, 0]
+        p = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, t, strict=False)) + t[3])))
+        assert got[i] == (pytest.approx(p, abs=1e-9), n, int(p >= 0.5))
+
+
+def plain_features(text, bits=quality.BITS):
+    """One- and two-grams of words and shapes, in plain Python."""
+    mask, words = (1 << bits) - 1, text.encode().split()
+    word = [zlib.crc32(b"w" + w.lower().strip(b".,;:!?\"'()|")) & mask for w in words]
+    shape = [zlib.crc32(b"s" + re.sub(rb"[0-9]+", b"9", re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[A-Z]+", b"A", w)))) & mask for w in words]
+    two = lambda kind, pair: ((((pair[0] << 22 | pair[1]) * 4 + kind) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) & mask
+    return sorted({*word, *shape, *(two(1, p) for p in zip(word, word[1:], strict=False)), *(two(2, p) for p in zip(shape, shape[1:], strict=False))})
+
+
+def test_quality_scores_as_plain_python(spark, documents, labels):
+    """The whole operator's scores: features, ratios, margins and probabilities by dictionaries."""
+    texts = [(r["doc_id"], r["text"] or "") for r in documents.select("doc_id", "text").collect()]
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    rows = sorted((i, truth[i], plain_features(t)) for i, t in texts if i in truth)
+    n = Counter(y for _, y, _ in rows)
+    seen = {c: Counter(f for _, y, x in rows if y == c for f in x) for c in (0, 1)}
+    ratio = lambda f: math.log((seen[1][f] + 1) / (n[1] + 2)) - math.log((seen[0][f] + 1) / (n[0] + 2)) if seen[0][f] + seen[1][f] >= quality.MIN_DOCS else 0.0
+    model = quality.train(documents, labels)
+    for f in {f for *_, x in rows for f in x}:
+        assert model.ratio[f] == pytest.approx(ratio(f), abs=1e-6)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(documents, labels).collect()}
+    for i, t in texts:
+        v = {f: ratio(f) for f in plain_features(t)}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1
+        margin = sum(float(model.weights[f]) * x / length for f, x in v.items()) + model.bias
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.a * margin + model.b))), abs=1e-5)
+
+
+def test_features_of_a_fit_are_bounded(spark, documents, labels):
+    h, n = np.array([5, -3, 9, 5]), np.array([10, 20, 30, 40])
+    assert quality.first_left_out(h, n, 100) is None and quality.first_left_out(h, n, 75) == 9
+    assert quality.first_left_out(h, n, 40) == 5 and quality.first_left_out(h, n, 0) == -3
+    few = quality.train(documents, labels, features=300)
+    assert 0 < np.count_nonzero(few.ratio) < np.count_nonzero(quality.train(documents, labels).ratio)
+    assert not quality.train(documents, labels, features=0).weights.any()
+
+
+def test_dual_coordinate_descent_reaches_the_least_hinge_loss():
+    """No duality gap: the weights' objective is that of the dual variables behind them."""
     rng = np.random.default_rng(0)
-    rows = [np.unique(rng.integers(0, 40, 6)) + (50 if i % 2 else 0) for i in range(200)]
-    y = np.arange(200) % 2
-    w = quality.dual_coordinate_descent(rows, [np.ones(len(x)) for x in rows], y.astype(float), 100, np.ones(200))
-    assert all((w[x].sum() + w[100] > 0) == bool(c) for x, c in zip(rows, y, strict=True))
+    rows = [np.unique(rng.integers(0, 40, 6)) + (20 if i % 2 else 0) for i in range(200)]
+    values, sign = [np.ones(len(x)) / 2 for x in rows], np.where(np.arange(200) % 2, 1.0, -1.0)
+    cost = np.where(sign > 0, 0.3, 0.1)
+    w = quality.dual_coordinate_descent(rows, values, (sign > 0).astype(float), 100, cost, epochs=2000)
+    loss = lambda w: (w @ w) / 2 + cost @ np.maximum(0, 1 - sign * [w[x] @ v + w[100] for x, v in zip(rows, values, strict=True)])
+    least = loss(w)
+    assert least < 0.9 * loss(np.zeros(101))
+    for _ in range(300):  # convex: nothing near is lower
+        assert loss(w + rng.normal(0, 10.0 ** -rng.integers(1, 5), 101)) >= least - 1e-6
+    x = np.zeros((200, 101))
+    for i, (at, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, at], x[i, 100] = v, 1
+    step = w.copy()
+    for k in range(4000):  # plain subgradient descent gets no lower
+        step -= (step - (cost * sign * (sign * (x @ step) < 1)) @ x) / (k + 2)
+    assert least <= loss(step) + 1e-6 and loss(step) < 1.05 * least
 
 
 def test_language_model(spark, documents, empty):
