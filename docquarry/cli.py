@@ -8,6 +8,7 @@ import time
 from pyspark.sql import SparkSession
 
 from .config import Config
+from .functions.morph import configured
 from .functions.text import human_bytes_py
 from .operators import stats
 from .operators.ingest import Indexer
@@ -81,9 +82,9 @@ def stored_bytes(store: IndexStore) -> int:
 
 def bench(spark: SparkSession, store: IndexStore, config: Config, folder: str, queries: str | None, repeat: int) -> dict:
     began = time.perf_counter()
-    outcome = Indexer(spark, store, config).index_directory(folder)
+    outcome = Indexer(spark, store, config, morphology=configured()).index_directory(folder)
     seconds = time.perf_counter() - began
-    searcher = Searcher(Tables.of(store).cached())
+    searcher = Searcher(Tables.of(store).cached(), configured())
     timing = stats.latencies(lambda q: searcher.hits(SearchRequest(q)), read_queries(spark, queries), repeat)
     corpus = stats.corpus_bytes(scan_folder(spark, folder, content=False)).first()[0]
     size = stored_bytes(store)
@@ -97,14 +98,14 @@ def main(argv: list[str] | None = None) -> int:
     store = IndexStore(spark, args.index or config.index_path)
     store.migrate()
     if args.command == "index":
-        outcome = Indexer(spark, store, config).index_directory(args.folder, args.prune_missing, args.force)
+        outcome = Indexer(spark, store, config, morphology=configured()).index_directory(args.folder, args.prune_missing, args.force)
         print(f"full {outcome.full}, meta {outcome.meta}, skip {outcome.skip}")
     elif args.command == "search":
-        print_hits(Searcher(Tables.of(store)), SearchRequest(args.query, args.mode, args.limit))
+        print_hits(Searcher(Tables.of(store), configured()), SearchRequest(args.query, args.mode, args.limit))
     elif args.command == "stats":
         print_stats(store)
     elif args.command == "watch":
-        query = watch(Indexer(spark, store, config), args.folder, f"{store.root}/watch-checkpoint", args.debounce_ms, lambda outcome: print(*(f"{k}: {v}" for k, v in outcome.items()), sep="\n"))
+        query = watch(Indexer(spark, store, config, morphology=configured()), args.folder, f"{store.root}/watch-checkpoint", args.debounce_ms, lambda outcome: print(*(f"{k}: {v}" for k, v in outcome.items()), sep="\n"))
         query.awaitTermination()
     else:
         found = bench(spark, store, config, args.folder, args.queries, args.repeat)

@@ -6,6 +6,8 @@ else works on bigrams.
 
 from __future__ import annotations
 
+import functools
+import importlib
 import os
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
@@ -75,6 +77,24 @@ def from_environment(make: Callable[[str, str], Analyser], variables: tuple[str,
         return None
 
 
+#: Settings of the command line's analyser: ``module:callable``, and the folder of its model, which the callable gets.
+VARIABLES = ("DOCQUARRY_ANALYSER", "DOCQUARRY_ANALYSER_MODEL")
+
+
+def load(name: str, model: str) -> Analyser:
+    module, _, call = name.partition(":")
+    return getattr(importlib.import_module(module), call)(model)
+
+
+def loaded(name: str, model: str) -> Morphology:
+    return Morphology(load(name, model))
+
+
+def configured() -> Callable[[], Morphology] | None:
+    """What makes the analyser of the settings on any executor; None where there is none or it fails here."""
+    return functools.partial(loaded, *(os.environ[v] for v in VARIABLES)) if from_environment(load, VARIABLES) else None
+
+
 def with_morph_field(bodies: DataFrame, make: Callable[[], Morphology] | None, column: str = "morph_kiwi") -> DataFrame:
     """Adds the joined content words of ``body``; empty without an analyser.
 

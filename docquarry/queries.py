@@ -6,14 +6,20 @@ contents repeat, so that documents have several paths.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.snippet import around, literal_span
+from .functions.snippet import around, literal_span, widened
 from .operators import ingest, match, postings, search, stats
 from .operators.admission import admit
+from .operators.store import IndexStore, upserted
 from .plans.parser import expansion, parse, query_tree
 from .streaming.watch import debounced
 
@@ -166,16 +172,76 @@ def phrase_in_turns(spark, sf_dir):
     return match.phrase_counts(built, query_tree(parse('"of the"')))
 
 
-def highlight_literal(spark, sf_dir):
-    """Where ``the`` first stands in each body, and the text around it, by the snippets' own functions."""
+def _highlighted(needles: list[str], wider: list[str]):
+    """Where a needle first stands in each body, and the text around it, marks widened, by the snippets' own functions."""
 
     def work(batches):
         for batch in batches:
-            rows = [(i, *span, body) for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (span := literal_span(body, ["the"]))]
-            columns = ([i for i, *_ in rows], [a for _, a, _, _ in rows], [around(body, a, n) for _, a, n, body in rows])
+            rows = [(i, *span, body) for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (span := literal_span(body, needles))]
+            columns = ([i for i, *_ in rows], [a for _, a, _, _ in rows], [widened(around(body, a, n), wider) for _, a, n, body in rows])
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string()), strict=True)], names=["document_id", "position", "snippet"])
 
-    return _bodies(spark, sf_dir).mapInArrow(work, "document_id string, position long, snippet string")
+    return lambda spark, sf_dir: _bodies(spark, sf_dir).mapInArrow(work, "document_id string, position long, snippet string")
+
+
+def _store(spark: SparkSession) -> IndexStore:
+    """An empty index in the session's shared folder, deleted when the driver ends."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="docquarry-index-")
+    store = IndexStore(spark, f"{folder}/index-{uuid.uuid4().hex}")
+    atexit.register(_delete, spark, store.root)
+    store.migrate()
+    return store
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended first
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_LIVED: dict[tuple[str, str], IndexStore] = {}
+
+
+def _lived(spark: SparkSession, sf_dir: str) -> IndexStore:
+    """A stored index of all files of text, after those of src2 changed and those of src1 went; made once a session."""
+    of = (spark.sparkContext.applicationId, sf_dir)
+    if of in _LIVED and _LIVED[of].layout():  # and its folder is still there
+        return _LIVED[of]
+    rows = files(spark, sf_dir).where("extension = 'txt'").select("path", "length", "modified_at", F.col("text").cast("binary").alias("content"))
+    store = _store(spark)
+    indexer = ingest.Indexer(spark, store)
+    indexer.index_files(rows)
+    changed = F.concat(F.lit("changed ").cast("binary"), "content")
+    indexer.index_files(rows.where(F.col("path").startswith("/corpus/src2/")).withColumn("content", changed).withColumn("length", F.octet_length("content").cast("long")))
+    indexer.remove_paths(rows.where(F.col("path").startswith("/corpus/src1/")).select("path"))
+    _LIVED[of] = store
+    return store
+
+
+def index_documents(spark, sf_dir):
+    """Documents of a changed index with their bodies' lengths and numbers of paths: none without a path."""
+    store = _lived(spark, sf_dir)
+    counted = store.read("paths").groupBy("document_id").agg(F.count("*").alias("n_paths"))
+    sizes = store.read("document_bodies").select("document_id", F.length("body").cast("long").alias("body_chars"))
+    return store.read("documents").select("document_id", "file_size", "text_bytes", "index_tier", "index_status").join(counted, "document_id").join(sizes, "document_id")
+
+
+def index_terms(spark, sf_dir):
+    """Terms of a changed index, of bodies and of file names."""
+    store = _lived(spark, sf_dir)
+    rows = store.read("content_postings").where("field = 'body'").unionByName(store.read("filename_postings"))
+    return rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+def index_search(spark, sf_dir):
+    """A search of a changed index as users see it: hits of words that a change brought, without their ranks' last digits."""
+    searcher = search.Searcher(search.Tables.of(_lived(spark, sf_dir)))
+    rows = searcher.search(search.SearchRequest('changed the', limit=20))
+    return rows.select("path", "filename", (F.round("rank", 6) + F.lit(0.0)).alias("rank"), "match_kind")
 
 
 def session_debounce(spark, sf_dir):
@@ -193,8 +259,6 @@ def remove_path_effect(spark, sf_dir):
 def upsert_paths(spark, sf_dir):
     """Paths after those of src2 were written again with the content of nothing."""
     old = paths(spark, sf_dir)
-    from .operators.store import upserted
-
     new = old.where(F.col("path").startswith("/corpus/src2/")).withColumn("document_id", F.sha2(F.lit("").cast("binary"), 256))
     return upserted(old, new, "path").groupBy("document_id").agg(F.count("*").alias("n_paths"))
 
@@ -230,7 +294,8 @@ QUERIES = {
     "bm25_topk": _ranked("the AND erin"), "bm25_or_partial": _ranked("der OR the erin", 50), "bm25_phrase": _ranked('"of the" OR er*', 50), "bm25_weighted": _ranked("th", 50, ("body", "morph")),
     "search_content_dedup": _content_search("the of"), "search_content_filtered": _content_search("the ext:txt path:SRC1 modified>2026-02-01 modified<2026-11-01", 50), "search_filename": search_filename, "phrase_in_turns": phrase_in_turns,
     "filter_ext": _path_filter("ext:.DOCX"), "filter_path": _path_filter("path:SRC1%/EN"), "filter_tier": _path_filter("tier:meta"), "filter_drm": _path_filter("drm:true"), "filter_not_drm": _path_filter("drm:false"), "filter_modified_range": _path_filter("modified>2026-03-01 modified<2026-04-01"),
-    "highlight_literal": highlight_literal, "session_debounce": session_debounce, "remove_path_effect": remove_path_effect, "upsert_paths": upsert_paths, "latest_per_document": latest_per_document, "match_kind": match_kind,
+    "highlight_literal": _highlighted(["the"], []), "highlight_widened": _highlighted(["th", "er"], ["that", "THE", "erin"]),
+    "index_documents": index_documents, "index_terms": index_terms, "index_search": index_search, "session_debounce": session_debounce, "remove_path_effect": remove_path_effect, "upsert_paths": upsert_paths, "latest_per_document": latest_per_document, "match_kind": match_kind,
     "snippets": snippets,
 }
 
@@ -308,6 +373,23 @@ def _p(*tokens: str, prefix: bool = False) -> tuple[tuple[str, ...], bool]:
 
 BODY_AND_MORPH = BODY.replace("toks AS (", "toks AS (SELECT document_id, 'morph' AS field, 1 AS t, " + TOKENS.format("array_to_string(" + BIGRAMS.format("body") + ", ' ')") + " AS ts FROM bodies UNION ALL ", 1)
 
+#: The files of text after those of src2 changed and those of src1 went.
+LIVED = FILES + """, lived AS (
+  SELECT path, filename, text, sha256(text) AS document_id FROM (
+    SELECT path, filename, CASE WHEN starts_with(path, '/corpus/src2/') THEN 'changed ' || text ELSE text END AS text FROM files WHERE extension = 'txt' AND skip_reason IS NULL AND NOT starts_with(path, '/corpus/src1/'))
+), bodies AS (SELECT document_id, min(text) AS body, count(*) AS n_paths FROM lived GROUP BY document_id)"""
+LIVED_TOKENS = "toks AS (SELECT document_id, 'body' AS field, " + TOKENS.format("body") + " AS ts FROM bodies UNION ALL SELECT path, 'filename', " + TOKENS.format("filename") + " FROM lived)"
+LIVED_TEXTS = "toks AS (SELECT document_id, field, " + TOKENS.format("t") + " AS ts FROM (SELECT document_id, 'body' AS field, body AS t FROM bodies UNION ALL SELECT document_id, 'morph', array_to_string(" + BIGRAMS.format("body") + ", ' ') FROM bodies))"
+
+
+def _lived_search_sql() -> str:
+    phrases = [_p("changed"), _p("the")]
+    hits = _hits_sql(phrases, "m0 AND m1", "s0 + s1")[2:]  # files and bodies are those of the changed index
+    tail = """SELECT path, filename, round(rank, 6) + 0.0::DOUBLE AS rank, 'EXACT' AS match_kind FROM (
+      SELECT l.path, l.filename, h.rank, row_number() OVER (PARTITION BY h.document_id ORDER BY l.path) AS k FROM hits h JOIN lived l USING (document_id)) WHERE k = 1 ORDER BY round(rank, 8), path LIMIT 20"""
+    return _with(LIVED, LIVED_TEXTS, *hits, tail=tail)
+
+
 SQL = {
     "tok_terms_df": "SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(" + TOKENS.format("text") + ") AS term FROM documents) GROUP BY ALL) GROUP BY term",
     "tok_bigrams": "SELECT gram, count(*) AS n FROM (SELECT unnest(" + BIGRAMS.format("text") + ") AS gram FROM documents) GROUP BY gram",
@@ -341,6 +423,14 @@ SQL = {
     "highlight_literal": _with(FILES, tail="""SELECT document_id, ps - 1 AS position,
         CASE WHEN s > 0 THEN '...' ELSE '' END || substr(body, s + 1, ps - 1 - s) || '>>' || substr(body, ps, 3) || '<<' || substr(body, ps + 3, e - (ps + 2)) || CASE WHEN e < length(body) THEN '...' ELSE '' END AS snippet
         FROM (SELECT *, greatest(ps - 41, 0) AS s, least(ps + 42, length(body)) AS e FROM (SELECT document_id, body, strpos(lower(body), 'the') AS ps FROM docs WHERE index_tier = 'FULL') WHERE ps > 0)"""),
+    "highlight_widened": _with(FILES, tail="""SELECT document_id, ps - 1 AS position,
+        CASE WHEN s > 0 THEN '...' ELSE '' END || substr(body, s + 1, ps - 1 - s) || '>>' || substr(body, ps, 2 + more) || '<<' || substr(body, ps + 2 + more, e - (ps + 1 + more)) || CASE WHEN e < length(body) THEN '...' ELSE '' END AS snippet
+        FROM (SELECT *, CASE WHEN lower(substr(body, ps, least(4, e - ps + 1))) IN ('that', 'erin') THEN 2 WHEN lower(substr(body, ps, 3)) = 'the' THEN 1 ELSE 0 END AS more
+        FROM (SELECT *, greatest(ps - 41, 0) AS s, least(ps + 41, length(body)) AS e
+        FROM (SELECT document_id, body, CASE WHEN contains(lower(body), 'th') THEN strpos(lower(body), 'th') ELSE strpos(lower(body), 'er') END AS ps FROM docs WHERE index_tier = 'FULL') WHERE ps > 0))"""),
+    "index_documents": _with(LIVED, tail="SELECT document_id, strlen(body)::BIGINT AS file_size, strlen(body)::BIGINT AS text_bytes, 'FULL' AS index_tier, 'INDEXED' AS index_status, n_paths, length(body) AS body_chars FROM bodies"),
+    "index_terms": _with(LIVED, LIVED_TOKENS, tail="SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT field, document_id, term, count(*) AS tf FROM (SELECT field, document_id, unnest(ts) AS term FROM toks) GROUP BY ALL) GROUP BY field, term"),
+    "index_search": _lived_search_sql(),
     "session_debounce": """SELECT min(ts) AS session_start, max(ts) + INTERVAL 10 MINUTE AS session_end, count(DISTINCT user_id) AS n_paths FROM (
         SELECT ts, user_id, sum(begins) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM (
           SELECT ts, user_id, CASE WHEN ts > lag(ts) OVER (ORDER BY ts) + INTERVAL 10 MINUTE OR lag(ts) OVER (ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS begins FROM events WHERE ts IS NOT NULL)) GROUP BY session""",

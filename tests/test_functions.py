@@ -68,3 +68,19 @@ def test_snippet_keeps_the_text(words, wanted):
     text = " ".join(words)
     shown = snippet(text, [Phrase((w,)) for w in wanted])
     assert shown.replace(">>", "").replace("<<", "").strip(".").strip() in text
+
+
+def test_analyser_of_the_settings(monkeypatch):
+    import pickle
+
+    from docquarry.functions import morph
+
+    for name in morph.VARIABLES:
+        monkeypatch.delenv(name, raising=False)
+    assert morph.configured() is None
+    monkeypatch.setenv(morph.VARIABLES[0], "samples:analyser_of")
+    assert morph.configured() is None
+    monkeypatch.setenv(morph.VARIABLES[1], "somewhere")
+    assert isinstance(pickle.loads(pickle.dumps(morph.configured()))(), morph.Morphology)
+    monkeypatch.setenv(morph.VARIABLES[0], "samples:nothing")
+    assert morph.configured() is None
