@@ -9,6 +9,10 @@ class IndexingError(DocquarryError):
     """The index can't be read or written."""
 
 
+class ConflictError(IndexingError):
+    """Another writer has published a version since the one that this change begins from."""
+
+
 class SearchError(DocquarryError):
     """A query that can't be understood or run."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..errors import ConflictError
 from ..functions.morph import Morphology, with_morph_field
 from ..functions.text import bigrams, joined
 from ..schema import FIELD_WEIGHTS
@@ -16,7 +17,7 @@ from ..sources.extract import Extractor, with_bodies
 from ..sources.scan import canonical, scan_folder
 from . import postings
 from .admission import admit
-from .store import IndexStore, upserted
+from .store import Change, IndexStore, upserted
 
 FIELDS = list(FIELD_WEIGHTS)
 
@@ -93,55 +94,62 @@ class Indexer:
 
         Content that is known is not extracted again, whatever tier it got, unless ``force``.
         A file whose content changed leaves its old document, which goes if no path has it any more.
+        Only what is new or changed is written.
         """
-        store, checked = self.store, admit(files, self.config)
+        return _again(lambda: self._index_files(files, force))
+
+    def _index_files(self, files: DataFrame, force: bool) -> Outcome:
+        now, checked = self.store.snapshot(), admit(files, self.config)
         kept = identified(checked.where("skip_reason IS NULL AND content IS NOT NULL"))
-        old = store.read("documents")
+        old, old_paths = now.read("documents"), now.read("paths")
         unknown = kept if force else kept.join(old.select("document_id"), "document_id", "left_anti")
         extracted = with_bodies(first_of_each(unknown).select("document_id", "path", "extension", "length", "content"), self.extractors).cache()
         paths = kept.select("path", "document_id", "filename", "extension", "modified_at", F.current_timestamp().alias("seen_at")).dropDuplicates(["path"]).cache()
+        known = old_paths.select("path", "document_id").join(paths.select("path"), "path", "left_semi").cache()
         try:
-            new_documents = document_rows(extracted)
-            all_documents, all_paths = upserted(old, new_documents, "document_id"), upserted(store.read("paths"), paths, "path")
-            bodies = upserted(store.read("document_bodies"), extracted.where("error IS NULL").select("document_id", "body"), "document_id")
-            tiers = all_documents.select("document_id", "index_tier")
+            fresh = extracted.join(paths.select("document_id"), "document_id", "left_semi")
+            read = fresh.where("error IS NULL")
+            tiers = upserted(old, document_rows(fresh), "document_id").select("document_id", "index_tier")
             done = checked.select("path", "skip_reason").join(paths.select("path", "document_id"), "path", "left").join(tiers, "document_id", "left")
             counts = tally(done.select(F.when(F.col("document_id").isNull(), "SKIP").otherwise(F.col("index_tier")).alias("outcome"))).first()
-            fields = content_fields(extracted.where("error IS NULL"), self.morphology)
-            content = replaced(store.read("content_postings"), postings.build(fields, "document_id", FIELDS), extracted.select(F.col("document_id").alias("key")))
-            stats = upserted(store.read("content_stats"), postings.key_stats(fields, "document_id", FIELDS), "key")
-            names = paths.select("path", "filename")
-            name_postings = replaced(store.read("filename_postings"), postings.build(names, "path", ["filename"]), names.select(F.col("path").alias("key")))
-            name_stats = upserted(store.read("filename_stats"), postings.key_stats(names, "path", ["filename"]), "key")
-            self._publish(all_documents, all_paths, bodies, content, stats, name_postings, name_stats)
+            left = known.join(paths, ["path", "document_id"], "left_anti").select("document_id").distinct()
+            gone = orphans(left, upserted(old_paths, paths, "path"))
+            if force:
+                gone = gone.unionByName(fresh.select("document_id"))
+            fields = content_fields(read, self.morphology)
+            names = paths.join(known.select("path"), "path", "left_anti").select("path", "filename")  # a known path's name is indexed
+            self.store.publish({
+                "documents": Change(document_rows(fresh), gone), "paths": Change(paths, known.select("path")), "document_bodies": Change(read.select("document_id", "body"), gone),
+                "content_postings": Change(postings.laid_out(postings.build(fields, "document_id", FIELDS)), gone), "content_stats": Change(postings.key_stats(fields, "document_id", FIELDS), gone),
+                "filename_postings": Change(postings.laid_out(postings.build(names, "path", ["filename"]))), "filename_stats": Change(postings.key_stats(names, "path", ["filename"])),
+            }, now)
         finally:
-            extracted.unpersist()
-            paths.unpersist()
+            for df in (extracted, paths, known):
+                df.unpersist()
         return Outcome(counts["full"], counts["meta"], counts["skip"])
 
     def remove_paths(self, gone: DataFrame) -> None:
         """Takes out paths, and documents that no path has any more; unknown paths do nothing."""
-        store, keys = self.store, gone.select("path").distinct()
-        paths = store.read("paths").join(keys, "path", "left_anti")
-        names = keys.select(F.col("path").alias("key"))
-        without = lambda name: store.read(name).join(names, "key", "left_anti")
-        self._publish(store.read("documents"), paths, store.read("document_bodies"), store.read("content_postings"), store.read("content_stats"), without("filename_postings"), without("filename_stats"))
-
-    def _publish(self, documents: DataFrame, paths: DataFrame, bodies: DataFrame, content: DataFrame, stats: DataFrame, name_postings: DataFrame, name_stats: DataFrame) -> None:
-        """Writes a version without orphans: everything of a document goes with its last path."""
-        live = paths.select("document_id").distinct().cache()
-        owned = lambda df, key: df.join(live.withColumnRenamed("document_id", key), key, "left_semi")
-        self.store.publish({
-            "documents": owned(documents, "document_id"), "paths": paths, "document_bodies": owned(bodies, "document_id"),
-            "content_postings": postings.laid_out(owned(content, "key")), "content_stats": owned(stats, "key"),
-            "filename_postings": postings.laid_out(name_postings), "filename_stats": name_stats,
-        })
-        live.unpersist()
-
-
-def replaced(old: DataFrame, new: DataFrame, keys: DataFrame) -> DataFrame:
-    """Postings with those of the given keys replaced by the new ones."""
-    return old.join(keys.distinct(), "key", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+        _again(lambda: self._remove_paths(gone))
+
+    def _remove_paths(self, gone: DataFrame) -> None:
+        now, names = self.store.snapshot(), gone.select("path").distinct()
+        paths = now.read("paths")
+        known = paths.select("path", "document_id").join(names, "path", "left_semi")
+        without, last = known.select("path"), orphans(known.select("document_id").distinct(), paths.join(names, "path", "left_anti"))
+        by_path, by_document = ("paths", "filename_postings", "filename_stats"), ("documents", "document_bodies", "content_postings", "content_stats")
+        self.store.publish({n: Change(gone=without) for n in by_path} | {n: Change(gone=last) for n in by_document}, now)
+
+
+def _again(work: Callable[[], Outcome | None], tries: int = 5) -> Outcome | None:
+    """Does the work from the newest version, again where another writer came first."""
+    for left in reversed(range(tries)):
+        try:
+            return work()
+        except ConflictError:
+            if not left:
+                raise
+    return None
 
 
 def orphans(documents: DataFrame, paths: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType, TimestampType
 
 #: Version of the layout below; it rises with every change of it.
-LAYOUT = 1
+LAYOUT = 2
 
 
 def _table(*columns: tuple) -> StructType:
@@ -28,6 +28,10 @@ HITS = _table(("path", StringType()), ("filename", StringType()), ("snippet", St
 TABLES = {
     "documents": DOCUMENTS, "paths": PATHS, "document_bodies": BODIES, "content_postings": POSTINGS, "content_stats": KEY_STATS, "filename_postings": POSTINGS, "filename_stats": KEY_STATS,
 }
+#: The key by which a table's rows are replaced and go.
+KEYS = {
+    "documents": "document_id", "paths": "path", "document_bodies": "document_id", "content_postings": "key", "content_stats": "key", "filename_postings": "key", "filename_stats": "key",
+}
 
 TIERS = ("FULL", "META", "SKIP")
 #: Weights of the content fields in ranking.

@@ -1,18 +1,20 @@
 """Folders to hits, as the tables of an index go through their versions."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from samples import docx, morphology, pptx, xlsx
 
 from docquarry.config import Config
-from docquarry.errors import IndexingError, SearchError
+from docquarry.errors import ConflictError, IndexingError, SearchError
 from docquarry.operators.admission import COMPRESSED, OVERSIZED, TEMP, UNSUPPORTED, admit
 from docquarry.operators.ingest import Indexer, Outcome
 from docquarry.operators.search import Searcher, SearchRequest, Tables
 from docquarry.operators.stats import demotion_counts, tier_counts
-from docquarry.operators.store import IndexStore
+from docquarry.operators.store import FAN, Change, IndexStore
+from docquarry.schema import LAYOUT, TABLES
 from docquarry.sources.scan import scan_folder
 
 
@@ -109,17 +111,87 @@ def test_bigrams_only(made):
 
 def test_store(spark, tmp_path):
     store = IndexStore(spark, str(tmp_path / "i"))
-    assert store.migrate() == 1 and store.migrate() == 1 and store.version() == 1
+    assert store.migrate() == LAYOUT and store.migrate() == LAYOUT and store.version() == 1
     assert store.get_body("x") is None
     store.put_body("x", "one")
     store.put_body("x", "two")
     assert store.get_body("x") == "two" and store.read("paths").count() == 0
-    late = spark.createDataFrame([(9, 99, "paths", "nowhere")], "version long, layout int, table string, location string").withColumn("applied_at", F.current_timestamp())
-    late.write.mode("append").parquet(f"{store.root}/catalog")
+    (tmp_path / "i" / "versions" / "000000000009.json").write_text('{"version": 9, "layout": 99, "tables": {}}')
     with pytest.raises(IndexingError):
         store.migrate()
 
 
+def test_whole_tables_of_the_first_layout(spark, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "i"))
+    spark.createDataFrame([("x", "kept")], "document_id string, body string").write.parquet(f"{store.root}/tables/document_bodies/3-a")
+    spark.createDataFrame([(3, 1, "document_bodies", "tables/document_bodies/3-a"), (2, 1, "document_bodies", "nowhere")], "version long, layout int, table string, location string").write.parquet(f"{store.root}/catalog")
+    assert store.migrate() == LAYOUT and store.get_body("x") == "kept"
+
+
+def bodies(store):
+    return {r["document_id"]: r["body"] for r in store.read("document_bodies").collect()}
+
+
+def test_segments_and_marks(spark, tmp_path):
+    """Any run of changes reads like a dictionary, whatever was merged meanwhile, and old versions stay as they are."""
+    rng, store, want = random.Random(3), IndexStore(spark, str(tmp_path / "i")), {}
+    store.migrate()
+    early = None
+    for step in range(2 * FAN + 3):
+        keys = rng.sample("abcdefgh", 3)
+        new = {k: f"{k}{step}" for k in keys[:2]} if step % 4 else {}
+        rows = spark.createDataFrame(list(new.items()), TABLES["document_bodies"])
+        store.publish({"document_bodies": Change(rows, spark.createDataFrame([(k,) for k in keys], "k string"))})
+        want = {k: v for k, v in want.items() if k not in keys} | new
+        parts = store.snapshot().tables["document_bodies"]
+        assert bodies(store) == want and len(parts["segments"]) < FAN and len(parts["gone"]) < FAN
+        if step == 5:
+            early = store.snapshot(), dict(want)
+    assert {r[0]: r[1] for r in early[0].read("document_bodies").collect()} == early[1]
+    store.compact()
+    parts = store.snapshot().tables["document_bodies"]
+    assert bodies(store) == want and len(parts["segments"]) == 1 and not parts["gone"]
+    assert store.vacuum(keep=1) == 0 and store.vacuum(keep=1, hours=-1) > 0 and bodies(store) == want and len(os.listdir(tmp_path / "i" / "tables" / "document_bodies")) == 1
+
+
+def test_of_two_writers_one_begins_again(spark, made):
+    folder, store, index, hits = made
+    index({"a.txt": "봄 여름"})
+    base = store.snapshot()
+    store.publish({}, base)
+    with pytest.raises(ConflictError):
+        store.publish({}, base)
+    (folder / "b.txt").write_text("가을")
+    first, took = store.snapshot, []
+
+    def late():  # another writer comes between the first look and the publication
+        found = first()
+        if not took:
+            took.append(found)
+            Indexer(spark, IndexStore(spark, store.root)).remove_paths(spark.createDataFrame([(str(folder / "a.txt"),)], "path string"))
+        return found
+
+    store.snapshot = late
+    try:
+        Indexer(spark, store).index_document(str(folder / "b.txt"))
+    finally:
+        del store.snapshot
+    assert hits("여름") == [] and [n for n, *_ in hits("가을")] == ["b.txt"] and store.read("documents").count() == 1
+
+
+def test_a_change_writes_only_its_rows(made):
+    _, store, index, hits = made
+    index({f"{i}.txt": f"같은 글 {i}" for i in range(30)})
+    before = {e["location"] for parts in store.snapshot().tables.values() for e in parts["segments"]}
+    index({"7.txt": "새로운 글"})
+    tables = store.snapshot().tables
+    assert before <= {e["location"] for parts in tables.values() for e in parts["segments"]}
+    new = {n: [e for e in parts["segments"] if e["location"] not in before] for n, parts in tables.items()}
+    rows = {n: store.rows(n, es, []).count() for n, es in new.items()}
+    assert rows["documents"] == rows["document_bodies"] == rows["content_stats"] == 1 and rows["filename_postings"] == rows["filename_stats"] == 0
+    assert [n for n, *_ in hits("새로운")] == ["7.txt"] and len(hits("글", limit=-1)) == 30 and store.read("documents").count() == 30
+
+
 def test_scan(spark, tmp_path):
     (tmp_path / "_a").mkdir()
     (tmp_path / "_a" / ".b c%20.txt").write_bytes(b"hello")
