@@ -100,6 +100,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "index":
         outcome = Indexer(spark, store, config, morphology=configured()).index_directory(args.folder, args.prune_missing, args.force)
         print(f"full {outcome.full}, meta {outcome.meta}, skip {outcome.skip}")
+        store.vacuum()
     elif args.command == "search":
         print_hits(Searcher(Tables.of(store), configured()), SearchRequest(args.query, args.mode, args.limit))
     elif args.command == "stats":

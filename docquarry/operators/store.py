@@ -142,21 +142,23 @@ class IndexStore:
     def vacuum(self, keep: int = 10, hours: float = 24) -> int:
         """Deletes versions but the last ``keep``, and what only they had; how many segments and marks went.
 
-        Nothing younger than ``hours`` goes, as it may be of a version that is being written or read.
+        What was the newest version at any time in the last ``hours`` stays, as it may be being read, and so
+        do younger files, as they may be of a version that is being written.
         """
+        before, went, kept, old = (time.time() - hours * 3600) * 1000, 0, [], []
         numbers = self._versions()
-        kept, old = numbers[-keep:], numbers[:-keep]
-        used = set()
-        for n in kept:
-            used |= {e["location"] for parts in self._load(n).tables.values() for e in parts["segments"] + parts["gone"]}
-        before, went = (time.time() - hours * 3600) * 1000, 0
+        for n, later in zip(numbers, [*numbers[1:], None], strict=True):
+            files, path = self._at(f"versions/{later or n:012d}.json")
+            recent = later is None or n in numbers[-keep:] or files.getFileStatus(path).getModificationTime() >= before
+            (kept if recent else old).append(n)
+        used = {e["location"] for n in kept for parts in self._load(n).tables.values() for e in parts["segments"] + parts["gone"]}
         for n in old:
             files, path = self._at(f"versions/{n:012d}.json")
             files.delete(path, False)
         for folder in ("gone", *(f"tables/{name}" for name in TABLES)):
             files, path = self._at(folder)
             for status in files.listStatus(path) if files.exists(path) else ():
-                if f"{folder}/{status.getPath().getName()}" not in used and status.getModificationTime() <= before:
+                if f"{folder}/{status.getPath().getName()}" not in used and status.getModificationTime() < before:
                     files.delete(status.getPath(), True)
                     went += 1
         return went
