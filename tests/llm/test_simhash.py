@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -175,6 +176,19 @@ def test_frequent_shingles(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in similar.similar_groups(docs).collect()} == similar_groups(rows)
 
 
+def test_buckets_make_no_rows(spark):
+    """What comes back of a text's shingles is the same rows in one bucket and in many."""
+    rng = random.Random(21)
+    shared = [f"s{k}" for k in range(200)]
+    rows = [(i, " ".join(shared[i : i + 60] + [f"o{i}x{k}" for k in range(rng.randrange(5, 40))])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    none = np.zeros(similar.SET_BITS // 8, np.uint8)
+    one, many = ([tuple(r) for r in similar.shared_shingles(docs, docs.select("doc_id"), none, 5, 0.8, n).collect()] for n in (1, 16))
+    assert len(one) == len(many) and sorted(one) == sorted(many)
+    times = Counter(w for _, t in rows for w in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    assert len(one) == sum(n for n in times.values() if n > 1)
+
+
 def test_ids_with_several_texts(spark):
     """One text of an id counts, and all its rows go or stay."""
     a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
