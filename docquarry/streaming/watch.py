@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import TimestampNTZType
 
 from ..operators.ingest import Indexer
 from ..sources.changes import CREATE, DELETE, MODIFY, begin, watch_folder
@@ -30,21 +31,40 @@ def relevant(changes: DataFrame) -> DataFrame:
 def debounced(changes: DataFrame, gap: str, lateness: str = LATENESS) -> DataFrame:
     """``session_start, session_end, paths``: one global session that any path prolongs, the gap itself included.
 
-    On a stream the watermark lets append mode close sessions.  A table is dealt out by ranges of time;
-    a range knows its session from the ends of the ranges before it.
+    On a stream the watermark lets append mode close sessions.
     """
     if changes.isStreaming:
         rows = changes.withWatermark("ts", lateness).groupBy(F.session_window("ts", gap).alias("w")).agg(F.collect_set("path").alias("paths"))
         return rows.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "paths")
-    step, earlier = F.expr(f"INTERVAL {gap}"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    ranged = changes.where("ts IS NOT NULL").select("ts", "path").repartitionByRange("ts").withColumn("part", F.spark_partition_id())
-    ends = ranged.groupBy("part").agg(F.max("ts").alias("last")).select("part", F.max("last").over(earlier).alias("past"))
-    before = F.coalesce(F.lag("ts").over(Window.partitionBy("part").orderBy("ts")), "past")
-    begun = ranged.join(F.broadcast(ends), "part").withColumn("begins", F.when(before.isNull() | (F.col("ts") > before + step), F.col("ts")))
+    return sessions(changes, gap).groupBy("session_start").agg(F.max("session_end").alias("session_end"), F.collect_set("path").alias("paths"))
+
+
+#: Slots that one task puts in order together.
+SLOTS = 4096
+
+
+def sessions(changes: DataFrame, gap: str) -> DataFrame:
+    """``session_start, path, session_end`` of a table's sessions: a row for each of their paths, with the end that this path gives.
+
+    Time is cut into slots of the gap's length, which no session ends within, so a slot's first and last instants say
+    whether one begins there.  Slots depend on nothing but the instants: what is read more than once gives the same.
+    """
+    step = F.expr(f"INTERVAL {gap}")
+    if changes.schema["ts"].dataType == TimestampNTZType():  # no zone's clock changes are in its way
+        seconds = F.datediff("ts", F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour("ts") * 3600 + F.minute("ts") * 60
+        micros = seconds * 1000000 + (F.expr("extract(SECOND FROM ts)") * 1000000).cast("long")
+    else:
+        micros = F.unix_micros("ts")
+    timed = changes.where("ts IS NOT NULL").select("ts", "path", micros.alias("micros"), F.expr(f"greatest(unix_micros(timestamp_micros(0) + INTERVAL {gap}), 1L)").alias("width"))
+    seen = timed.groupBy(F.expr("(micros - pmod(micros, width)) div width").alias("slot"), "path").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    slots = seen.groupBy("slot").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("part", F.floor(F.col("slot") / SLOTS))
+    own, earlier = Window.partitionBy("part").orderBy("slot"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a part
+    ends = slots.groupBy("part").agg(F.max("last").alias("last")).select("part", F.max("last").over(earlier).alias("past"))
+    before = F.coalesce(F.lag("last").over(own), "past")
+    begun = slots.join(ends, "part").withColumn("begins", F.when(before.isNull() | (F.col("first") > before + step), F.col("first")))
     latest = begun.groupBy("part").agg(F.max("begins").alias("begin")).select("part", F.max("begin").over(earlier).alias("open"))
-    own = F.max("begins").over(Window.partitionBy("part").orderBy("ts"))
-    rows = begun.withColumn("own", own).join(F.broadcast(latest), "part").select(F.coalesce("own", "open").alias("session_start"), "ts", "path")
-    return rows.groupBy("session_start").agg((F.max("ts") + step).alias("session_end"), F.collect_set("path").alias("paths"))
+    starts = begun.withColumn("own", F.max("begins").over(own)).join(latest, "part").select("slot", F.coalesce("own", "open").alias("session_start"))
+    return seen.join(starts, "slot").groupBy("session_start", "path").agg((F.max("last") + step).alias("session_end"))
 
 
 def resolve(indexer: Indexer, paths: list[str]) -> dict[str, str]:

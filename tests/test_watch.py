@@ -1,3 +1,5 @@
+import pytest
+
 from docquarry.operators.ingest import Indexer
 from docquarry.operators.search import Searcher, SearchRequest, Tables
 from docquarry.operators.store import IndexStore
@@ -16,6 +18,15 @@ def test_sessions(spark):
     assert [sorted(r["paths"]) for r in found] == [["a", "b"], ["c"], ["a"]]
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_sessions_of_many_rows(spark, kind):
+    """Each of 300 sessions has 1000 events, a second apart and in no order, a few instants twice; its last gap is the one allowed."""
+    at = "(id DIV 1000) * 3000 + (id * 7919 % 1000) + CASE WHEN id * 7919 % 1000 = 999 THEN 599 ELSE 0 END"
+    rows = spark.range(0, 300000, 1, 6).selectExpr(f"CAST(timestamp_seconds(1767225600 + {at}) AS {kind}) AS ts", "CAST(id % 5 AS STRING) AS path")
+    found = debounced(rows.unionByName(rows.limit(2000)), "10 minutes").selectExpr("unix_seconds(CAST(session_start AS TIMESTAMP)) AS a", "unix_seconds(CAST(session_end AS TIMESTAMP)) AS b", "size(paths) AS n")
+    assert sorted(map(tuple, found.collect())) == [(1767225600 + k * 3000, 1767225600 + k * 3000 + 2198, 5) for k in range(300)]
+
+
 def test_resolve(spark, tmp_path):
     folder, store = tmp_path / "in", IndexStore(spark, str(tmp_path / "index"))
     (folder / "sub").mkdir(parents=True)
