@@ -58,12 +58,13 @@ def bigrams(text: Column) -> Column:
     return F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= 1, F.array(w)).otherwise(pairs(w))))
 
 
-def bigrams_py(text: str) -> list[str]:
-    return [x for w in text.split() for x in ([w] if len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)])]
+def bigram_text(text: Column) -> Column:
+    """A text with the tokens of its ``bigrams``, joined: inner characters of a word stand twice, white space stays."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)(?<=\S)(\S)(?=\S)", "$1 $1")
 
 
-def joined(tokens: Column) -> Column:
-    return F.array_join(tokens, " ")
+def bigrams_py(text: str) -> list[str]:
+    return [x for w in text.split() for x in ([w] if len(w) == 1 else [w[i : i + 2] for i in range(len(w) - 1)])]
 
 
 def filename(path: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..errors import ConflictError
 from ..functions.morph import Morphology, with_morph_field
-from ..functions.text import bigrams, joined
+from ..functions.text import bigram_text
 from ..schema import FIELD_WEIGHTS
 from ..sources.extract import Extractor, with_bodies
 from ..sources.scan import canonical, scan_folder
@@ -58,8 +58,8 @@ def document_rows(extracted: DataFrame, *more: str) -> DataFrame:
 
 
 def content_fields(bodies: DataFrame, morphology: Callable[[], Morphology] | None = None) -> DataFrame:
-    """``document_id, body, morph, morph_kiwi``: the text, its bigrams, and its content words."""
-    return with_morph_field(bodies.select("document_id", "body").withColumn("morph", joined(bigrams(F.col("body")))), morphology)
+    """``document_id, body, morph, morph_kiwi``: the text, the tokens of its bigrams, and its content words."""
+    return with_morph_field(bodies.select("document_id", "body").withColumn("morph", bigram_text(F.col("body"))), morphology)
 
 
 def tally(paths: DataFrame) -> DataFrame:
@@ -103,12 +103,13 @@ class Indexer:
         kept = identified(checked.where("skip_reason IS NULL AND content IS NOT NULL"))
         old, old_paths = now.read("documents"), now.read("paths")
         unknown = kept if force else kept.join(old.select("document_id"), "document_id", "left_anti")
-        extracted = with_bodies(first_of_each(unknown).select("document_id", "path", "extension", "length", "content"), self.extractors).cache()
+        extracted = with_bodies(first_of_each(unknown).select("document_id", "path", "extension", "length", "content"), self.extractors)
         paths = kept.select("path", "document_id", "filename", "extension", "modified_at", F.current_timestamp().alias("seen_at")).dropDuplicates(["path"]).cache()
         known = old_paths.select("path", "document_id").join(paths.select("path"), "path", "left_semi").cache()
+        fresh = extracted.join(paths.select("document_id"), "document_id", "left_semi").cache()
         try:
-            fresh = extracted.join(paths.select("document_id"), "document_id", "left_semi")
             read = fresh.where("error IS NULL")
+            size = read.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
             tiers = upserted(old, document_rows(fresh), "document_id").select("document_id", "index_tier")
             done = checked.select("path", "skip_reason").join(paths.select("path", "document_id"), "path", "left").join(tiers, "document_id", "left")
             counts = tally(done.select(F.when(F.col("document_id").isNull(), "SKIP").otherwise(F.col("index_tier")).alias("outcome"))).first()
@@ -118,13 +119,15 @@ class Indexer:
                 gone = gone.unionByName(fresh.select("document_id"))
             fields = content_fields(read, self.morphology)
             names = paths.join(known.select("path"), "path", "left_anti").select("path", "filename")  # a known path's name is indexed
+            name_bytes = paths.agg(F.coalesce(F.sum(F.octet_length("path") + F.octet_length("filename")), F.lit(0))).first()[0]
             self.store.publish({
                 "documents": Change(document_rows(fresh), gone), "paths": Change(paths, known.select("path")), "document_bodies": Change(read.select("document_id", "body"), gone),
-                "content_postings": Change(postings.laid_out(postings.build(fields, "document_id", FIELDS)), gone), "content_stats": Change(postings.key_stats(fields, "document_id", FIELDS), gone),
-                "filename_postings": Change(postings.laid_out(postings.build(names, "path", ["filename"]))), "filename_stats": Change(postings.key_stats(names, "path", ["filename"])),
+                "content_postings": Change(postings.whole(fields, "document_id", FIELDS, size), gone),
+                "content_stats": Change(lambda new: postings.sums(new["content_postings"], read.select("document_id")), gone),
+                "filename_postings": Change(postings.whole(names, "path", ["filename"], name_bytes)), "filename_stats": Change(postings.key_stats(names, "path", ["filename"])),
             }, now)
         finally:
-            for df in (extracted, paths, known):
+            for df in (fresh, paths, known):
                 df.unpersist()
         return Outcome(counts["full"], counts["meta"], counts["skip"])
 

@@ -15,6 +15,7 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -30,13 +31,18 @@ FAN = 8
 #: Segments below this many bytes are of one size.
 SMALL = 1 << 20
 MARKS = "key string, at long"
+#: Marks up to this many bytes of files go to all tasks, so that no row is shuffled for them.
+BROADCAST_MARKS = 32 << 20
 
 
 @dataclass(frozen=True)
 class Change:
-    """What a version does to a table: the keys (one column) whose rows go, and the rows that come then."""
+    """What a version does to a table: the keys (one column) whose rows go, and the rows that come then.
 
-    rows: DataFrame | None = None
+    Rows may be made from what the version has written to earlier tables of the same change, by their names.
+    """
+
+    rows: DataFrame | Callable[[dict[str, DataFrame]], DataFrame] | None = None
     gone: DataFrame | None = None
 
 
@@ -110,6 +116,8 @@ class IndexStore:
                 marked = one if marked is None else marked.unionByName(one)
         if marked is not None:
             marks = spark.read.schema(MARKS).parquet(*paths(gone)).toDF("__key", "__gone")
+            if sum(g["bytes"] for g in gone) <= BROADCAST_MARKS:
+                marks = F.broadcast(marks)
             left = marked.join(marks, (F.col(key) == F.col("__key")) & (F.col("__gone") > F.col("__at")), "left_anti").select(*schema.names)
             out = left if out is None else out.unionByName(left)
         return spark.createDataFrame([], schema) if out is None else out
@@ -118,6 +126,7 @@ class IndexStore:
         """Makes the next version of ``base``, which must still be the newest; tables not named stay."""
         base = base or self.snapshot()
         version, tables, marks = base.version + 1, dict(base.tables), {}
+        written: dict[str, DataFrame] = {}
         for name, change in changes.items():
             parts = tables.get(name, {"segments": [], "gone": []})
             segments, gone = list(parts["segments"]), list(parts["gone"])
@@ -126,7 +135,10 @@ class IndexStore:
                     marks[id(change.gone)] = self._write(change.gone.toDF("key").distinct().withColumn("at", F.lit(version).cast("long")), "gone", version)
                 gone += marks[id(change.gone)]
             if change.rows is not None:
-                segments += self._write(change.rows.select(*TABLES[name].names), f"tables/{name}", version)
+                rows = change.rows(written) if callable(change.rows) else change.rows
+                new = self._write(rows.select(*TABLES[name].names), f"tables/{name}", version)
+                written[name] = self.rows(name, new, [])
+                segments += new
             tables[name] = self._merged(name, segments, gone, version)
         self._commit(Snapshot(self, version, LAYOUT, tables))
         return version

@@ -80,6 +80,22 @@ def test_changed_content_leaves_no_orphan(made):
     assert keys.count() == 1 and store.read("content_stats").count() == 1
 
 
+def test_marks_and_hits_shuffle_no_rows(spark, made):
+    folder, store, index, hits = made
+    index({"a.txt": "봄 여름", "b.txt": "여름 겨울", "c.txt": "겨울"})
+    Indexer(spark, store).remove_paths(spark.createDataFrame([(str(folder / "a.txt"),)], "path string"))
+    plan = store.read("content_postings")._jdf.queryExecution()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan.executedPlan().toString() and {r["term"] for r in store.read("content_postings").where("field = 'body'").collect()} == {"여름", "겨울"}
+        found = Searcher(Tables.of(store)).search(SearchRequest("여름"))
+        bodies = [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin [document_id" in line]
+        assert bodies and [r["snippet"] for r in found.collect()] == [">>여름<< 겨울"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_removal(spark, made):
     folder, store, index, hits = made
     index({"a.txt": "봄 여름", "b.txt": "봄 여름", "c.txt": "겨울"})

@@ -55,3 +55,17 @@ def test_plan_reads_postings_once(corpus, spark, tmp_path):
         plan = match.search(stored, sizes, query_tree(parse(query)), ranked=False)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "PushedFilters: [IsNotNull(key), Or(" in plan, plan
     assert match.phrase_counts(stored, query_tree(parse('"ab cd"'))).where("times < 1").count() == 0
+
+
+def test_whole_index_is_grouped_in_place(spark, monkeypatch):
+    """As ``build`` has it, of odd texts too, and only texts are shuffled; in parts and chunks of any size."""
+    rows = [("a", "x y x É", ""), ("b", None, "z"), ("c", "...", None), ("d", "", ""), ("e", "word " * 500, "x"), *((f"k{i}", f"t{i % 7} u t{i % 3}", "v") for i in range(300))]
+    df = spark.createDataFrame(rows, "id string, body string, morph string")
+    want = sorted(map(tuple, postings.build(df, "id", ["body", "morph"]).collect()))
+    for chunk, size in ((1 << 20, 10), (7, 3 * postings.PART_BYTES)):
+        monkeypatch.setattr(postings, "CHUNK_TOKENS", chunk)
+        found = postings.whole(df, "id", ["body", "morph"], size)
+        assert sorted(map(tuple, found.collect())) == want
+        assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    sums = postings.sums(found, df.select("id"))
+    assert sorted(sums.collect()) == sorted(postings.key_stats(df, "id", ["body", "morph"]).collect())
