@@ -7,9 +7,11 @@ its parts are made for each query and a single analysis is all that the driver d
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.ast import And, Node, Not, Or, Phrase, phrases, simplified
@@ -76,6 +78,14 @@ def _frequencies(wanted: list[Phrase], weights: dict[str, float] | None, posting
     return f"SELECT key, {sums} FROM ({by_field}) GROUP BY key"
 
 
+def names(query: Node) -> Callable[[Column], Column]:
+    """Whether the query names a term, in any field."""
+    wanted = phrases(simplified(query))
+    equal = sorted({t for p in wanted for t in (p.tokens[:-1] if p.prefix else p.tokens)})
+    starts = sorted({p.tokens[-1] for p in wanted if p.prefix and p.tokens})
+    return lambda term: reduce(lambda a, b: a | b, (term.startswith(t) for t in starts), term.isin(equal) if equal else F.lit(False))
+
+
 def phrase_counts(postings: DataFrame, phrase: Phrase) -> DataFrame:
     """``key, times``: how often a phrase stands in each key that has it."""
     found = _frequencies([phrase], None, "{postings}")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import index_tokens
@@ -72,6 +72,28 @@ def whole(texts: DataFrame, key: str, fields: list[str], size: int) -> DataFrame
     return rows.mapInArrow(work, POSTINGS).sortWithinPartitions("term", "key")
 
 
+def named(texts: DataFrame, key: str, fields: list[str], terms: Callable[[Column], Column], *more: str) -> DataFrame:
+    """``key, n_tokens, found`` and ``more`` of the columns: postings of those terms only, which a query names, in each text's own row.
+
+    One reading of the texts gives both what a query scans and the lengths that ranking needs.
+    """
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), index_tokens(F.col(f)).alias("tokens")) for f in fields))
+    rows = texts.select(F.col(key).alias("key"), *more, parts.alias("p"))
+    total = F.aggregate("p", F.lit(0).cast("long"), lambda n, p: n + F.size(p.tokens))
+    hit = lambda p: F.filter(F.transform(p.tokens, lambda t, i: F.when(terms(t), F.struct(t.alias("term"), i.alias("pos")))), lambda x: x.isNotNull())
+    hits = F.transform("p", lambda p: F.struct(p.field.alias("field"), hit(p).alias("hits")))
+    rows = rows.select("key", *more, total.alias("n_tokens"), hits.alias("p"))
+    places = lambda p, t: F.transform(F.filter(p.hits, lambda x: x.term == t), lambda x: x.pos)
+    of = lambda p: F.transform(F.array_distinct(F.transform(p.hits, lambda x: x.term)), lambda t: F.struct(t.alias("term"), p.field.alias("field"), places(p, t).alias("positions")))
+    return rows.select("key", *more, "n_tokens", F.flatten(F.transform("p", of)).alias("found"))
+
+
+def of_named(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The postings and the ``key_stats`` in the rows of ``named``."""
+    found = rows.select("key", F.explode("found").alias("p")).select("p.term", "p.field", "key", F.size("p.positions").alias("tf"), "p.positions")
+    return found, rows.select("key", "n_tokens")
+
+
 def sums(postings: DataFrame, keys: DataFrame) -> DataFrame:
     """``key_stats`` from the postings of all fields, for ``keys`` (one column), which may have none."""
     counted = postings.groupBy("key").agg(F.sum("tf").alias("n_tokens"))
