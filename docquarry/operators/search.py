@@ -21,6 +21,8 @@ from .store import IndexStore
 
 CONTENT, FILENAME = "content", "filename"
 EXACT, MORPHOLOGICAL = "EXACT", "MORPHOLOGICAL"
+#: So many hits can be sent to all tasks.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -193,7 +195,10 @@ class Searcher:
 
     def _content_hits(self, query: ParsedQuery, request: SearchRequest) -> DataFrame:
         rows, *shown = self._ranked(query, request)
-        return top(with_snippets(rows.join(self.tables.bodies, "document_id", "left"), *shown), -1)
+        bodies = self.tables.bodies
+        # whatever has postings has a body; a few hits go to the bodies, which stay where they are
+        found = bodies.join(F.broadcast(rows), "document_id") if 0 <= request.limit <= FEW else rows.join(bodies, "document_id", "left")
+        return top(with_snippets(found, *shown), -1)
 
 
 def snippet_maker(tree: Node, wanted: list[str], forms: Iterable[str], morphology: Callable[[], Morphology] | None) -> Callable[[str | None], str]:
