@@ -29,8 +29,10 @@ CONTEXT, SIZE = 4, 16
 NOISE, BATCH, RATE = 24, 4096, 0.15
 #: Samples of noise that a batch shares; each stands for a part of a token's NOISE.
 DRAWN = 96
-#: Tokens normalised at a time: their scores for all classes stay in a core's cache.
+#: Tokens normalised, or set against noise, at a time: their scores stay in a core's cache.
 TOGETHER = 512
+#: Tokens of short texts that are gathered before their classes are scored.
+GATHERED = 1 << 16
 #: Documents that the driver's first fit looks at, before the fit on all of them.
 WARM_ROWS = 2000
 #: Words a task counts before it hands on what it has.
@@ -66,13 +68,24 @@ def count_words(docs: DataFrame) -> DataFrame:
     return map_batches(docs, work, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Places(dict):
+    """Places of frequent words; of any other word -1 less its class, which is that of its ending."""
+
+    def __init__(self, words: list[bytes], ending: dict[bytes, int]):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.ending = ending
+
+    def __missing__(self, word: bytes) -> int:
+        return -1 - self.ending.get(word[-2:], CLASSES - 1)
+
+
 class Classes:
     """Numbers of words' classes, and counts of the frequent ones."""
 
     def __init__(self, words: list[bytes], counts: list[int], endings: list[bytes]):
-        self.at = {w: i for i, w in enumerate(words)}
         self.counts = np.array(counts, np.float64)
         self.ending = {e: WORD_CLASSES + i for i, e in enumerate(endings)}
+        self.at = Places(words, self.ending)
         own = min(len(words), WORD_CLASSES)
         self.of_head = np.array([*range(own), *(self.ending.get(w[-2:], CLASSES - 1) for w in words[own:])], np.uint8)
 
@@ -81,12 +94,12 @@ class Classes:
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Places among the frequent words (-1: none) and classes."""
-        get = self.at.get
-        at = np.array([get(w, -1) for w in words], np.int64)
-        cls = self.of_head[at] if len(self.of_head) else np.full(len(at), CLASSES - 1, np.uint8)
-        other, ending = np.flatnonzero(at < 0), self.ending.get
-        if len(other):
-            cls[other] = [ending(words[i][-2:], CLASSES - 1) for i in other.tolist()]
+        at = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if not len(self.of_head):
+            return np.full(len(at), -1), (-1 - at).astype(np.uint8)
+        cls, other = self.of_head.take(at, mode="clip"), np.flatnonzero(at < 0)
+        cls[other] = -1 - at[other]
+        at[other] = -1
         return at, cls
 
 
@@ -95,26 +108,38 @@ def start_parameters() -> dict[str, np.ndarray]:
     return {"r": random.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32), "q": random.normal(0, 0.1, (CLASSES, SIZE)).astype(np.float32), "c": np.ones((CONTEXT, SIZE), np.float32) * np.float32(0.5), "b": np.zeros(CLASSES, np.float32)}
 
 
-def contexts(cls: np.ndarray) -> np.ndarray:
-    """Classes of the CONTEXT tokens before each, nearest first; ends of texts before its start (class 0)."""
-    padded = np.concatenate([np.zeros(CONTEXT, cls.dtype), cls])
-    return np.stack([padded[CONTEXT - j : len(padded) - j] for j in range(1, CONTEXT + 1)])
+def contexts(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens' classes, and those of the CONTEXT tokens before each, nearest first; ends of texts before its start (class 0)."""
+    cls = np.concatenate(sequences)
+    starts = np.cumsum([0, *(len(s) for s in sequences[:-1])])
+    out = np.zeros((CONTEXT, len(cls)), cls.dtype)
+    for j in range(1, CONTEXT + 1):
+        out[j - 1, j:] = cls[: max(0, len(cls) - j)]
+        for k in range(j):  # past a short text's end these are tokens as near to the next one's start
+            at = starts + k
+            out[j - 1, at[at < len(cls)]] = 0
+    return cls, out
+
 
+def place_vectors(p: dict[str, np.ndarray]) -> np.ndarray:
+    """Classes' vectors for each place of a context."""
+    return p["r"] * p["c"][:, None, :]
 
-def predicted(p: dict[str, np.ndarray], ctx: np.ndarray) -> np.ndarray:
+
+def predicted(vectors: np.ndarray, ctx: np.ndarray) -> np.ndarray:
     """Predicted vectors: sums of the context's vectors, each scaled by its place's weights."""
-    out = (p["r"] * p["c"][0])[ctx[0]]
+    out = vectors[0].take(ctx[0], axis=0)
     for j in range(1, CONTEXT):
-        out += (p["r"] * p["c"][j])[ctx[j]]
+        out += vectors[j].take(ctx[j], axis=0)
     return out
 
 
 def added(ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Sums of rows by class."""
-    order = np.argsort(ids, kind="stable")
-    found, at = np.unique(ids[order], return_index=True)
+    order, sizes = np.argsort(ids, kind="stable"), np.bincount(ids, minlength=CLASSES)
+    found = np.flatnonzero(sizes)
     out = np.zeros((CLASSES, rows.shape[1]), np.float32)
-    out[found] = np.add.reduceat(rows[order], at, axis=0)
+    out[found] = np.add.reduceat(rows.take(order, axis=0), (np.cumsum(sizes) - sizes)[found], axis=0)
     return out
 
 
@@ -131,20 +156,27 @@ class Trainer:
     def step(self, ctx: np.ndarray, target: np.ndarray) -> None:
         p, n = self.p, len(target)
         drawn = np.minimum(np.searchsorted(self.cumulated, self.random.random(DRAWN)), CLASSES - 1)
-        vector = predicted(p, ctx)
-        own = np.einsum("td,td->t", vector, p["q"][target]) + p["b"][target] - self.log_noise[target]
-        others = vector @ p["q"][drawn].T + p["b"][drawn] - self.log_noise[drawn]
+        vector = np.ones((n, SIZE + 1), np.float32)  # the last column is for the biases
+        vector[:, :SIZE] = predicted(place_vectors(p), ctx)
+        noise_q = p["q"][drawn]
+        out = -np.concatenate([noise_q, (p["b"][drawn] - self.log_noise[drawn])[:, None]], 1).T.copy()
+        own_q = p["q"].take(target, axis=0)
+        own = np.einsum("td,td->t", vector[:, :SIZE], own_q) + (p["b"] - self.log_noise)[target]
         d_own = (1 / (1 + np.exp(-np.clip(own, -20, 20))) - 1).astype(np.float32)
-        d_others = (1 / (1 + np.exp(-np.clip(others, -20, 20)))).astype(np.float32) * np.float32(NOISE / DRAWN)
-        d_vector = d_own[:, None] * p["q"][target] + d_others @ p["q"][drawn]
-        g = {"q": added(target, d_own[:, None] * vector), "b": np.bincount(target, d_own, CLASSES).astype(np.float32)}
-        np.add.at(g["q"], drawn, d_others.T @ vector)
-        np.add.at(g["b"], drawn, d_others.sum(0))
-        g["r"], g["c"] = np.zeros_like(p["r"]), np.zeros_like(p["c"])
-        for j in range(CONTEXT):
-            sums = added(ctx[j], d_vector)
-            g["r"] += sums * p["c"][j]
-            g["c"][j] = (sums * p["r"]).sum(0)
+        d_vector, d_drawn = d_own[:, None] * own_q, np.zeros((DRAWN, SIZE + 1), np.float32)
+        for at in range(0, n, TOGETHER):
+            here = vector[at : at + TOGETHER]
+            others = here @ out
+            np.clip(others, -20, 20, out=others)
+            np.exp(others, out=others)
+            others += 1
+            np.divide(np.float32(NOISE / DRAWN), others, out=others)
+            d_vector[at : at + TOGETHER] += others @ noise_q
+            d_drawn += others.T @ here
+        own_and_drawn = added(np.append(target, drawn.astype(target.dtype)), np.concatenate([d_own[:, None] * vector, d_drawn]))
+        g = {"q": own_and_drawn[:, :SIZE], "b": own_and_drawn[:, SIZE]}
+        sums = np.stack([added(c, d_vector) for c in ctx])
+        g["r"], g["c"] = (sums * p["c"][:, None, :]).sum(0), (sums * p["r"]).sum(1)
         for k in p:
             grad = g[k] / np.float32(n) * np.float32(CLASSES / 8 if k != "c" else 1)
             self.squares[k] += grad * grad
@@ -154,30 +186,40 @@ class Trainer:
     def feed(self, sequences: list[np.ndarray]) -> None:
         if not sequences:
             return
-        ctx, target = np.concatenate([contexts(s) for s in sequences], 1), np.concatenate(sequences)
+        target, ctx = contexts(sequences)
         order = self.random.permutation(len(target))
         for at in range(0, len(order), BATCH):
             part = order[at : at + BATCH]
-            self.step(ctx[:, part], target[part])
+            self.step(ctx.take(part, axis=1), target.take(part))
 
 
-def log10_classes(p: dict[str, np.ndarray], cls: np.ndarray) -> float:
-    """log10 probability of a text's classes, each normalised over all classes."""
-    ctx, total, out, ones = contexts(cls), 0.0, p["q"].T.copy(), np.ones(CLASSES, np.float32)
+def log10_sequences(p: dict[str, np.ndarray], sequences: list[np.ndarray]) -> np.ndarray:
+    """log10 probabilities of texts' classes, each normalised over all classes."""
+    cls, ctx = contexts(sequences)
+    vectors, logs, ones = place_vectors(p), np.empty(len(cls), np.float32), np.ones(CLASSES, np.float32)
+    out = np.concatenate([p["q"].T, p["b"][None], ones[None]])
     reach, lift = np.sqrt((p["q"] ** 2).sum(1).max()), p["b"].max()
     for at in range(0, len(cls), TOGETHER):
-        vector, target = predicted(p, ctx[:, at : at + TOGETHER]), cls[at : at + TOGETHER]
-        own = np.einsum("td,td->t", vector, p["q"][target]) + p["b"][target]
+        target = cls[at : at + TOGETHER]
+        full = np.ones((len(target), SIZE + 2), np.float32)  # the last columns are for the biases and the greatest score
+        vector = full[:, :SIZE] = predicted(vectors, ctx[:, at : at + TOGETHER])
         # no score exceeds this; it is near enough for float32 unless vectors are very long
         top = np.sqrt(np.einsum("td,td->t", vector, vector)) * reach + lift
-        score = vector @ out
-        score += p["b"]
-        if top.max() > 60:
-            top = score.max(1)
-        score -= top[:, None]
+        far = top.max() > 60
+        full[:, -1] = 0 if far else -top
+        score = full @ out
+        if far:
+            score -= score.max(1)[:, None]
+        own = score[np.arange(len(target)), target]
         np.exp(score, out=score)
-        total += float((own - top - np.log(score @ ones)).sum(dtype=np.float64))
-    return total / np.log(10)
+        logs[at : at + TOGETHER] = own - np.log(score @ ones)
+    text = np.repeat(np.arange(len(sequences)), [len(s) for s in sequences])
+    return np.bincount(text, logs, len(sequences)) / np.log(10)
+
+
+def log10_classes(p: dict[str, np.ndarray], cls: np.ndarray) -> float:
+    """log10 probability of a text's classes."""
+    return float(log10_sequences(p, [cls])[0])
 
 
 def train(texts: DataFrame, classes: tuple, noise: np.ndarray) -> dict[str, np.ndarray]:
@@ -278,21 +320,30 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
         logs = np.log10(known.counts + 0.5)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            out = []
+            out, models, waiting, size = [], [], [], 0
             for doc_id, held_out, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = tokens(text)
                 at, cls = known.of(words)
                 inside = at >= 0
                 smoothed = inside & (cls >= WORD_CLASSES)  # words that share a class
-                model = log10_classes(p, cls) + logs[at[smoothed]].sum() - sizes[cls[cls >= WORD_CLASSES]].sum()
+                within = logs[at[smoothed]].sum() - sizes[cls[cls >= WORD_CLASSES]].sum()
+                waiting.append(cls)
+                size += len(cls)
+                if size >= GATHERED:
+                    models.extend(log10_sequences(p, waiting).tolist())
+                    waiting, size = [], 0
                 tail: dict[bytes, int] = {}
                 for i in np.flatnonzero(~inside).tolist():
                     tail[words[i]] = tail.get(words[i], 0) + 1
-                out.append((row, doc_id, held_out, len(words), int(inside.sum()), float(logs[at[inside]].sum() - base_all * len(words)), float(model), list(tail), list(tail.values())))
+                out.append((row, doc_id, held_out, len(words), int(inside.sum()), float(logs[at[inside]].sum() - base_all * len(words)), float(within), list(tail), list(tail.values())))
                 row += 1
+            if waiting:
+                models.extend(log10_sequences(p, waiting).tolist())
             if out:
                 types = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "words", "times"])
+                columns = [*zip(*out, strict=True)]
+                columns[6] = [a + b for a, b in zip(columns[6], models, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "words", "times"])
 
     scored = stored(map_batches(texts, score, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, words array<binary>, times array<long>"))
     tail = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("row", F.col("t.words").alias("word"), F.col("t.times").alias("n"))

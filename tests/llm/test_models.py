@@ -172,6 +172,70 @@ def test_words_of_a_class_sum_to_one():
     assert sum(each) == pytest.approx(1, abs=1e-3)
 
 
+def former_step(t, ctx, target):
+    """A step of training with every sum written out: no blocks, no biases among the vectors."""
+    p, n = t.p, len(target)
+    drawn = np.minimum(np.searchsorted(t.cumulated, t.random.random(lm.DRAWN)), lm.CLASSES - 1)
+    vector = sum(p["r"][c] * w for c, w in zip(ctx, p["c"], strict=True))
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    d_own = logistic((vector * p["q"][target]).sum(1) + p["b"][target] - t.log_noise[target]) - 1
+    d_drawn = logistic(vector @ p["q"][drawn].T + p["b"][drawn] - t.log_noise[drawn]) * lm.NOISE / lm.DRAWN
+    d_vector = d_own[:, None] * p["q"][target] + d_drawn @ p["q"][drawn]
+    g = {k: np.zeros(v.shape) for k, v in p.items()}
+    np.add.at(g["q"], target, d_own[:, None] * vector)
+    np.add.at(g["q"], drawn, d_drawn.T @ vector)
+    np.add.at(g["b"], target, d_own)
+    np.add.at(g["b"], drawn, d_drawn.sum(0))
+    for j, c in enumerate(ctx):
+        np.add.at(g["r"], c, d_vector * p["c"][j])
+        g["c"][j] = (d_vector * p["r"][c]).sum(0)
+    for k in p:
+        grad = g[k] / n * (lm.CLASSES / 8 if k != "c" else 1)
+        t.squares[k] = t.squares[k] + grad * grad
+        p[k] = p[k] - lm.RATE * grad / np.sqrt(t.squares[k])
+
+
+def test_steps_and_scores_as_written_out():
+    """Blocks and many texts at a time give what one text at a time and plain sums do."""
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, lm.CLASSES, n).astype(np.uint8) for n in (1, 2, 3, 1, 700, 4, 5, 1, 1300, 2)]
+    before = lambda x: [[x[i - j] if i >= j else 0 for i in range(len(x))] for j in range(1, lm.CONTEXT + 1)]
+    target, ctx = lm.contexts(texts)
+    assert target.tolist() == np.concatenate(texts).tolist() and ctx.tolist() == np.concatenate([before(x) for x in texts], 1).tolist()
+    noise = rng.random(lm.CLASSES) + 0.1
+    one, two = (lm.Trainer(lm.start_parameters(), noise / noise.sum(), 4) for _ in range(2))
+    for _ in range(5):
+        one.step(ctx, target)
+        former_step(two, ctx, target)
+    assert all(one.p[k] == pytest.approx(two.p[k], abs=1e-4) for k in one.p)
+    for scale in (1, 30):  # vectors so long that the bound of scores isn't near enough, too
+        p = {**two.p, "q": two.p["q"] * scale}
+        got = lm.log10_sequences({k: v.astype(np.float32) for k, v in p.items()}, texts)
+        for x, value in zip(texts, got, strict=True):
+            score = sum(p["r"][c] * w for c, w in zip(np.array(before(x)), p["c"], strict=True)) @ p["q"].T + p["b"]
+            top = score.max(1)
+            want = (score[np.arange(len(x)), x] - top - np.log(np.exp(score - top[:, None]).sum(1))).sum() / math.log(10)
+            assert value == pytest.approx(want, rel=1e-4)
+
+
+def test_classes_of_words():
+    known = lm.Classes([b"", *(b"w%d" % i for i in range(lm.WORD_CLASSES))], [1] * (lm.WORD_CLASSES + 1), [b"27", b"ed"])
+    at, cls = known.of([b"", b"w127", b"baked", b"w0", b"other", b"ed"])
+    assert at.tolist() == [0, lm.WORD_CLASSES, -1, 1, -1, -1]
+    assert cls.tolist() == [0, lm.WORD_CLASSES, lm.WORD_CLASSES + 1, 1, lm.CLASSES - 1, lm.WORD_CLASSES + 1]
+    assert b"baked" not in known.at and lm.Classes([], [], []).of([b"x"])[1].tolist() == [lm.CLASSES - 1]
+
+
+def test_texts_are_scored_together(spark, documents, monkeypatch):
+    """However many texts wait for their scores, each gets its own."""
+    key = lambda rows: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 2)) for r in rows)
+    together = key(lm.language_model_scores(documents).collect())
+    monkeypatch.setattr(lm, "GATHERED", 1)
+    alone = key(lm.language_model_scores(documents).collect())
+    assert [x[:2] for x in together] == [x[:2] for x in alone]
+    assert [x[2] for x in together] == pytest.approx([x[2] for x in alone], rel=1e-5, abs=0.02)
+
+
 def test_better_than_counts(spark):
     rows = [r for r in lm.op2_lm_score(spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
     assert sum(r["score"] for r in rows) > 0.95 * sum(r["base_score"] for r in rows)
